@@ -19,9 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluicework import fixed_values as fv
-from sluicework.plans.findings import (
-    bind, fill, finding, has_error, map_text, only_if, to_rows,
-)
+from sluicework.plans.findings import bind, has_error, mark, marks_where, to_rows
 
 WORD = "[A-Za-z_][A-Za-z0-9_]*+"
 AFTER = "(?<![A-Za-z0-9_])"
@@ -81,16 +79,9 @@ def _before_first(items: Column, lowered: Column, stops: list[str]) -> tuple[Col
     return ahead, hit
 
 
-def _query_finding(key: str, *values: Column, suggestion: Column | None = None) -> Column:
-    code, severity, message, hint = fv.QUERY_FINDINGS[key]
-    return finding(code, severity, fill(message, *values),
-                   fill(hint) if suggestion is None else suggestion)
-
-
 def _start(words: Column) -> Column:
     first = F.regexp_extract(words, rf"\A{GAP}({WORD})", 1)
-    return only_if((first != "") & ~F.lower(first).isin("source", "print", "let"),
-                   _query_finding("start", first))
+    return F.when((first != "") & ~F.lower(first).isin("source", "print", "let"), mark("start", first))
 
 
 def _operators(heads: Column) -> Column:
@@ -100,10 +91,8 @@ def _operators(heads: Column) -> Column:
         ahead, refused = _before_first(names, names, list(fv.REFUSED_OPERATORS))
         unknown = F.filter(ahead, lambda n: ~n.isin(KNOWN_OPERATORS))
         return F.concat(
-            F.transform(unknown, lambda n: _query_finding("unknown_operator", n)),
-            only_if(refused.isNotNull(),
-                    _query_finding("refused_operator", refused,
-                                   suggestion=map_text(refused, fv.REFUSED_OPERATORS))),
+            F.transform(unknown, lambda n: mark("unknown_operator", n)),
+            F.array(F.when(refused.isNotNull(), mark("refused_operator", refused, name=refused))),
         )
 
     return bind(F.transform(heads, lambda n: F.lower(F.regexp_replace(n, "[^A-Za-z0-9_-]", ""))), judge)
@@ -117,19 +106,17 @@ def _calls(calls: Column) -> Column:
     wrong = F.get(F.filter(calls, lambda c: F.lower(c).isin(list(fv.WRONG_FUNCTION_NAMES))), F.lit(0))
     return F.concat(
         F.transform(unlisted, lambda c: F.when(
-            F.lower(c).isin(fv.REFUSED_FUNCTIONS), _query_finding("refused_function", c),
-        ).otherwise(_query_finding("unknown_function", c))),
-        only_if(wrong.isNotNull(),
-                _query_finding("wrong_name", wrong,
-                               suggestion=map_text(F.lower(wrong), fv.WRONG_FUNCTION_NAMES))),
+            F.lower(c).isin(fv.REFUSED_FUNCTIONS), mark("refused_function", c),
+        ).otherwise(mark("unknown_function", c))),
+        F.array(F.when(wrong.isNotNull(), mark("wrong_name", wrong, name=F.lower(wrong)))),
     )
 
 
 def _time_column(text: Column, clean: Column, lowered: Column) -> Column:
     projects = F.rlike(lowered, F.lit(word("project")))
-    return F.concat(
-        only_if(~F.contains(text, F.lit("TimeGenerated")) & projects, _query_finding("no_time_column")),
-        only_if(~projects & ~F.rlike(clean, F.lit(word("TimeGenerated"))), _query_finding("time_column_tip")),
+    return F.array(
+        F.when(~F.contains(text, F.lit("TimeGenerated")) & projects, mark("no_time_column")),
+        F.when(~projects & ~F.rlike(clean, F.lit(word("TimeGenerated"))), mark("time_column_tip")),
     )
 
 
@@ -145,19 +132,18 @@ def _parse_columns(words: Column) -> Column:
             .otherwise(F.regexp_count(stage, F.lit(AFTER + WORD)))
 
     over = F.filter(F.transform(stages, captured), lambda n: n > fv.MAX_PARSE_COLUMNS)
-    return F.transform(over, lambda n: _query_finding("parse_columns", n))
+    return F.transform(over, lambda n: mark("parse_columns", n.cast("string")))
 
 
 def _mistakes(calls: Column, lowered: Column) -> Column:
-    def each(key: str, pattern: str) -> Column:
-        return F.array_repeat(_query_finding(key), F.regexp_count(lowered, F.lit(pattern)))
+    def repeated(key: str, pattern: str) -> Column:
+        return F.array_repeat(mark(key), F.regexp_count(lowered, F.lit(pattern)))
 
     return F.concat(
-        each("order_by", rf"{word('order')}(?={GAP}by{END})"),
-        F.transform(F.filter(calls, lambda c: F.lower(c).isin("has_any", "has_all")),
-                    lambda c: _query_finding("has_any", c)),
-        each("toscalar", word("toscalar")),
-        only_if(F.rlike(lowered, F.lit(word("externaldata"))), _query_finding("externaldata")),
+        repeated("order_by", rf"{word('order')}(?={GAP}by{END})"),
+        marks_where(calls, lambda c: F.lower(c).isin("has_any", "has_all"), lambda c: mark("has_any", c)),
+        repeated("toscalar", word("toscalar")),
+        F.array(F.when(F.rlike(lowered, F.lit(word("externaldata"))), mark("externaldata"))),
     )
 
 
@@ -166,40 +152,49 @@ def _table_name(heads: Column) -> Column:
     passed = [n for n in fv.TABLE_OPERATORS + list(fv.REFUSED_OPERATORS) if n != "print"] + ["let"]
     names = F.transform(heads, lambda n: F.regexp_extract(n, WORD, 0))
     name = F.get(F.filter(names, lambda n: ~F.lower(n).isin(passed)), F.lit(0))
-    return bind(name, lambda n: only_if(
-        n.isNotNull() & ~F.lower(n).isin("source", "print"), _query_finding("table_name", n)))
+    return bind(name, lambda n: F.when(
+        n.isNotNull() & ~F.lower(n).isin("source", "print"), mark("table_name", n)))
 
 
-def query_findings(text: Column) -> Column:
-    """Findings of one trimmed text, in check order, as an array column."""
+def words_of(clean: Column) -> Column:
+    """Line ends part two neighbours of a call, but not the words of a stage."""
+    return F.replace(F.replace(clean, F.lit("\n"), F.lit(" ")), F.lit("\\"), F.lit(" "))
+
+
+def calls_of(clean: Column) -> Column:
+    return F.when(F.contains(clean, F.lit("(")), _extract_all(clean, rf"{AFTER}({WORD}){GAP}\(")).otherwise(
+        F.array().cast("array<string>"))
 
-    def judge(s: Column) -> Column:
-        text, clean, words, lowered, calls, heads = (
-            s[k] for k in ("text", "clean", "words", "lowered", "calls", "heads"))
-        found = F.concat(
-            _start(words), _operators(heads), _calls(calls), _time_column(text, clean, lowered),
-            _parse_columns(words), _mistakes(calls, lowered), _table_name(heads),
-        )
-        return F.when(~F.rlike(words, F.lit(r"[|()\[\],;.=<>+\-*/%!~A-Za-z0-9_'\"]")),
-                      F.array(_query_finding("empty"))).otherwise(
-            bind(found, lambda f: F.when(has_error(f), f).otherwise(
-                F.concat(f, F.array(_query_finding("valid"))))))
-
-    def parts(text: Column, clean: Column, words: Column) -> Column:
-        return F.struct(
-            text.alias("text"), clean.alias("clean"), words.alias("words"),
-            F.lower(clean).alias("lowered"),
-            F.when(F.contains(clean, F.lit("(")), _extract_all(clean, rf"{AFTER}({WORD}){GAP}\("))
-            .otherwise(F.array().cast("array<string>")).alias("calls"),
-            _extract_all(words, rf"{STAGE_START}((?i:{HYPHENATED})|{WORD})").alias("heads"),
-        )
 
-    # Line ends part two neighbours of a call, but not the words of a stage.
-    def words_of(clean: Column) -> Column:
-        return F.replace(F.replace(clean, F.lit("\n"), F.lit(" ")), F.lit("\\"), F.lit(" "))
+def heads_of(words: Column) -> Column:
+    """The operator words of each stage that starts with a word."""
+    return _extract_all(words, rf"{STAGE_START}((?i:{HYPHENATED})|{WORD})")
 
-    return bind(text, lambda t: bind(cleaned(t), lambda c: bind(
-        words_of(c), lambda w: bind(parts(t, c, w), judge))))
+
+def query_marks(q) -> Column:
+    """Marks of one text in check order.  ``q`` gives the columns text, clean,
+    words, lowered, calls and heads."""
+    found = F.concat(
+        F.array(_start(q["words"])), _operators(q["heads"]), _calls(q["calls"]),
+        _time_column(q["text"], q["clean"], q["lowered"]),
+        _parse_columns(q["words"]), _mistakes(q["calls"], q["lowered"]), F.array(_table_name(q["heads"])),
+    )
+    any_word = F.rlike(q["words"], F.lit(r"[|()\[\],;.=<>+\-*/%!~A-Za-z0-9_'\"]"))
+    return F.when(any_word, F.array_compact(found)).otherwise(F.array(mark("empty")))
+
+
+def embedded_marks(texts: DataFrame, column: str) -> DataFrame:
+    """Replace an array column of texts (null where there is none) by their marks."""
+    def step(df: DataFrame, *names: str, **more) -> DataFrame:
+        return df.withColumn(column, F.transform(column, lambda q: F.struct(
+            *[q[n].alias(n) for n in names], *[f(q).alias(n) for n, f in more.items()])))
+
+    df = texts.withColumn(column, F.transform(
+        column, lambda t: F.struct(t.alias("text"), cleaned(t).alias("clean"))))
+    df = step(df, "text", "clean", words=lambda q: words_of(q["clean"]))
+    df = step(df, "text", "clean", "words", lowered=lambda q: F.lower(q["clean"]),
+              calls=lambda q: calls_of(q["clean"]), heads=lambda q: heads_of(q["words"]))
+    return df.withColumn(column, F.transform(column, lambda q: F.when(q["text"].isNotNull(), query_marks(q))))
 
 
 def audit_queries(docs: DataFrame) -> DataFrame:
@@ -208,8 +203,20 @@ def audit_queries(docs: DataFrame) -> DataFrame:
     ``seq`` numbers the findings of a document in check order.  Works on batch
     and streaming DataFrames.
     """
-    code, severity, message, hint = fv.QUERY_FINDINGS["too_big"]
     too_big = F.octet_length("body") > fv.MAX_BODY_BYTES
-    findings = F.when(too_big, F.array(finding(code, severity, F.lit(message), F.lit(hint)))).otherwise(
-        query_findings(trimmed(F.col("body"))))
-    return to_rows(docs, findings)
+    df = (
+        docs.select("doc_id", F.when(too_big, None).otherwise(trimmed(F.col("body"))).alias("text"))
+        .withColumn("clean", cleaned(F.col("text")))
+        .withColumn("words", words_of(F.col("clean")))
+        .withColumn("lowered", F.lower("clean"))
+        .withColumn("calls", calls_of(F.col("clean")))
+        .withColumn("heads", heads_of(F.col("words")))
+    )
+    names = ("text", "clean", "words", "lowered", "calls", "heads")
+    found = df.select("doc_id", "text", query_marks({n: F.col(n) for n in names}).alias("found"))
+    marks = (
+        F.when(F.col("text").isNull(), F.array(mark("too_big")))
+        .when(has_error(F.col("found")), F.col("found"))
+        .otherwise(F.concat("found", F.array(mark("valid"))))
+    )
+    return to_rows(found.select("doc_id", marks.alias("marks")))

@@ -1,4 +1,10 @@
-"""Expression helpers shared by the two audits."""
+"""Findings of the audits: short marks inside a row, full texts once exploded.
+
+While a document is judged, a finding is only a *mark*: a key of the fixed
+texts, the severity, the flow it came from (embedded transformations) and the
+values for its message.  The texts are put in after the explode, from one
+constant map, so neither expression trees nor rows carry them around.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +13,28 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FINDING = "struct<code:string,severity:string,message:string,suggestion:string>"
-FINDINGS = f"array<{FINDING}>"
+from sluicework import fixed_values as fv
+
+MARKS = "array<struct<head:struct<key:string,severity:string,flow:int>,args:array<string>>>"
+
+
+def _all_texts() -> dict[str, tuple[str, str, str, str | None]]:
+    """key -> (severity, code, message, suggestion)."""
+    texts = {}
+    for key, (code, severity, message, hint) in fv.QUERY_FINDINGS.items():
+        texts[key] = (severity, code, message, hint)
+    for key, names in (("refused_operator", fv.REFUSED_OPERATORS), ("wrong_name", fv.WRONG_FUNCTION_NAMES)):
+        severity, code, message, _ = texts.pop(key)
+        for name, hint in names.items():
+            texts[f"{key} {name}"] = (severity, code, message, hint)
+    for code, (severity, message, hint) in fv.RULE_FINDINGS.items():
+        texts[code] = (severity, code, message, hint)
+    code, severity, message, hint = fv.RULE_TOO_BIG
+    texts["rule_too_big"] = (severity, code, message, hint)
+    return texts
+
+
+TEXTS = _all_texts()
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -16,52 +42,69 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fill(template: str | None, *values: Column) -> Column:
-    """Put column values into the ``{}`` places of a fixed text."""
-    if template is None:
-        return F.lit(None).cast("string")
-    parts = template.split("{}")
-    if len(parts) == 1 or not values:
-        return F.lit(template)
-    pieces: list[Column] = [F.lit(parts[0])]
-    for value, text in zip(values, parts[1:]):
-        pieces += [value.cast("string"), F.lit(text)]
-    return F.concat(*pieces)
+def mark(key: str, *values: Column, name: Column | None = None) -> Column:
+    """A finding with its message values (strings); ``name`` selects among texts kept per name.
 
-
-def finding(code: Column | str, severity: str, message: Column, suggestion: Column) -> Column:
-    code = F.lit(code) if isinstance(code, str) else code
-    return F.struct(
-        code.alias("code"), F.lit(severity).alias("severity"),
-        message.alias("message"), suggestion.alias("suggestion"),
-    ).cast(FINDING)
+    Constant parts are written as SQL: one expression to parse instead of many
+    small ones to build from Python.
+    """
+    if name is not None:
+        head = F.struct(F.concat(F.lit(f"{key} "), name).alias("key"), F.lit("error").alias("severity"),
+                        F.expr("cast(null as int) as flow")).alias("head")
+    else:
+        head = F.expr(f"named_struct('key', '{key}', 'severity', '{TEXTS[key][0]}', 'flow', cast(null as int)) as head")
+    args = F.array(*values) if values else F.expr("cast(array() as array<string>)")
+    return F.struct(head, args.alias("args"))
 
 
 def none() -> Column:
-    return F.array().cast(FINDINGS)
+    return F.expr(f"cast(array() as {MARKS})")
+
+
+def each(items: Column, body) -> Column:
+    """Marks of every list member, in list order; none for a missing list."""
+    return F.coalesce(F.flatten(F.transform(items, body)), none())
+
+
+def marks_where(items: Column, condition, body) -> Column:
+    """A mark for each list member that meets the condition; none for a missing list."""
+    return F.coalesce(F.transform(F.filter(items, condition), body), none())
+
 
+def has_error(marks: Column) -> Column:
+    return F.exists(marks, lambda m: m["head"]["severity"] == "error")
 
-def only_if(condition: Column, one: Column) -> Column:
-    """The finding as a list of one where the condition is true, else an empty list."""
-    return F.when(condition, F.array(one)).otherwise(none())
 
+def _sql(text: str | None) -> str:
+    if text is None:
+        return "cast(null as string)"
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def map_text(names: Column, texts: dict[str, str]) -> Column:
-    """Fixed text that belongs to a name (null for other names)."""
-    out = F.lit(None).cast("string")
-    for name, text in texts.items():
-        out = F.when(names == name, F.lit(text)).otherwise(out)
-    return out
 
+def _text_map() -> Column:
+    entries = (
+        f"{_sql(key)}, named_struct('code', {_sql(code)}, 'message', {_sql(message.replace('{}', '%s'))}, "
+        f"'suggestion', {_sql(hint)})"
+        for key, (_, code, message, hint) in TEXTS.items())
+    return F.expr(f"map({', '.join(entries)})")
 
-def has_error(findings: Column) -> Column:
-    return F.exists(findings, lambda f: f["severity"] == "error")
 
+def to_rows(docs: DataFrame) -> DataFrame:
+    """``(doc_id, marks)`` -> one row per finding, with its texts.
 
-def to_rows(docs: DataFrame, findings: Column) -> DataFrame:
-    """One row per finding.  Every document has at least one, so outer explode
-    loses nothing and keeps the optimizer from evaluating the list a second
-    time in an inferred ``size(list) > 0`` filter."""
-    return docs.select("doc_id", F.posexplode_outer(findings).alias("seq", "f")).select(
-        "doc_id", "seq", "f.code", "f.severity", "f.message", "f.suggestion"
+    Every document has at least one finding, so the outer explode adds no rows;
+    it keeps the optimizer from testing ``size(marks) > 0`` first, which would
+    evaluate the list twice.
+    """
+    rows = docs.select("doc_id", F.posexplode_outer("marks").alias("seq", "m")).select(
+        "doc_id", "seq", "m.head.*", "m.args", F.element_at(_text_map(), F.col("m.head.key")).alias("t"))
+    embedded = _sql(fv.EMBEDDED_MESSAGE.replace("{}", "%s"))
+    return rows.selectExpr(
+        "doc_id", "seq",
+        f"concat(case when flow is null then '' when severity = 'error' then {_sql(fv.EMBEDDED_ERROR)} "
+        f"else {_sql(fv.EMBEDDED_WARNING)} end, t.code) as code",
+        "severity",
+        f"concat(if(flow is null, '', format_string({embedded}, flow, '')), "
+        "format_string(t.message, get(args, 0), get(args, 1), get(args, 2))) as message",
+        "t.suggestion as suggestion",
     )
