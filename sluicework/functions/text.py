@@ -7,7 +7,8 @@ from sluicework.functions._args import col, quote
 
 
 def base64_encodestring(x) -> Column:
-    return F.base64(F.encode(col(x), "utf-8"))
+    """On one line: Spark breaks long base64 into lines, which the language does not."""
+    return F.replace(F.base64(F.encode(col(x), "utf-8")), F.lit("\r\n"), F.lit(""))
 
 
 def base64_decodestring(x) -> Column:

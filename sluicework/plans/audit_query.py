@@ -197,12 +197,8 @@ def embedded_marks(texts: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.transform(column, lambda q: F.when(q["text"].isNotNull(), query_marks(q))))
 
 
-def audit_queries(docs: DataFrame) -> DataFrame:
-    """``(doc_id, body)`` -> ``(doc_id, seq, code, severity, message, suggestion)``.
-
-    ``seq`` numbers the findings of a document in check order.  Works on batch
-    and streaming DataFrames.
-    """
+def judge_queries(docs: DataFrame) -> DataFrame:
+    """``(doc_id, body)`` -> ``(doc_id, marks)``, one row per text."""
     too_big = F.octet_length("body") > fv.MAX_BODY_BYTES
     df = (
         docs.select("doc_id", F.when(too_big, None).otherwise(trimmed(F.col("body"))).alias("text"))
@@ -219,4 +215,13 @@ def audit_queries(docs: DataFrame) -> DataFrame:
         .when(has_error(F.col("found")), F.col("found"))
         .otherwise(F.concat("found", F.array(mark("valid"))))
     )
-    return to_rows(found.select("doc_id", marks.alias("marks")))
+    return found.select("doc_id", marks.alias("marks"))
+
+
+def audit_queries(docs: DataFrame) -> DataFrame:
+    """``(doc_id, body)`` -> ``(doc_id, seq, code, severity, message, suggestion)``.
+
+    ``seq`` numbers the findings of a document in check order.  Works on batch
+    and streaming DataFrames.
+    """
+    return to_rows(judge_queries(docs))

@@ -220,12 +220,8 @@ def parsed_rules(docs: DataFrame) -> DataFrame:
     )
 
 
-def audit_rules(docs: DataFrame) -> DataFrame:
-    """``(doc_id, body)`` -> ``(doc_id, seq, code, severity, message, suggestion)``.
-
-    ``seq`` numbers the findings of a document in check order.  Works on batch
-    and streaming DataFrames.
-    """
+def judge_rules(docs: DataFrame) -> DataFrame:
+    """``(doc_id, body)`` -> ``(doc_id, marks)``, one row per document."""
     c = F.col
     df = (
         parsed_rules(docs)
@@ -257,4 +253,13 @@ def audit_rules(docs: DataFrame) -> DataFrame:
         .when(has_error(c("found")), c("found"))
         .otherwise(F.concat("found", F.array(mark("DCR000"))))
     )
-    return to_rows(found.select("doc_id", marks.alias("marks")))
+    return found.select("doc_id", marks.alias("marks"))
+
+
+def audit_rules(docs: DataFrame) -> DataFrame:
+    """``(doc_id, body)`` -> ``(doc_id, seq, code, severity, message, suggestion)``.
+
+    ``seq`` numbers the findings of a document in check order.  Works on batch
+    and streaming DataFrames.
+    """
+    return to_rows(judge_rules(docs))

@@ -59,19 +59,19 @@ def text_log(spark: SparkSession, patterns: list[str] | str, record_start: str =
 
     A record starts at a line that matches ``record_start``; lines that do not
     belong to the record before them.  Files up to ``whole_file_bytes`` are read
-    whole without a shuffle.  Larger ones are read in splits; both parts are
-    chosen when files are listed, so no file is read twice.  A stream reads every
+    whole without a shuffle.  Larger ones are read in splits.  Which files
+    belong to which part is decided when they are listed.  A stream reads every
     file whole: its files must be closed, rolled files of at most about 1 GB.
     """
     paths = [patterns] if isinstance(patterns, str) else list(patterns)
     if streaming:
         if len(paths) != 1:
             raise ValueError("a stream takes one pattern")
-        files = spark.readStream.option("wholetext", True).text(paths[0])
+        files = spark.readStream.text(paths[0], wholetext=True)
         return _whole_files(files.select("value", F.col("_metadata.file_path").alias("_path")), record_start)
     size, path = F.col("_metadata.file_size"), F.col("_metadata.file_path").alias("_path")
-    small = spark.read.option("wholetext", True).text(paths).filter(size <= whole_file_bytes).select("value", path)
-    large = spark.read.option("lineSep", "\n").text(paths).filter(size > whole_file_bytes).select(
+    small = spark.read.text(paths, wholetext=True).filter(size <= whole_file_bytes).select("value", path)
+    large = spark.read.text(paths, lineSep="\n").filter(size > whole_file_bytes).select(
         "value", path, F.col("_metadata.file_block_start").alias("_block"))
     return _whole_files(small, record_start).unionByName(_split_files(large, record_start))
 

@@ -1,0 +1,4 @@
+"""Structured Streaming forms of routing and audits."""
+
+from sluicework.streaming.audits import audit_stream  # noqa: F401
+from sluicework.streaming.flows import stream_flows  # noqa: F401
