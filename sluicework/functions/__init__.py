@@ -2,7 +2,8 @@
 
 Every argument that is not a Column is taken as a literal, so a column is named
 with ``F.col``.  All functions are built-in Spark expressions (no Python UDF) and
-work on batch and streaming DataFrames alike.
+work on batch and streaming DataFrames alike.  ``materialize`` and ``geo_location``,
+which take tables, are in ``sluicework.operators``.
 """
 
 from sluicework.functions.bitwise import *  # noqa: F401,F403
@@ -16,5 +17,3 @@ from sluicework.functions.predicates import *  # noqa: F401,F403
 from sluicework.functions.special import *  # noqa: F401,F403
 from sluicework.functions.text import *  # noqa: F401,F403
 from sluicework.functions.types import *  # noqa: F401,F403
-from sluicework.operators.enrich import geo_location  # noqa: F401
-from sluicework.operators.tabular import materialize  # noqa: F401

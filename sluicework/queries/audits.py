@@ -238,8 +238,8 @@ def _place(section, entry="0", check=0, member="0", inner="0"):
 
 def _members(source, column, keep):
     """Members of a JSON list column, numbered from 1, with their type."""
-    return (f"SELECT *, json_type(member) AS kind, member->>'$' AS word FROM (SELECT {keep}, unnest(from_json({column}, '[\"JSON\"]')) AS member, "
-            f"unnest(range(json_array_length({column}))) + 1 AS at FROM {source} WHERE json_type({column}) = 'ARRAY')")
+    return (f"SELECT *, coalesce(json_type(member), 'NULL') AS kind, member->>'$' AS word FROM (SELECT {keep}, unnest(from_json({column}, '[\"JSON\"]')) AS member, "
+            f"unnest(range(CAST(json_array_length({column}) AS BIGINT))) + 1 AS idx FROM {source} WHERE json_type({column}) = 'ARRAY')")
 
 
 def rule_audit_sql(docs, result):
@@ -258,57 +258,57 @@ def rule_audit_sql(docs, result):
         _rule_finding("r_p", _place(3), "DCR020", where=f"{workspace} AND json_type(sources) = 'OBJECT' AND len(json_keys(sources)) > 0"),
         _rule_finding("r_p", _place(4), "DCR021", "json_array_length(logs)", where=f"{workspace} AND {is_list.format('logs')} AND json_array_length(logs) <> 1"),
         _rule_finding("r_p", _place(4), "DCR022", where=f"{workspace} AND json_type(dests) = 'OBJECT' AND {no_list.format('logs')}"),
-        _rule_finding("r_flow_stream", _place(5, "flow", 0, "at"), "DCR023", "flow", "word",
+        _rule_finding("r_flow_stream", _place(5, "flow", 0, "idx"), "DCR023", "flow", "word",
                       where=f"{workspace} AND kind_of = 'VARCHAR' AND NOT starts_with(word, 'Microsoft-Table-')"),
         _rule_finding("r_p", _place(6), "DCR024", where="kind = 'Direct' AND NOT has_endpoint AND NOT has_top_endpoint"),
-        _rule_finding("r_dest", _place(7, "at"), "DCR032", "at", where="type <> 'OBJECT'"),
-        _rule_finding("r_dest", _place(7, "at", 1), "DCR033", "at", where="type = 'OBJECT' AND coalesce(json_type(j, '$.name'), '') <> 'VARCHAR'"),
-        _rule_finding("r_dest", _place(7, "at", 2), "DCR034", "at", where="type = 'OBJECT' AND json_type(j, '$.workspaceResourceId') IS NULL"),
-        _rule_finding("r_dest", _place(7, "at", 3), "DCR035", "at", where="type = 'OBJECT' AND json_type(j, '$.workspaceResourceId') = 'VARCHAR' AND NOT contains(j->>'$.workspaceResourceId', '/providers/')"),
+        _rule_finding("r_dest", _place(7, "idx"), "DCR032", "idx", where="type <> 'OBJECT'"),
+        _rule_finding("r_dest", _place(7, "idx", 1), "DCR033", "idx", where="type = 'OBJECT' AND coalesce(json_type(j, '$.name'), '') <> 'VARCHAR'"),
+        _rule_finding("r_dest", _place(7, "idx", 2), "DCR034", "idx", where="type = 'OBJECT' AND json_type(j, '$.workspaceResourceId') IS NULL"),
+        _rule_finding("r_dest", _place(7, "idx", 3), "DCR035", "idx", where="type = 'OBJECT' AND json_type(j, '$.workspaceResourceId') = 'VARCHAR' AND NOT contains(j->>'$.workspaceResourceId', '/providers/')"),
         _rule_finding("r_p", _place(8), "DCR030", where="json_type(dests) <> 'OBJECT'"),
         _rule_finding("r_p", _place(8), "DCR031", where="dests IS NULL"),
         _rule_finding("r_declared", _place(9, "nr", 0), "DCR050", "name", where="NOT starts_with(name, 'Custom-') AND NOT starts_with(name, 'Microsoft-')"),
-        _rule_finding("r_column", _place(9, "nr", 1, "at * 10 + 1"), "DCR051", "at", "name", where="json_type(j, '$.name') IS NULL"),
-        _rule_finding("r_column", _place(9, "nr", 1, "at * 10 + 2"), "DCR052", "at", "name", "j->>'$.type'",
+        _rule_finding("r_column", _place(9, "nr", 1, "idx * 10 + 1"), "DCR051", "idx", "name", where="json_type(j, '$.name') IS NULL"),
+        _rule_finding("r_column", _place(9, "nr", 1, "idx * 10 + 2"), "DCR052", "idx", "name", "j->>'$.type'",
                       where=f"json_type(j, '$.type') = 'VARCHAR' AND lower(j->>'$.type') NOT IN {_in(fv.COLUMN_TYPES)}"),
-        _rule_finding("r_column", _place(9, "nr", 1, "at * 10 + 3"), "DCR053", "at", "name", where="coalesce(json_type(j, '$.type'), '') <> 'VARCHAR'"),
+        _rule_finding("r_column", _place(9, "nr", 1, "idx * 10 + 3"), "DCR053", "idx", "name", where="coalesce(json_type(j, '$.type'), '') <> 'VARCHAR'"),
         _rule_finding("r_declared", _place(9, "nr", 2), "DCR054", "name", where=no_list.format("columns")),
-        _rule_finding("r_file", _place(10, "at"), "DCR100", "at", where="type <> 'OBJECT'"),
-        _rule_finding("r_file", _place(10, "at", 1), "DCR101", "at", where=f"{file_ok} AND json_type(j, '$.name') IS NULL"),
-        _rule_finding("r_file", _place(10, "at", 2), "DCR102", "at", where=f"{file_ok} AND json_array_length(j->'$.streams') = 0 AND {is_list.format('j->$$$.streams$$')}"),
-        _rule_finding("r_file_stream", _place(10, "file", 3, "at"), "DCR103", "file", "word",
+        _rule_finding("r_file", _place(10, "idx"), "DCR100", "idx", where="type <> 'OBJECT'"),
+        _rule_finding("r_file", _place(10, "idx", 1), "DCR101", "idx", where=f"{file_ok} AND json_type(j, '$.name') IS NULL"),
+        _rule_finding("r_file", _place(10, "idx", 2), "DCR102", "idx", where=f"{file_ok} AND json_array_length(j->'$.streams') = 0 AND {is_list.format('j->$$$.streams$$')}"),
+        _rule_finding("r_file_stream", _place(10, "file", 3, "idx"), "DCR103", "file", "word",
                       where="kind_of = 'VARCHAR' AND starts_with(word, 'Custom-') AND (doc_id, word) NOT IN (SELECT doc_id, name FROM r_declared)"),
-        _rule_finding("r_file", _place(10, "at", 4), "DCR104", "at", where=f"{file_ok} AND {no_list.format('j->$$$.streams$$')}"),
-        _rule_finding("r_file", _place(10, "at", 5), "DCR105", "at", where=f"{file_ok} AND json_array_length(j->'$.filePatterns') = 0 AND {is_list.format('j->$$$.filePatterns$$')}"),
-        _rule_finding("r_file", _place(10, "at", 6), "DCR106", "at", where=f"{file_ok} AND {no_list.format('j->$$$.filePatterns$$')}"),
-        _rule_finding("r_file", _place(10, "at", 7), "DCR107", "at", "j->>'$.format'",
+        _rule_finding("r_file", _place(10, "idx", 4), "DCR104", "idx", where=f"{file_ok} AND {no_list.format('j->$$$.streams$$')}"),
+        _rule_finding("r_file", _place(10, "idx", 5), "DCR105", "idx", where=f"{file_ok} AND json_array_length(j->'$.filePatterns') = 0 AND {is_list.format('j->$$$.filePatterns$$')}"),
+        _rule_finding("r_file", _place(10, "idx", 6), "DCR106", "idx", where=f"{file_ok} AND {no_list.format('j->$$$.filePatterns$$')}"),
+        _rule_finding("r_file", _place(10, "idx", 7), "DCR107", "idx", "j->>'$.format'",
                       where=f"{file_ok} AND json_type(j, '$.format') = 'VARCHAR' AND j->>'$.format' NOT IN {_in(fv.LOG_FORMATS)}"),
-        _rule_finding("r_file", _place(10, "at", 8), "DCR108", "at",
+        _rule_finding("r_file", _place(10, "idx", 8), "DCR108", "idx",
                       where=f"{file_ok} AND json_type(j, '$.format') = 'VARCHAR' AND j->>'$.format' = 'text' AND json_type(j, '$.settings.text.recordStartTimestampFormat') IS NULL"),
-        _rule_finding("r_file", _place(10, "at", 9), "DCR109", "at", where=f"{file_ok} AND coalesce(json_type(j, '$.format'), '') <> 'VARCHAR'"),
+        _rule_finding("r_file", _place(10, "idx", 9), "DCR109", "idx", where=f"{file_ok} AND coalesce(json_type(j, '$.format'), '') <> 'VARCHAR'"),
         _rule_finding("r_p", _place(11), "DCR090", where=f"{is_list.format('files')} AND NOT has_endpoint"),
         _rule_finding("r_p", _place(12), "DCR040", where=f"{is_list.format('flows')} AND json_array_length(flows) = 0"),
-        _rule_finding("r_flow", _place(13, "at"), "DCR060", "at", where="type <> 'OBJECT'"),
-        _rule_finding("r_flow", _place(13, "at", 1), "DCR061", "at", where=f"{flow_ok} AND {is_list.format('j->$$$.streams$$')} AND json_array_length(j->'$.streams') = 0"),
-        _rule_finding("r_flow_stream", _place(13, "flow", 2, "at"), "DCR066", "flow", "word",
+        _rule_finding("r_flow", _place(13, "idx"), "DCR060", "idx", where="type <> 'OBJECT'"),
+        _rule_finding("r_flow", _place(13, "idx", 1), "DCR061", "idx", where=f"{flow_ok} AND {is_list.format('j->$$$.streams$$')} AND json_array_length(j->'$.streams') = 0"),
+        _rule_finding("r_flow_stream", _place(13, "flow", 2, "idx"), "DCR066", "flow", "word",
                       where="kind_of = 'VARCHAR' AND starts_with(word, 'Custom-') AND (doc_id, word) NOT IN (SELECT doc_id, name FROM r_declared)"),
-        _rule_finding("r_flow_stream", _place(13, "flow", 2, "at"), "DCR067", "flow", "word",
+        _rule_finding("r_flow_stream", _place(13, "flow", 2, "idx"), "DCR067", "flow", "word",
                       where=f"kind_of = 'VARCHAR' AND starts_with(word, 'Microsoft-') AND NOT starts_with(word, 'Microsoft-Table-') AND word NOT IN {_in(fv.KNOWN_STREAMS)}"),
-        _rule_finding("r_flow", _place(13, "at", 3), "DCR062", "at", where=f"{flow_ok} AND {no_list.format('j->$$$.streams$$')}"),
-        _rule_finding("r_flow", _place(13, "at", 4), "DCR063", "at", where=f"{flow_ok} AND {is_list.format('j->$$$.destinations$$')} AND json_array_length(j->'$.destinations') = 0"),
-        _rule_finding("r_flow_dest", _place(13, "flow", 5, "at"), "DCR064", "flow", "word",
+        _rule_finding("r_flow", _place(13, "idx", 3), "DCR062", "idx", where=f"{flow_ok} AND {no_list.format('j->$$$.streams$$')}"),
+        _rule_finding("r_flow", _place(13, "idx", 4), "DCR063", "idx", where=f"{flow_ok} AND {is_list.format('j->$$$.destinations$$')} AND json_array_length(j->'$.destinations') = 0"),
+        _rule_finding("r_flow_dest", _place(13, "flow", 5, "idx"), "DCR064", "flow", "word",
                       where="kind_of = 'VARCHAR' AND (doc_id, word) NOT IN (SELECT doc_id, name FROM r_defined)"),
-        _rule_finding("r_flow", _place(13, "at", 6), "DCR065", "at", where=f"{flow_ok} AND {no_list.format('j->$$$.destinations$$')}"),
+        _rule_finding("r_flow", _place(13, "idx", 6), "DCR065", "idx", where=f"{flow_ok} AND {no_list.format('j->$$$.destinations$$')}"),
         *[f"SELECT key.doc_id, {_place(13, 'key.flow', check, '0', 'seq')} AS place, '{prefix}' || code AS code, severity, "
           f"{_message(fv.EMBEDDED_MESSAGE, 'key.flow', 'message')} AS message, suggestion FROM q_findings WHERE severity = '{severity}'"
           for check, severity, prefix in ((7, "error", fv.EMBEDDED_ERROR), (8, "warning", fv.EMBEDDED_WARNING))],
-        _rule_finding("r_flow", _place(13, "at", 9), "DCR080", "at", "output", where="starts_with(output, 'Custom-') AND NOT ends_with(output, '_CL')"),
-        _rule_finding("r_flow", _place(13, "at", 9), "DCR081", "at", "output", where="NOT starts_with(output, 'Custom-') AND NOT starts_with(output, 'Microsoft-')"),
+        _rule_finding("r_flow", _place(13, "idx", 9), "DCR080", "idx", "output", where="starts_with(output, 'Custom-') AND NOT ends_with(output, '_CL')"),
+        _rule_finding("r_flow", _place(13, "idx", 9), "DCR081", "idx", "output", where="NOT starts_with(output, 'Custom-') AND NOT starts_with(output, 'Microsoft-')"),
         _rule_finding("r_p", _place(14), "DCR041", where=f"flows IS NOT NULL AND {no_list.format('flows')}"),
         _rule_finding("r_p", _place(14), "DCR042", where="flows IS NULL"),
     ]
     found = [f.replace("$$$.", "'$.").replace("$$", "'") for f in found]
-    transforms = (f"SELECT {{'doc_id': doc_id, 'flow': at}} AS key, text FROM (SELECT doc_id, at, {_trim('kql')} AS text FROM r_flow WHERE kql IS NOT NULL) "
+    transforms = (f"SELECT {{'doc_id': doc_id, 'flow': idx}} AS key, text FROM (SELECT doc_id, idx, {_trim('kql')} AS text FROM r_flow WHERE kql IS NOT NULL) "
                   "WHERE text NOT IN ('', 'source')")
     severity, message, _ = fv.RULE_FINDINGS["DCR000"]
     return f"""WITH docs AS ({docs}),
@@ -325,23 +325,23 @@ def rule_audit_sql(docs, result):
                    props->'$.dataSources.logFiles' AS files, props->'$.dataFlows' AS flows,
                    json_type(props, '$.dataCollectionEndpointId') IS NOT NULL AS has_endpoint
             FROM r_doc WHERE json_type(props) = 'OBJECT'),
-    r_dest AS (SELECT doc_id, member AS j, at, kind AS type FROM ({_members('r_p', 'logs', 'doc_id')})),
+    r_dest AS (SELECT doc_id, member AS j, idx, kind AS type FROM ({_members('r_p', 'logs', 'doc_id')})),
     r_defined AS (SELECT doc_id, j->>'$.name' AS name FROM r_dest WHERE type = 'OBJECT' AND json_type(j, '$.name') = 'VARCHAR'
                   UNION SELECT doc_id, dests->>'$.azureMonitorMetrics.name' FROM r_p WHERE json_type(dests, '$.azureMonitorMetrics.name') = 'VARCHAR'),
     r_names AS (SELECT doc_id, declarations, unnest(json_keys(declarations)) AS name FROM r_p WHERE json_type(declarations) = 'OBJECT'),
     r_declared AS (SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY name) AS nr,
                           json_extract(declarations, '$."' || name || '".columns') AS columns FROM r_names),
-    r_column AS (SELECT doc_id, name, nr, at, member AS j FROM ({_members('r_declared', 'columns', 'doc_id, name, nr')}) WHERE kind = 'OBJECT'),
-    r_file AS (SELECT doc_id, at, member AS j, kind AS type FROM ({_members('r_p', 'files', 'doc_id')})),
-    r_file_list AS (SELECT doc_id, at AS file, j->'$.streams' AS streams FROM r_file WHERE type = 'OBJECT'),
-    r_file_stream AS (SELECT doc_id, file, at, kind AS kind_of, word FROM ({_members('r_file_list', 'streams', 'doc_id, file')})),
-    r_flow AS (SELECT doc_id, rule_kind, at, member AS j, kind AS type,
+    r_column AS (SELECT doc_id, name, nr, idx, member AS j FROM ({_members('r_declared', 'columns', 'doc_id, name, nr')}) WHERE kind = 'OBJECT'),
+    r_file AS (SELECT doc_id, idx, member AS j, kind AS type FROM ({_members('r_p', 'files', 'doc_id')})),
+    r_file_list AS (SELECT doc_id, idx AS file, j->'$.streams' AS streams FROM r_file WHERE type = 'OBJECT'),
+    r_file_stream AS (SELECT doc_id, file, idx, kind AS kind_of, word FROM ({_members('r_file_list', 'streams', 'doc_id, file')})),
+    r_flow AS (SELECT doc_id, rule_kind, idx, member AS j, kind AS type,
                       CASE WHEN kind = 'OBJECT' THEN {string.format("(member->'$.transformKql')")} END AS kql,
                       CASE WHEN kind = 'OBJECT' THEN {string.format("(member->'$.outputStream')")} END AS output
                FROM ({_members('r_p', 'flows', 'doc_id, kind AS rule_kind')})),
-    r_flow_list AS (SELECT doc_id, rule_kind, at AS flow, j->'$.streams' AS streams, j->'$.destinations' AS dests FROM r_flow WHERE type = 'OBJECT'),
-    r_flow_stream AS (SELECT doc_id, rule_kind AS kind, flow, at, kind AS kind_of, word FROM ({_members('r_flow_list', 'streams', 'doc_id, rule_kind, flow')})),
-    r_flow_dest AS (SELECT doc_id, flow, at, kind AS kind_of, word FROM ({_members('r_flow_list', 'dests', 'doc_id, flow')})),
+    r_flow_list AS (SELECT doc_id, rule_kind, idx AS flow, j->'$.streams' AS streams, j->'$.destinations' AS dests FROM r_flow WHERE type = 'OBJECT'),
+    r_flow_stream AS (SELECT doc_id, rule_kind AS kind, flow, idx, kind AS kind_of, word FROM ({_members('r_flow_list', 'streams', 'doc_id, rule_kind, flow')})),
+    r_flow_dest AS (SELECT doc_id, flow, idx, kind AS kind_of, word FROM ({_members('r_flow_list', 'dests', 'doc_id, flow')})),
     {query_ctes(transforms)},
     r_all AS ({' UNION ALL '.join(found)}),
     r_judged AS (SELECT * FROM r_all UNION ALL
@@ -356,7 +356,7 @@ _RULE_FINDINGS = _FINDINGS.replace("q_findings", "r_findings")
 _PAIRS = """
     SELECT s.doc_id, CAST(s.flow AS INTEGER) AS flow, s.word AS stream, t.word AS destination, f.kql AS transform, f.output AS output_stream
     FROM r_flow_stream s JOIN r_flow_dest t ON s.doc_id = t.doc_id AND s.flow = t.flow
-         JOIN r_flow f ON f.doc_id = s.doc_id AND f.at = s.flow
+         JOIN r_flow f ON f.doc_id = s.doc_id AND f.idx = s.flow
     WHERE s.kind_of = 'VARCHAR' AND t.kind_of = 'VARCHAR'"""
 _PROPS = "SELECT event_id AS doc_id, props AS body FROM events"
 
