@@ -174,23 +174,23 @@ def query_ctes(texts):
     q_text AS ({texts}),
     q_raw AS (SELECT key, unnest(l) AS token, unnest(range(len(l))) AS pos
               FROM (SELECT key, regexp_extract_all(text, {_q(TOKEN)}) AS l FROM q_text)),
-    q_next AS (SELECT key, pos, token, lower(token) AS low, regexp_full_match(token, '[A-Za-z_][A-Za-z0-9_]*') AS is_name,
+    q_next AS MATERIALIZED (SELECT key, pos, token, lower(token) AS low, regexp_full_match(token, '[A-Za-z_][A-Za-z0-9_]*') AS is_name,
                       lead(token) OVER {per_key} AS next
                FROM q_raw WHERE NOT starts_with(token, '//')),
-    q_word AS (SELECT key, pos, token, low, is_name, row_number() OVER {per_key} AS n, lag(token) OVER {per_key} AS before,
+    q_word AS MATERIALIZED (SELECT key, pos, token, low, is_name, row_number() OVER {per_key} AS n, lag(token) OVER {per_key} AS before,
                       lead(low) OVER {per_key} AS low1, lead(low, 2) OVER {per_key} AS low2
                FROM q_next WHERE token NOT IN (chr(10), '\\n')),
-    q_staged AS (SELECT *, sum(CASE WHEN token IN ('|', ';') THEN 1 ELSE 0 END) OVER {per_key} AS stage FROM q_word),
+    q_staged AS MATERIALIZED (SELECT *, sum(CASE WHEN token IN ('|', ';') THEN 1 ELSE 0 END) OVER {per_key} AS stage FROM q_word),
     q_blank AS (SELECT key FROM q_text WHERE key NOT IN (SELECT key FROM q_word)),
-    q_head AS (SELECT *, CASE WHEN low1 = '-' AND low || '-' || low2 IN {_in(fv.HYPHENATED_OPERATORS)}
+    q_head AS MATERIALIZED (SELECT *, CASE WHEN low1 = '-' AND low || '-' || low2 IN {_in(fv.HYPHENATED_OPERATORS)}
                               THEN low || '-' || low2 ELSE low END AS op
                FROM q_staged WHERE is_name AND (before IS NULL OR before IN ('|', ';'))),
     q_op AS (SELECT *, min(pos) FILTER (WHERE op IN {_in(fv.REFUSED_OPERATORS)}) OVER (PARTITION BY key) AS refused FROM q_head),
     q_call AS (SELECT *, min(pos) FILTER (WHERE low IN {_in(wrong)}) OVER (PARTITION BY key) AS wrong
                FROM q_next WHERE is_name AND next = '('),
-    q_about AS (SELECT key, any_value(text) AS text, bool_or(low = 'project') AS projects, bool_or(token = 'TimeGenerated') AS timed,
-                       bool_or(low = 'externaldata') AS external
-                FROM q_word JOIN q_text USING (key) GROUP BY key),
+    q_names AS (SELECT key, bool_or(low = 'project') AS projects, bool_or(token = 'TimeGenerated') AS timed,
+                       bool_or(low = 'externaldata') AS external FROM q_word GROUP BY key),
+    q_about AS (SELECT * FROM q_names JOIN q_text USING (key)),
     q_with AS (SELECT h.key, h.pos, h.stage, min(w.pos) FILTER (WHERE w.low = 'with') AS at
                FROM q_head h LEFT JOIN q_staged w ON w.key = h.key AND w.stage = h.stage AND w.pos > h.pos
                WHERE h.op = 'parse' GROUP BY ALL),
@@ -200,7 +200,7 @@ def query_ctes(texts):
                 GROUP BY ALL),
     q_other AS (SELECT key, arg_min(token, pos) AS token, arg_min(low, pos) AS low FROM q_head
                 WHERE low NOT IN {_in(passed)} GROUP BY key),
-    q_all AS ({' UNION ALL '.join(found)}),
+    q_all AS MATERIALIZED ({' UNION ALL '.join(found)}),
     q_judged AS (SELECT * FROM q_all UNION ALL
                  SELECT key, 11, 0, '{code}', '{severity}', {_q(message)}, NULL FROM q_text
                  WHERE key NOT IN (SELECT key FROM q_all WHERE severity = 'error')),
