@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluicework import fixed_values as fv
-from sluicework.plans.findings import bind, has_error, mark, marks_where, to_rows
+from sluicework.plans.findings import bind, has_error, mark, marks_where, none, to_rows
 
 WORD = "[A-Za-z_][A-Za-z0-9_]*+"
 AFTER = "(?<![A-Za-z0-9_])"
@@ -67,16 +67,15 @@ def _extract_all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
 
-def _names(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def _first(items: Column, names: list[str]) -> Column:
+    """The first of ``items`` that is, in lower case, among ``names``, or null."""
+    return F.get(F.filter(items, lambda n: F.lower(n).isin(names)), F.lit(0))
 
 
-def _before_first(items: Column, lowered: Column, stops: list[str]) -> tuple[Column, Column]:
-    """Items ahead of the first one in ``stops``, and that first one (or null)."""
-    hit = F.get(F.array_intersect(lowered, _names(stops)), F.lit(0))
-    ahead = F.when(hit.isNull(), items).otherwise(
-        F.slice(items, F.lit(1), F.array_position(lowered, hit).cast("int") - 1))
-    return ahead, hit
+def _ahead(items: Column, stop: Column) -> Column:
+    """Items ahead of the first ``stop``; all where it is null."""
+    return F.when(stop.isNull(), items).otherwise(
+        F.slice(items, F.lit(1), F.array_position(items, stop).cast("int") - 1))
 
 
 def _start(words: Column) -> Column:
@@ -87,29 +86,32 @@ def _start(words: Column) -> Column:
 def _operators(heads: Column) -> Column:
     """First refused operator, and unknown ones ahead of it."""
 
-    def judge(names: Column) -> Column:
-        ahead, refused = _before_first(names, names, list(fv.REFUSED_OPERATORS))
-        unknown = F.filter(ahead, lambda n: ~n.isin(KNOWN_OPERATORS))
+    def judge(names: Column, refused: Column) -> Column:
+        unknown = F.filter(_ahead(names, refused), lambda n: ~n.isin(KNOWN_OPERATORS))
         return F.concat(
             F.transform(unknown, lambda n: mark("unknown_operator", n)),
             F.array(F.when(refused.isNotNull(), mark("refused_operator", refused, name=refused))),
         )
 
-    return bind(F.transform(heads, lambda n: F.lower(F.regexp_replace(n, "[^A-Za-z0-9_-]", ""))), judge)
+    names = F.transform(heads, lambda n: F.lower(F.regexp_replace(n, "[^A-Za-z0-9_-]", "")))
+    return bind(names, lambda ops: bind(
+        _first(ops, list(fv.REFUSED_OPERATORS)), lambda refused: judge(ops, refused)))
 
 
 def _calls(calls: Column) -> Column:
     """Unlisted functions ahead of the first wrong name, and that name."""
-    ahead, _ = _before_first(calls, F.transform(calls, F.lower), list(fv.WRONG_FUNCTION_NAMES))
-    unlisted = F.filter(
-        ahead, lambda c: ~F.lower(c).isin(SKIPPED_CALLS + fv.SCALAR_FUNCTIONS))
-    wrong = F.get(F.filter(calls, lambda c: F.lower(c).isin(list(fv.WRONG_FUNCTION_NAMES))), F.lit(0))
-    return F.concat(
-        F.transform(unlisted, lambda c: F.when(
-            F.lower(c).isin(fv.REFUSED_FUNCTIONS), mark("refused_function", c),
-        ).otherwise(mark("unknown_function", c))),
-        F.array(F.when(wrong.isNotNull(), mark("wrong_name", wrong, name=F.lower(wrong)))),
-    )
+
+    def judge(wrong: Column) -> Column:
+        unlisted = F.filter(
+            _ahead(calls, wrong), lambda c: ~F.lower(c).isin(SKIPPED_CALLS + fv.SCALAR_FUNCTIONS))
+        return F.concat(
+            F.transform(unlisted, lambda c: F.when(
+                F.lower(c).isin(fv.REFUSED_FUNCTIONS), mark("refused_function", c),
+            ).otherwise(mark("unknown_function", c))),
+            F.array(F.when(wrong.isNotNull(), mark("wrong_name", wrong, name=F.lower(wrong)))),
+        )
+
+    return bind(_first(calls, list(fv.WRONG_FUNCTION_NAMES)), judge)
 
 
 def _time_column(text: Column, clean: Column, lowered: Column) -> Column:
@@ -120,7 +122,7 @@ def _time_column(text: Column, clean: Column, lowered: Column) -> Column:
     )
 
 
-def _parse_columns(words: Column) -> Column:
+def _parse_columns(words: Column, lowered: Column) -> Column:
     """Names captured by each parse stage; after ``with``, type names do not count."""
     stages = _extract_all(words, rf"{STAGE_START}(?i:parse){END}([^|;]*)")
     with_word = rf"(?i){AFTER}with{END}"
@@ -132,7 +134,8 @@ def _parse_columns(words: Column) -> Column:
             .otherwise(F.regexp_count(stage, F.lit(AFTER + WORD)))
 
     over = F.filter(F.transform(stages, captured), lambda n: n > fv.MAX_PARSE_COLUMNS)
-    return F.transform(over, lambda n: mark("parse_columns", n.cast("string")))
+    found = F.transform(over, lambda n: mark("parse_columns", n.cast("string")))
+    return F.when(F.contains(lowered, F.lit("parse")), found).otherwise(none())
 
 
 def _mistakes(calls: Column, lowered: Column) -> Column:
@@ -152,8 +155,9 @@ def _table_name(heads: Column) -> Column:
     passed = [n for n in fv.TABLE_OPERATORS + list(fv.REFUSED_OPERATORS) if n != "print"] + ["let"]
     names = F.transform(heads, lambda n: F.regexp_extract(n, WORD, 0))
     name = F.get(F.filter(names, lambda n: ~F.lower(n).isin(passed)), F.lit(0))
-    return bind(name, lambda n: F.when(
+    found = bind(name, lambda n: F.when(
         n.isNotNull() & ~F.lower(n).isin("source", "print"), mark("table_name", n)))
+    return F.when(F.lower(F.get(heads, F.lit(0))) != "source", found)
 
 
 def words_of(clean: Column) -> Column:
@@ -177,7 +181,7 @@ def query_marks(q) -> Column:
     found = F.concat(
         F.array(_start(q["words"])), _operators(q["heads"]), _calls(q["calls"]),
         _time_column(q["text"], q["clean"], q["lowered"]),
-        _parse_columns(q["words"]), _mistakes(q["calls"], q["lowered"]), F.array(_table_name(q["heads"])),
+        _parse_columns(q["words"], q["lowered"]), _mistakes(q["calls"], q["lowered"]), F.array(_table_name(q["heads"])),
     )
     any_word = F.rlike(q["words"], F.lit(r"[|()\[\],;.=<>+\-*/%!~A-Za-z0-9_'\"]"))
     return F.when(any_word, F.array_compact(found)).otherwise(F.array(mark("empty")))

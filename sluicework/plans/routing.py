@@ -18,10 +18,12 @@ def flow_pairs(rules: DataFrame) -> DataFrame:
     """Plan rows of a fleet: ``(doc_id, flow, stream, destination, transform, output_stream)``.
 
     One row for each stream and destination that a flow pairs, as the documents
-    list them; made inside the document's row, without a shuffle.
+    list them; made inside the document's row, without a shuffle.  (The outer
+    explode keeps the optimizer from testing ``size(flows) > 0`` beforehand, which
+    would parse every document a second time.)
     """
     return (
-        parsed_rules(rules).select("doc_id", F.explode("flows").alias("f")).filter("not f.bad")
+        parsed_rules(rules).select("doc_id", F.explode_outer("flows").alias("f")).filter("not f.bad")
         .select("doc_id", F.col("f.number").cast("int").alias("flow"), F.explode("f.streams").alias("stream"), "f")
         .select("doc_id", "flow", "stream", F.explode("f.destinations").alias("destination"),
                 F.col("f.transform").alias("transform"), F.col("f.output_stream").alias("output_stream"))

@@ -12,21 +12,21 @@ from sluicework.plans import (
 )
 from sluicework.queries.fleet import QUERY_TEMPLATES, RULE_TEMPLATES, fleet_sql, query_fleet, rule_fleet
 from sluicework.queries.tables import table
-from sluicework.session import fresh_path
+from sluicework.session import fresh_path, spread
 from sluicework.streaming import audit_stream
 
 
 def _texts(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.col("text").alias("body"))
+    return spread(table(spark, d, "documents").select("doc_id", F.col("text").alias("body")))
 
 
 def _chats(spark, d):
     chats = table(spark, d, "conversations")
-    return chats.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("text").alias("body"))
+    return spread(chats).select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("text").alias("body"))
 
 
 def _props(spark, d):
-    return table(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.col("props").alias("body"))
+    return spread(table(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.col("props").alias("body")))
 
 
 def u_query_fleet(spark, d):

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluicework.queries.tables import table
+from sluicework.session import spread
 
 QUERY_TEMPLATES = [
     "source",
@@ -105,7 +106,7 @@ def _filled(text: Column) -> Column:
 
 
 def _fleet(spark, folder: str, templates: list[str]) -> DataFrame:
-    events = table(spark, folder, "events").select("event_id", "event_type", "user_id")
+    events = spread(table(spark, folder, "events").select("event_id", "event_type", "user_id"))
     return events.select(F.col("event_id").alias("doc_id"), _filled(_picked(templates, F.col("event_id"))).alias("body"))
 
 
