@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluicework import fixed_values as fv
-from sluicework.plans.findings import bind, has_error, mark, marks_where, none, to_rows
+from sluicework.plans.findings import Steps, apply_steps, bind, has_error, mark, marks_where, none, once, to_rows
+from sluicework.session import prepare
 
 WORD = "[A-Za-z_][A-Za-z0-9_]*+"
 AFTER = "(?<![A-Za-z0-9_])"
@@ -187,39 +188,48 @@ def query_marks(q) -> Column:
     return F.when(any_word, F.array_compact(found)).otherwise(F.array(mark("empty")))
 
 
-def embedded_marks(texts: DataFrame, column: str) -> DataFrame:
-    """Replace an array column of texts (null where there is none) by their marks."""
-    def step(df: DataFrame, *names: str, **more) -> DataFrame:
-        return df.withColumn(column, F.transform(column, lambda q: F.struct(
-            *[q[n].alias(n) for n in names], *[f(q).alias(n) for n, f in more.items()])))
-
-    df = texts.withColumn(column, F.transform(
-        column, lambda t: F.struct(t.alias("text"), cleaned(t).alias("clean"))))
-    df = step(df, "text", "clean", words=lambda q: words_of(q["clean"]))
-    df = step(df, "text", "clean", "words", lowered=lambda q: F.lower(q["clean"]),
-              calls=lambda q: calls_of(q["clean"]), heads=lambda q: heads_of(q["words"]))
-    return df.withColumn(column, F.transform(column, lambda q: F.when(q["text"].isNotNull(), query_marks(q))))
+def embedded_steps(column: str) -> Steps:
+    """Steps that replace an array of texts (null where there is none) by their marks."""
+    def step(*names: str, **more) -> tuple[str, Column]:
+        return column, F.transform(column, lambda q: F.struct(
+            *[q[n].alias(n) for n in names], *[f(q).alias(n) for n, f in more.items()]))
+
+    return [
+        (column, F.transform(column, lambda t: F.struct(t.alias("text"), cleaned(t).alias("clean")))),
+        step("text", "clean", words=lambda q: words_of(q["clean"])),
+        step("text", "clean", "words", lowered=lambda q: F.lower(q["clean"]),
+             calls=lambda q: calls_of(q["clean"]), heads=lambda q: heads_of(q["words"])),
+        (column, F.transform(column, lambda q: F.when(q["text"].isNotNull(), query_marks(q)))),
+    ]
+
+
+def bounded_text() -> Column:
+    """The trimmed body; null where it is over the size limit."""
+    return F.when(F.octet_length("body") > fv.MAX_BODY_BYTES, None).otherwise(trimmed(F.col("body")))
+
+
+@once
+def _steps() -> Steps:
+    text, clean, words = F.col("text"), F.col("clean"), F.col("words")
+    parts = ("text", "clean", "words", "lowered", "calls", "heads")
+    return [
+        ("text", bounded_text()),
+        ("clean", cleaned(text)),
+        ("words", words_of(clean)),
+        ("lowered", F.lower("clean")),
+        ("calls", calls_of(clean)),
+        ("heads", heads_of(words)),
+        ("found", query_marks({n: F.col(n) for n in parts})),
+        ("marks", F.when(text.isNull(), F.array(mark("too_big")))
+         .when(has_error(F.col("found")), F.col("found"))
+         .otherwise(F.concat("found", F.array(mark("valid"))))),
+    ]
 
 
 def judge_queries(docs: DataFrame) -> DataFrame:
     """``(doc_id, body)`` -> ``(doc_id, marks)``, one row per text."""
-    too_big = F.octet_length("body") > fv.MAX_BODY_BYTES
-    df = (
-        docs.select("doc_id", F.when(too_big, None).otherwise(trimmed(F.col("body"))).alias("text"))
-        .withColumn("clean", cleaned(F.col("text")))
-        .withColumn("words", words_of(F.col("clean")))
-        .withColumn("lowered", F.lower("clean"))
-        .withColumn("calls", calls_of(F.col("clean")))
-        .withColumn("heads", heads_of(F.col("words")))
-    )
-    names = ("text", "clean", "words", "lowered", "calls", "heads")
-    found = df.select("doc_id", "text", query_marks({n: F.col(n) for n in names}).alias("found"))
-    marks = (
-        F.when(F.col("text").isNull(), F.array(mark("too_big")))
-        .when(has_error(F.col("found")), F.col("found"))
-        .otherwise(F.concat("found", F.array(mark("valid"))))
-    )
-    return found.select("doc_id", marks.alias("marks"))
+    prepare(docs.sparkSession)
+    return apply_steps(docs.select("doc_id", "body"), _steps()).select("doc_id", "marks")
 
 
 def audit_queries(docs: DataFrame) -> DataFrame:

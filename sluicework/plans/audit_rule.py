@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from sluicework import fixed_values as fv
 from sluicework.plans import rule_document as rd
-from sluicework.plans.audit_query import embedded_marks, trimmed
-from sluicework.plans.findings import bind, each, has_error, mark, marks_where, none, to_rows
+from sluicework.plans.audit_query import bounded_text, embedded_steps, trimmed
+from sluicework.plans.findings import (
+    Steps, apply_steps, bind, each, has_error, mark, marks_where, none, once, to_rows,
+)
 from sluicework.session import prepare
 
 
@@ -202,58 +204,64 @@ def _undefined(destinations: Column, logs: Column, flows: Column) -> Column:
     return F.array_except(F.coalesce(used, empty), defined)
 
 
+@once
+def _parts() -> Steps:
+    """Typed parts of a document; null where the document lacks them."""
+    c = F.col
+    return [
+        ("text", bounded_text()),
+        ("value", rd.strict_json(c("text"))),
+        ("doc", rd.part(c("value"), rd.DOCUMENT)),
+        ("p", rd.part(c("doc.properties"), rd.PROPERTIES)),
+        ("flows", rd.flows_of(c("p"))),
+        ("destinations", rd.part(c("p.destinations"), rd.DESTINATIONS)),
+        ("logs", rd.part(c("p.destinations"), rd.LOG_DESTINATIONS, "$.logAnalytics")),
+        ("declared", F.map_entries(rd.part(c("p.streamDeclarations"), "map<string,variant>"))),
+        ("files", rd.part(c("p.dataSources"), rd.LOG_FILES, "$.logFiles")),
+    ]
+
+
+@once
+def _judgement() -> Steps:
+    c, p = F.col, F.col("p")
+    by_kind = (
+        F.when(c("kind") == "WorkspaceTransforms", _workspace_kind(p, c("destinations"), c("flows")))
+        .when(c("kind") == "Direct", _direct_kind(c("doc"), p)).otherwise(none())
+    )
+    of_properties = F.concat(
+        by_kind,
+        _destinations(p, c("destinations"), c("logs")),
+        _declarations(c("declared")),
+        _log_files(p, c("files"), c("undeclared")),
+        _flows(p, c("flows"), c("transforms"), c("undeclared"), c("undefined")),
+    )
+    found = F.concat(_top_level(c("doc"), p), F.when(p.isNull(), none()).otherwise(of_properties))
+    return [
+        ("declared", _by_key(c("declared"))),
+        ("undeclared", _undeclared(c("declared"), c("flows"), c("files"))),
+        ("undefined", _undefined(c("destinations"), c("logs"), c("flows"))),
+        ("kind", rd.text_of(c("doc.kind"))),
+        ("transforms", _transforms(c("flows"))),
+        *embedded_steps("transforms"),
+        ("found", F.array_compact(found)),
+        ("marks", F.when(c("text").isNull(), F.array(mark("rule_too_big")))
+         .when(c("text") == "", F.array(mark("DCR001")))
+         .when(c("value").isNull(), F.array(mark("DCR002")))
+         .when(c("doc").isNull(), F.array(mark("DCR003")))
+         .when(has_error(c("found")), c("found"))
+         .otherwise(F.concat("found", F.array(mark("DCR000"))))),
+    ]
+
+
 def parsed_rules(docs: DataFrame) -> DataFrame:
-    """Documents with their typed parts; parts are null where a document lacks them."""
+    """Documents with their typed parts."""
     prepare(docs.sparkSession)
-    too_big = F.octet_length("body") > fv.MAX_BODY_BYTES
-    destinations, sources = F.col("p.destinations"), F.col("p.dataSources")
-    return (
-        docs.select("doc_id", F.when(too_big, None).otherwise(trimmed(F.col("body"))).alias("text"))
-        .withColumn("value", rd.strict_json(F.col("text")))
-        .withColumn("doc", rd.part(F.col("value"), rd.DOCUMENT))
-        .withColumn("p", rd.part(F.col("doc.properties"), rd.PROPERTIES))
-        .withColumn("flows", rd.flows_of(F.col("p")))
-        .withColumn("destinations", rd.part(destinations, rd.DESTINATIONS))
-        .withColumn("logs", rd.part(destinations, rd.LOG_DESTINATIONS, "$.logAnalytics"))
-        .withColumn("declared", F.map_entries(rd.part(F.col("p.streamDeclarations"), "map<string,variant>")))
-        .withColumn("files", rd.part(sources, rd.LOG_FILES, "$.logFiles"))
-    )
+    return apply_steps(docs.select("doc_id", "body"), _parts())
 
 
 def judge_rules(docs: DataFrame) -> DataFrame:
     """``(doc_id, body)`` -> ``(doc_id, marks)``, one row per document."""
-    c = F.col
-    df = (
-        parsed_rules(docs)
-        .withColumn("declared", _by_key(c("declared")))
-        .withColumn("undeclared", _undeclared(c("declared"), c("flows"), c("files")))
-        .withColumn("undefined", _undefined(c("destinations"), c("logs"), c("flows")))
-        .withColumn("kind", rd.text_of(c("doc.kind")))
-        .withColumn("transforms", _transforms(c("flows")))
-    )
-    df = embedded_marks(df, "transforms")
-    p = c("p")
-    sections = {
-        "top": _top_level(c("doc"), p),
-        "by_kind": F.when(c("kind") == "WorkspaceTransforms", _workspace_kind(p, c("destinations"), c("flows")))
-        .when(c("kind") == "Direct", _direct_kind(c("doc"), p)).otherwise(none()),
-        "to": _destinations(p, c("destinations"), c("logs")),
-        "streams": _declarations(c("declared")),
-        "logs": _log_files(p, c("files"), c("undeclared")),
-        "flow": _flows(p, c("flows"), c("transforms"), c("undeclared"), c("undefined")),
-    }
-    rest = F.when(p.isNull(), none()).otherwise(F.concat(*[sections[k] for k in ("by_kind", "to", "streams", "logs", "flow")]))
-    found = df.select("doc_id", "text", F.isnull("value").alias("broken"), F.isnull("doc").alias("no_object"),
-                      F.array_compact(F.concat(sections["top"], rest)).alias("found"))
-    marks = (
-        F.when(c("text").isNull(), F.array(mark("rule_too_big")))
-        .when(c("text") == "", F.array(mark("DCR001")))
-        .when(c("broken"), F.array(mark("DCR002")))
-        .when(c("no_object"), F.array(mark("DCR003")))
-        .when(has_error(c("found")), c("found"))
-        .otherwise(F.concat("found", F.array(mark("DCR000"))))
-    )
-    return found.select("doc_id", marks.alias("marks"))
+    return apply_steps(parsed_rules(docs), _judgement()).select("doc_id", "marks")
 
 
 def audit_rules(docs: DataFrame) -> DataFrame:

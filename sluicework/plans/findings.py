@@ -8,8 +8,11 @@ constant map, so neither expression trees nor rows carry them around.
 
 from __future__ import annotations
 
+import functools
+import weakref
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +40,32 @@ def _all_texts() -> dict[str, tuple[str, str, str, str | None]]:
 TEXTS = _all_texts()
 
 
+Steps = list[tuple[str, Column]]
+
+
+def once(build: Callable[[], Steps]) -> Callable[[], Steps]:
+    """Build the columns of a plan once per Spark context.  They name columns and
+    no table, and building some hundred of them from Python takes seconds."""
+    built = weakref.WeakKeyDictionary()
+
+    @functools.wraps(build)
+    def cached() -> Steps:
+        context = SparkContext.getOrCreate()
+        if context not in built:
+            built[context] = build()
+        return built[context]
+
+    return cached
+
+
+def apply_steps(df: DataFrame, steps: Steps) -> DataFrame:
+    """Add columns one after the other, each in a projection of its own, so that a
+    column used by several later ones is computed once."""
+    for name, value in steps:
+        df = df.withColumn(name, value)
+    return df
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it any number of times in ``body``."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
