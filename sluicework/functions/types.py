@@ -7,7 +7,7 @@ from sluicework.functions._args import col
 
 COLUMN_NAMES = {
     "string": "string", "int": "int", "bigint": "long", "double": "real", "boolean": "bool",
-    "timestamp": "datetime", "timestamp_ntz": "datetime", "interval day to second": "timespan",
+    "timestamp": "datetime", "timestamp_ntz": "datetime", "variant": "dynamic",
 }
 DYNAMIC_NAMES = {
     "STRING": "string", "BIGINT": "long", "DOUBLE": "real", "BOOLEAN": "bool", "VOID": "null",
@@ -23,7 +23,7 @@ def gettype(x, dynamic: bool = False) -> Column:
         names = DYNAMIC_NAMES
     else:
         found = F.typeof(col(x))
-        out = F.when(F.startswith(found, F.lit("array<")), "array")
+        out = F.when(F.startswith(found, F.lit("array<")), "array").when(F.startswith(found, F.lit("interval ")), "timespan")
         names = COLUMN_NAMES
     for spark_name, name in names.items():
         out = out.when(found == spark_name, name)

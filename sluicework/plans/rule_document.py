@@ -50,9 +50,10 @@ def _without_strings(text: Column) -> Column:
     return F.regexp_replace(text, r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"', "")
 
 
-def _number_overflow(text: Column, value: Column) -> Column:
+def _number_overflow(text: Column) -> Column:
     may = F.rlike(text, F.lit(r"[\[:,\s]-?[0-9.]+[eE]\+?0*[1-9][0-9]{2}|[0-9]{309}"))
-    return may & F.contains(_without_strings(F.to_json(value)), F.lit("inf"))
+    numbers = F.regexp_extract_all(_without_strings(text), F.lit(r"[0-9][0-9.eE+-]*"), F.lit(0))
+    return may & F.exists(numbers, lambda n: n.try_cast("double") == float("inf"))
 
 
 def _too_deep(text: Column) -> Column:
@@ -80,7 +81,7 @@ def strict_json(text: Column) -> Column:
 
     def checked(value: Column) -> Column:
         whole = (part(value, "string", "$[1]") == mark) & part(value, "variant", "$[2]").isNull()
-        bad = _lone_surrogate(text) | _number_overflow(text, value) | _too_deep(text)
+        bad = _lone_surrogate(text) | _number_overflow(text) | _too_deep(text)
         return F.when(whole & ~bad, part(value, "variant", "$[0]"))
 
     return bind(F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]'))), checked)
