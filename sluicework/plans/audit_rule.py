@@ -138,7 +138,7 @@ def _transform(number: Column, marks: Column) -> Column:
     """Errors, then warnings of an embedded transformation, under the flow's label."""
     def labelled(severity: str) -> Column:
         return F.transform(F.filter(marks, lambda m: m["head"]["severity"] == severity), lambda m: F.struct(
-            F.struct(m["head"]["key"].alias("key"), m["head"]["severity"].alias("severity"),
+            F.struct(m["head"]["text"].alias("text"), m["head"]["severity"].alias("severity"),
                      number.cast("int").alias("flow")).alias("head"),
             m["args"].alias("args")))
 

@@ -1,9 +1,9 @@
 """Findings of the audits: short marks inside a row, full texts once exploded.
 
-While a document is judged, a finding is only a *mark*: a key of the fixed
+While a document is judged, a finding is only a *mark*: a number of the fixed
 texts, the severity, the flow it came from (embedded transformations) and the
 values for its message.  The texts are put in after the explode, from one
-constant map, so neither expression trees nor rows carry them around.
+constant array, so neither expression trees nor rows carry them around.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sluicework import fixed_values as fv
 
-MARKS = "array<struct<head:struct<key:string,severity:string,flow:int>,args:array<string>>>"
+MARKS = "array<struct<head:struct<text:int,severity:string,flow:int>,args:array<string>>>"
 
 
 def _all_texts() -> dict[str, tuple[str, str, str, str | None]]:
@@ -38,6 +38,8 @@ def _all_texts() -> dict[str, tuple[str, str, str, str | None]]:
 
 
 TEXTS = _all_texts()
+NUMBERS = {key: i for i, key in enumerate(TEXTS)}
+NAMED = {"refused_operator": list(fv.REFUSED_OPERATORS), "wrong_name": list(fv.WRONG_FUNCTION_NAMES)}
 
 
 Steps = list[tuple[str, Column]]
@@ -78,10 +80,13 @@ def mark(key: str, *values: Column, name: Column | None = None) -> Column:
     small ones to build from Python.
     """
     if name is not None:
-        head = F.struct(F.concat(F.lit(f"{key} "), name).alias("key"), F.lit("error").alias("severity"),
+        names = NAMED[key]
+        within = F.array_position(F.array(*[F.lit(n) for n in names]), name).cast("int") - 1
+        head = F.struct((within + NUMBERS[f"{key} {names[0]}"]).alias("text"), F.lit("error").alias("severity"),
                         F.expr("cast(null as int) as flow")).alias("head")
     else:
-        head = F.expr(f"named_struct('key', '{key}', 'severity', '{TEXTS[key][0]}', 'flow', cast(null as int)) as head")
+        head = F.expr(
+            f"named_struct('text', {NUMBERS[key]}, 'severity', '{TEXTS[key][0]}', 'flow', cast(null as int)) as head")
     args = F.array(*values) if values else F.expr("cast(array() as array<string>)")
     return F.struct(head, args.alias("args"))
 
@@ -110,12 +115,11 @@ def _sql(text: str | None) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _text_map() -> Column:
+def _texts() -> Column:
     entries = (
-        f"{_sql(key)}, named_struct('code', {_sql(code)}, 'message', {_sql(message.replace('{}', '%s'))}, "
-        f"'suggestion', {_sql(hint)})"
-        for key, (_, code, message, hint) in TEXTS.items())
-    return F.expr(f"map({', '.join(entries)})")
+        f"named_struct('code', {_sql(code)}, 'message', {_sql(message.replace('{}', '%s'))}, 'suggestion', {_sql(hint)})"
+        for _, code, message, hint in TEXTS.values())
+    return F.expr(f"array({', '.join(entries)})")
 
 
 def to_rows(docs: DataFrame) -> DataFrame:
@@ -126,7 +130,7 @@ def to_rows(docs: DataFrame) -> DataFrame:
     evaluate the list twice.
     """
     rows = docs.select("doc_id", F.posexplode_outer("marks").alias("seq", "m")).select(
-        "doc_id", "seq", "m.head.*", "m.args", F.element_at(_text_map(), F.col("m.head.key")).alias("t"))
+        "doc_id", "seq", "m.head.*", "m.args", F.get(_texts(), F.col("m.head.text")).alias("t"))
     embedded = _sql(fv.EMBEDDED_MESSAGE.replace("{}", "%s"))
     return rows.selectExpr(
         "doc_id", "seq",

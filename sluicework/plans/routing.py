@@ -36,6 +36,7 @@ class Step:
 
     flow: int
     stream: str
+    number: int
     output_stream: str
     transform: Transform
     sinks: tuple[LogTables, ...]
@@ -44,11 +45,11 @@ class Step:
         """Write to the first destination; the others get a copy of what it now holds,
         so the transform runs once and all destinations hold the same rows."""
         first, *others = self.sinks
-        first.write(self.transform(df), self.output_stream, run, self.flow, self.stream)
+        source = first.part(self.output_stream, run, self.flow, self.number)
+        first.write(self.transform(df), source)
         for other in others:
-            written = df.sparkSession.read.format(first.source_format).load(first.path(self.output_stream)).filter(
-                (F.col("_run") == run) & (F.col("_flow") == self.flow) & (F.col("_stream") == self.stream))
-            other.write(written, self.output_stream, run, self.flow, self.stream)
+            other.write(first.read_part(df.sparkSession, source),
+                        other.part(self.output_stream, run, self.flow, self.number))
 
 
 def steps(rule: dict, transforms: dict[int, Transform], sinks: dict[str, LogTables]) -> Iterator[Step]:
@@ -62,10 +63,10 @@ def steps(rule: dict, transforms: dict[int, Transform], sinks: dict[str, LogTabl
         if text not in ("", "source") and number not in transforms:
             raise ValueError(f"flow {number} has a transform, but no function is given for it")
         unknown = [d for d in flow["destinations"] if d not in sinks]
-        if unknown:
-            raise ValueError(f"flow {number}: no such destination: {', '.join(unknown)}")
-        for stream in flow["streams"]:
-            yield Step(number, stream, flow.get("outputStream", stream), transforms.get(number, lambda df: df),
+        if unknown or not flow["destinations"]:
+            raise ValueError(f"flow {number}: no such destination: {', '.join(unknown) or 'none is listed'}")
+        for at, stream in enumerate(flow["streams"], 1):
+            yield Step(number, stream, at, flow.get("outputStream", stream), transforms.get(number, lambda df: df),
                        tuple(sinks[d] for d in flow["destinations"]))
 
 

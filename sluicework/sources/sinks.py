@@ -1,17 +1,17 @@
 """Destinations of data flows.
 
 A destination writes to tables under one folder, one per output stream.  Every
-write owns a partition named after the run, the flow and the stream, and replaces
-just that partition: a write that is repeated after a failure leaves the rows
-once.
+write owns the partition folder of its run, flow and stream and overwrites just
+that: a write that is repeated after a failure leaves the rows once, and writers
+of one table do not get in each other's way.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 PARTS = ["_run", "_flow", "_stream"]
 
@@ -34,10 +34,16 @@ class LogTables:
     def path(self, stream: str) -> str:
         return f"{self.folder.rstrip('/')}/{table_name(stream)}"
 
-    def write(self, df: DataFrame, output_stream: str, run: str, flow: int, stream: str) -> None:
-        owned = df.withColumns({"_run": F.lit(run), "_flow": F.lit(flow), "_stream": F.lit(stream)})
-        (owned.write.format(self.source_format).mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(*PARTS).save(self.path(output_stream)))
+    def part(self, output_stream: str, run: str, flow: int, number: int) -> str:
+        if not re.fullmatch(r"[A-Za-z0-9._-]+", run):
+            raise ValueError(f"a run name is made of letters, digits, '.', '_' and '-', not {run!r}")
+        return f"{self.path(output_stream)}/_run={run}/_flow={flow}/_stream={number}"
+
+    def write(self, df: DataFrame, part: str) -> None:
+        df.write.format(self.source_format).mode("overwrite").save(part)
+
+    def read_part(self, spark: SparkSession, part: str) -> DataFrame:
+        return spark.read.format(self.source_format).load(part)
 
     def read(self, spark: SparkSession, output_stream: str) -> DataFrame:
         return spark.read.format(self.source_format).load(self.path(output_stream)).drop(*PARTS)
