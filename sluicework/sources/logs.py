@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluicework.session import fresh_path
+
 ISO_8601 = r"[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}"
 
 # Files up to this size are read whole, one file in one task.
@@ -23,34 +25,44 @@ def _whole_files(files: DataFrame, record_start: str) -> DataFrame:
 def _split_files(lines: DataFrame, record_start: str) -> DataFrame:
     """Records of files that Spark reads in several splits.
 
-    Lines are put together per split, whose size Spark bounds.  Only a record
-    that runs over a split's end is completed from the splits behind it.
+    Lines are put together per split, whose size Spark bounds, and the pieces are
+    written to the shared folder, so the files are read and shuffled once.  All
+    but the first and last piece of a split are whole records; only those two
+    take part in the joins that complete records across splits.
     """
     split = ["_path", "_block"]
-    in_split = Window.partitionBy(*split).orderBy("_line")
+    all_lines = Window.partitionBy(*split)
     starts = F.rlike("value", F.lit(rf"\A{record_start}"))
     # Record number within the split; 0 holds lines that continue an earlier split.
-    numbered = lines.withColumn("_line", F.monotonically_increasing_id()).withColumn(
-        "_record", F.sum(starts.cast("int")).over(in_split))
-    pieces = numbered.groupBy(*split, "_record").agg(
-        F.array_sort(F.collect_list(F.struct("_line", "value"))).alias("lines"))
-    pieces = pieces.select(*split, "_record", F.array_join("lines.value", "\n").alias("text"))
-    # The open record of each split: the last one that starts at or before its end.
-    last = pieces.groupBy(*split).agg(F.max("_record").alias("_last"))
+    numbered = (
+        lines.withColumn("_line", F.monotonically_increasing_id())
+        .withColumn("_record", F.sum(starts.cast("int")).over(all_lines.orderBy("_line")))
+        .withColumn("_last", F.max("_record").over(all_lines))
+    )
+    text = F.array_join(F.array_sort(F.collect_list(F.struct("_line", "value")))["value"], "\n")
+    pieces = numbered.groupBy(*split, "_record", "_last").agg(text.alias("text")).withColumn(
+        "_open", F.expr("int(_record = 0 or _record = _last)"))
+    folder = fresh_path(lines.sparkSession, "log-pieces")
+    pieces.write.partitionBy("_open").parquet(folder)
+    pieces = lines.sparkSession.read.parquet(folder)
+    closed, open_ = pieces.filter("_open = 0"), pieces.filter("_open = 1")
+
+    # The record that is open when a split begins: the last one of the nearest split before it that has any.
     before = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    owner = last.withColumn("_owner", F.last(
-        F.when(F.col("_last") > 0, F.struct("_block", F.col("_last").alias("_record"))), ignorenulls=True).over(before))
+    last = F.when(F.col("_last") > 0, F.struct("_block", F.col("_last").alias("_record")))
+    owners = open_.filter("_record = _last").select(*split, F.last(last, ignorenulls=True).over(before).alias("_owner"))
     continued = (
-        pieces.filter("_record = 0").join(owner.select(*split, "_owner"), split)
+        open_.filter("_record = 0").join(owners, split)
         .groupBy("_path", F.col("_owner._block").alias("_block"), F.col("_owner._record").alias("_record"))
-        .agg(F.array_sort(F.collect_list(F.struct("_block", "text"))).alias("more"))
-        .select("_path", "_block", "_record", F.array_join("more.text", "\n").alias("_more"))
+        .agg(F.array_join(F.array_sort(F.collect_list(F.struct(F.col("_block"), F.col("text"))))["text"], "\n").alias("_more"))
     )
     # Lines before the first start of a file have no owner and are a record of their own.
     headless = continued.filter("_record is null").select(F.col("_more").alias("RawData"), F.col("_path").alias("FilePath"))
-    whole = pieces.filter("_record > 0").join(continued.filter("_record is not null"), [*split, "_record"], "left").select(
+    completed = open_.filter("_record > 0").join(
+        continued.filter("_record is not null"), [*split, "_record"], "left").select(
         F.concat_ws("\n", "text", "_more").alias("RawData"), F.col("_path").alias("FilePath"))
-    return whole.unionByName(headless).withColumn("RawData", F.regexp_replace("RawData", r"\r\z", ""))
+    whole = closed.select(F.col("text").alias("RawData"), F.col("_path").alias("FilePath"))
+    return whole.unionByName(completed).unionByName(headless).withColumn("RawData", F.regexp_replace("RawData", r"\r\z", ""))
 
 
 def text_log(spark: SparkSession, patterns: list[str] | str, record_start: str = ISO_8601,
@@ -59,8 +71,8 @@ def text_log(spark: SparkSession, patterns: list[str] | str, record_start: str =
 
     A record starts at a line that matches ``record_start``; lines that do not
     belong to the record before them.  Files up to ``whole_file_bytes`` are read
-    whole without a shuffle.  Larger ones are read in splits.  Which files
-    belong to which part is decided when they are listed.  A stream reads every
+    whole without a shuffle.  Larger ones are read in splits, when this
+    is called.  Which files belong to which part is decided when they are listed.  A stream reads every
     file whole: its files must be closed, rolled files of at most about 1 GB.
     """
     paths = [patterns] if isinstance(patterns, str) else list(patterns)
@@ -73,7 +85,8 @@ def text_log(spark: SparkSession, patterns: list[str] | str, record_start: str =
     small = spark.read.text(paths, wholetext=True).filter(size <= whole_file_bytes).select("value", path)
     large = spark.read.text(paths, lineSep="\n").filter(size > whole_file_bytes).select(
         "value", path, F.col("_metadata.file_block_start").alias("_block"))
-    return _whole_files(small, record_start).unionByName(_split_files(large, record_start))
+    records = _whole_files(small, record_start)
+    return records if large.isEmpty() else records.unionByName(_split_files(large, record_start))
 
 
 def json_log(spark: SparkSession, patterns: list[str] | str, schema: T.StructType,
