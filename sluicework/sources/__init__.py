@@ -1,6 +1,7 @@
 """Sources, schemas and sinks of collection rules."""
 
 from sluicework.sources.logs import json_log, text_log  # noqa: F401
+from sluicework.sources.rules import declared_streams, log_streams  # noqa: F401
 from sluicework.sources.schema import conform, declared_schema  # noqa: F401
 from sluicework.sources.sinks import LogTables, MetricsTable, log_table_sink, metrics_sink  # noqa: F401
 from sluicework.sources.streams import (  # noqa: F401

@@ -3,6 +3,7 @@
 import pathlib
 
 import pytest
+import seeds
 from pyspark.sql import functions as F
 
 from sluicework import sources as so
@@ -57,6 +58,25 @@ def test_json_log(spark, tmp_path):
     assert sorted((r.a or 0, r._corrupt_record is None) for r in rows) == [(0, False), (0, False), (1, True)]
 
 
+def test_streams_of_a_rule(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("2024-01-01 10:00:00.5 one\n more\n2024-01-01T11:00:00Z two\n")
+    (tmp_path / "a.json").write_text('{"Code": 1, "Module": "m"}\n{"Code": "x"}\n')
+    text, lines = seeds.log_file("Custom-T", pattern=str(tmp_path / "*.txt")), seeds.log_file(
+        "Custom-J", fmt="json", start=None, pattern=str(tmp_path / "*.json"))
+    rule = seeds.rule(["Custom-T"], declared={"Custom-T": seeds.LOG, "Custom-J": seeds.JSON_LOG}, files=[text, lines])
+    streams = so.log_streams(spark, rule)
+    good, rejected = streams["Custom-T"]
+    assert good.columns == ["TimeGenerated", "RawData", "FilePath", "Computer"] and rejected.count() == 0
+    assert sorted((r.TimeGenerated.hour, r.RawData.count("\n")) for r in good.collect()) == [(10, 1), (11, 0)]
+    good, rejected = streams["Custom-J"]
+    assert [(r.Code, r.Module) for r in good.collect()] == [(1, "m")] and len(rejected.collect()) == 1
+    assert declared_names(rule) == ["Custom-J", "Custom-T"]
+
+
+def declared_names(rule):
+    return sorted(so.declared_streams(rule))
+
+
 def test_table_names():
     from sluicework.sources.sinks import table_name
     assert [table_name(n) for n in ("Custom-X_CL", "Microsoft-Syslog", "Microsoft-Table-Event", "Plain")] == [
