@@ -17,7 +17,7 @@ from sluicework import fixed_values as fv
 from sluicework.plans import rule_document as rd
 from sluicework.plans.audit_query import bounded_text, embedded_steps, trimmed
 from sluicework.plans.findings import (
-    Steps, apply_steps, bind, each, has_error, mark, marks_where, none, once, to_rows,
+    Steps, apply_steps, bind, each, has_error, is_among, mark, marks_where, none, once, to_rows,
 )
 from sluicework.session import prepare
 
@@ -104,7 +104,7 @@ def _log_files(p: Column, files: Column, undeclared: Column) -> Column:
         start = rd.part(lf["settings"], "variant", "$.text.recordStartTimestampFormat")
         return F.concat(
             F.array(_if(lf["name"].isNull(), "DCR101", number), _if(F.size(streams) == 0, "DCR102", number)),
-            marks_where(rd.strings_of(streams), lambda s: F.array_contains(undeclared, s),
+            marks_where(rd.strings_of(streams), lambda s: is_among(undeclared, s),
                         lambda s: mark("DCR103", number, s)),
             F.array(
                 _if(streams.isNull(), "DCR104", number),
@@ -148,7 +148,7 @@ def _transform(number: Column, marks: Column) -> Column:
 def _flows(p: Column, flows: Column, transforms: Column, undeclared: Column, undefined: Column) -> Column:
     def stream(number: Column):
         return lambda s: F.when(
-            _prefixed(s, "Custom-"), _if(F.array_contains(undeclared, s), "DCR066", number, s),
+            _prefixed(s, "Custom-"), _if(is_among(undeclared, s), "DCR066", number, s),
         ).otherwise(_if(
             _prefixed(s, "Microsoft-") & ~_prefixed(s, "Microsoft-Table-") & ~s.isin(fv.KNOWN_STREAMS),
             "DCR067", number, s))
@@ -159,7 +159,7 @@ def _flows(p: Column, flows: Column, transforms: Column, undeclared: Column, und
             F.array(_if(f["n_streams"] == 0, "DCR061", number)),
             F.coalesce(F.transform(f["streams"], stream(number)), none()),
             F.array(_if(f["streams"].isNull(), "DCR062", number), _if(f["n_destinations"] == 0, "DCR063", number)),
-            marks_where(f["destinations"], lambda d: F.array_contains(undefined, d),
+            marks_where(f["destinations"], lambda d: is_among(undefined, d),
                         lambda d: mark("DCR064", number, d)),
             F.array(_if(f["destinations"].isNull(), "DCR065", number)),
             _transform(number, F.get(transforms, number.cast("int") - 1)),
@@ -185,23 +185,23 @@ def _by_key(entries: Column) -> Column:
 
 
 def _undeclared(declared: Column, flows: Column, files: Column) -> Column:
-    """Custom streams that are referenced but not declared."""
+    """Custom streams that are referenced but not declared, sorted."""
     empty = F.array().cast("array<string>")
     used = F.concat(
         F.coalesce(F.flatten(F.transform(flows, lambda f: F.coalesce(f["streams"], empty))), empty),
         F.coalesce(F.flatten(F.transform(files, lambda lf: F.coalesce(
             rd.strings_of(rd.part(lf["streams"], "array<variant>")), empty))), empty))
     custom = F.filter(used, lambda s: F.startswith(s, F.lit("Custom-")))
-    return F.array_except(custom, F.coalesce(F.transform(declared, lambda e: e["key"]), empty))
+    return F.sort_array(F.array_except(custom, F.coalesce(F.transform(declared, lambda e: e["key"]), empty)))
 
 
 def _undefined(destinations: Column, logs: Column, flows: Column) -> Column:
-    """Destinations that are referenced but not set up."""
+    """Destinations that are referenced but not set up, sorted."""
     empty = F.array().cast("array<string>")
     metrics = rd.text_of(rd.part(destinations["azureMonitorMetrics"], "variant", "$.name"))
     defined = F.concat(F.coalesce(F.transform(logs, lambda d: rd.text_of(d["name"])), empty), F.array(metrics))
     used = F.flatten(F.transform(flows, lambda f: F.coalesce(f["destinations"], empty)))
-    return F.array_except(F.coalesce(used, empty), defined)
+    return F.sort_array(F.array_except(F.coalesce(used, empty), defined))
 
 
 @once

@@ -20,6 +20,9 @@ from sluicework import fixed_values as fv
 
 MARKS = "array<struct<head:struct<text:int,severity:string,flow:int>,args:array<string>>>"
 
+# Lists up to this length are looked through.
+SHORT_LIST = 200
+
 
 def _all_texts() -> dict[str, tuple[str, str, str, str | None]]:
     """key -> (severity, code, message, suggestion)."""
@@ -105,6 +108,22 @@ def marks_where(items: Column, condition, body) -> Column:
     return F.coalesce(F.transform(F.filter(items, condition), body), none())
 
 
+def is_among(names: Column, name: Column) -> Column:
+    """Whether a name is in a sorted list: looked through if short, else halved step
+    by step, so that a document full of unknown names does not cost their square."""
+    def halve(bounds: Column, _: Column) -> Column:
+        low, high = bounds["low"], bounds["high"]
+        middle = F.shiftright(low + high, 1)
+        after = (low < high) & (F.get(names, middle) < name)
+        return F.struct(F.when(after, middle + 1).otherwise(low).alias("low"),
+                        F.when(after | (low >= high), high).otherwise(middle).alias("high"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(names) + 1)).cast("int"))
+    bounds = F.struct(F.lit(0).alias("low"), F.size(names).alias("high"))
+    place = F.aggregate(steps, bounds, halve)["low"]
+    return F.when(F.size(names) <= SHORT_LIST, F.array_contains(names, name)).otherwise(F.get(names, place) == name)
+
+
 def has_error(marks: Column) -> Column:
     return F.exists(marks, lambda m: m["head"]["severity"] == "error")
 

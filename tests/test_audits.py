@@ -139,11 +139,21 @@ def test_embedded_transforms_have_no_size_limit(spark):
     assert codes(spark, audit_rules, [body]) == [["DCR000"]]
 
 
-def test_many_undeclared_names(spark):
-    """A document near the size limit with nothing declared is judged in reasonable time."""
-    document = seeds.rule([f"Custom-{i}" for i in range(20_000)], [f"d{i}" for i in range(20_000)])
-    counts = dict(findings_by_code(audit_rules(docs(spark, [json.dumps(document)]))).select("code", "findings").collect())
-    assert counts == {"DCR066": 20_000, "DCR064": 20_000}
+def test_many_unknown_names(spark):
+    """A document near the size limit whose names are all unknown, some of them repeated."""
+    streams, targets = [f"Custom-{i}" for i in range(150_000)], [f"d{i}" for i in range(200_000)]
+    body = json.dumps(seeds.rule(streams + streams[:500], targets + ["ws"]))
+    assert 4_500_000 < len(body) < fv.MAX_BODY_BYTES
+    counts = dict(findings_by_code(audit_rules(docs(spark, [body]))).select("code", "findings").collect())
+    assert counts == {"DCR066": 150_500, "DCR064": 200_000}
+
+
+@pytest.mark.parametrize("known", [0, 5, 150, 199, 201, 1000])
+def test_names_among_long_lists(spark, known):
+    document = seeds.rule([f"Custom-{i}" for i in range(1000)], declared={f"Custom-{i * 7 % 1000}": {} for i in range(known)})
+    missing = audit_rules(docs(spark, [json.dumps(document)])).filter("code = 'DCR066'").select("message").collect()
+    found = {int(m.message.split("Custom-")[1].split("'")[0]) for m in missing}
+    assert found == set(range(1000)) - {i * 7 % 1000 for i in range(known)}
 
 
 def test_rollups_agree(spark):
