@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import sluicework.functions as k
 from sluicework.queries.tables import micros, plain, table
+from sluicework.session import spread
 
 c = F.col
 AS_OF = "2024-06-01 00:00:00"
@@ -108,7 +109,7 @@ def fn_parse_xml(spark, d):
 
 def fn_math(spark, d):
     x, q = c("l_extendedprice"), c("l_quantity")
-    return table(spark, d, "lineitem").select(
+    return spread(table(spark, d, "lineitem")).select(
         "l_orderkey", "l_linenumber",
         k.abs(q - 25).alias("v_abs"), k.bin(x, 1000).alias("v_bin"), k.floor(x).alias("v_floor"),
         k.ceiling(x).alias("v_ceiling"), F.round(k.exp(c("l_discount")), 6).alias("v_exp"),
@@ -131,7 +132,7 @@ def fn_conditional(spark, d):
 
 def fn_text_search(spark, d):
     x = c("text")
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents")).select(
         "doc_id",
         k.countof(x, "th").alias("n_th"), k.countof(x, "[0-9]+", kind="regex").alias("n_numbers"),
         k.extract("([A-Za-z]+) ([A-Za-z]+)", 2, x).alias("second"), k.array_length(k.extract_all("([A-Z])[a-z]+", x)).alias("n_capital"),

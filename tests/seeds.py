@@ -1,4 +1,6 @@
-"""Seed texts with the codes expected of them (derived by hand from the rules)."""
+"""Seed texts with the codes expected of them (derived by hand from the rules).
+
+The texts are fixed values: test inputs whose results are known."""
 
 import json
 
