@@ -29,10 +29,17 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Where none is named, a temporary one for a local session; on a cluster the
+    executors could not share it, so there that is an error.
+    """
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or tempfile.mkdtemp(
-        prefix="sluicework-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        folder = tempfile.mkdtemp(prefix="sluicework-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
