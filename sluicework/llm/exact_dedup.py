@@ -43,7 +43,8 @@ def frequent(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
         raise ValueError(f"support must be between {3.5 / COUNTERS:.5f} and 1")
     part = rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGES)).alias("part")).agg(
         F.expr(f"approx_top_k_accumulate(digest, {COUNTERS})").alias("sketch"))
-    whole = part.agg(F.expr(f"approx_top_k_combine(sketch, {COUNTERS})").alias("sketch"))
+    # Grouped, since the combining function fails on a task without rows.
+    whole = part.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(sketch, {COUNTERS})").alias("sketch"))
     return whole.select(
         F.explode(F.expr(f"approx_top_k_estimate(sketch, {int(1 / support)})")).alias("x")
     ).select(F.col("x.item").alias("digest"))

@@ -2,11 +2,29 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sluicework.llm.common import table
 from sluicework.llm.exact_dedup import exact_dedup
+from sluicework.llm.packing import best_fit_packing
+from sluicework.llm.pieces import decode, encode
 from sluicework.llm.quality import quality_rules
+from sluicework.llm.sharding import SHARDS, assign_shards
+
+#: Folder of the public vocabulary files; where it isn't set, the installed package says where its files are.
+TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS")
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file."""
+    if TOKENIZERS:
+        return f"{TOKENIZERS}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,7 +37,29 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(table(spark, folder, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup)}
+def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Number and checksum of the ids of all documents, and whether they decode to the text."""
+    path = vocabulary("piece_bpe_32k.model")
+    coded = decode(encode(table(spark, folder, "documents", "doc_id", "text"), path), path)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32",
+        F.length("decoded").cast("long").alias("n_chars_decoded"),
+        (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
+def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """The shard of all documents."""
+    names = [f"shard-{k:03d}" for k in range(SHARDS)]
+    return assign_shards(table(spark, folder, "documents", "doc_id"), "doc_id", names)
+
+
+def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """The place of all pieces of all documents in sequences of 1024 ids."""
+    return best_fit_packing(table(spark, folder, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op2_exact_dedup, op3_sentencepiece, op5_sharding, op9_best_fit_packing)}
 
 ORACLE = {
     "op1_quality_rules": r"""
@@ -61,6 +101,25 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        bad.source IS NOT NULL AS host_rejected, NOT base_failed AND bad.source IS NULL AS kept
 FROM f LEFT JOIN bad ON f.source = bad.source""",
+    "op5_sharding": """
+WITH RECURSIVE n AS (
+    SELECT unnest(range(64)) AS k
+), p AS (
+    SELECT list(('0x' || substr(md5('start shard-' || lpad(k::VARCHAR, 3, '0')), 1, 15))::BIGINT % 6421 ORDER BY k) AS s,
+           list(('0x' || substr(md5('step shard-' || lpad(k::VARCHAR, 3, '0')), 1, 15))::BIGINT % 6420 + 1 ORDER BY k) AS d
+    FROM n
+), claim AS (
+    SELECT 0 AS i, [-1] AS taken, -1::BIGINT AS slot
+    UNION ALL
+    SELECT i + 1, CASE WHEN i = 0 THEN [x] ELSE list_append(taken, x) END, x
+    FROM (
+        SELECT i, taken, list_filter(list_transform(range(6421), lambda j: (s[i % 64 + 1] + j * d[i % 64 + 1]) % 6421),
+                                     lambda y: NOT list_contains(taken, y))[1] AS x
+        FROM claim, p WHERE i < 6421)
+)
+SELECT doc_id, slot::INT AS slot, 'shard-' || lpad(((i - 1) % 64)::VARCHAR, 3, '0') AS shard
+FROM documents JOIN claim
+    ON slot = ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % 6421""",
     "op2_exact_dedup": r"""
 WITH d AS (
     SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h
