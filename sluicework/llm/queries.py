@@ -7,12 +7,16 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicework.llm.common import table
+from sluicework.llm import warc
+from sluicework.llm.common import table, written
 from sluicework.llm.exact_dedup import exact_dedup
+from sluicework.llm.language import language_id
 from sluicework.llm.packing import best_fit_packing
 from sluicework.llm.pieces import decode, encode
 from sluicework.llm.quality import quality_rules
 from sluicework.llm.sharding import SHARDS, assign_shards
+from sluicework.llm.toxicity import toxicity
+from sluicework.session import fresh_path, remove
 
 #: Folder of the public vocabulary files; where it isn't set, the installed package says where its files are.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS")
@@ -53,13 +57,33 @@ def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return assign_shards(table(spark, folder, "documents", "doc_id"), "doc_id", names)
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of all pages, read back from the archives that were written of them."""
+    path = fresh_path(spark, "warc")
+    warc.write_archives(warc.records(table(spark, folder, "pages", "page_id", "url", "html")), path)
+    found = written(warc.read_records(spark, path))
+    remove(spark, path)
+    return found
+
+
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all documents."""
+    return toxicity(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels", "doc_id", "toxic"))
+
+
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of all documents."""
+    return language_id(table(spark, folder, "documents", "doc_id", "text", "lang"))
+
+
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """The place of all pieces of all documents in sequences of 1024 ids."""
     return best_fit_packing(table(spark, folder, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_exact_dedup, op3_sentencepiece, op5_sharding, op9_best_fit_packing)}
+    op1_quality_rules, op2_exact_dedup, op3_sentencepiece, op5_sharding, op6_warc, op7_toxicity, op8_language_id,
+    op9_best_fit_packing)}
 
 ORACLE = {
     "op1_quality_rules": r"""
@@ -101,21 +125,31 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        bad.source IS NOT NULL AS host_rejected, NOT base_failed AND bad.source IS NULL AS kept
 FROM f LEFT JOIN bad ON f.source = bad.source""",
+    "op6_warc": """
+WITH p AS (
+    SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha256(coalesce(html, '')) AS h FROM pages
+), f AS (
+    SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p
+)
+SELECT page_id, n AS payload_bytes, h AS payload_digest,
+       CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to, true AS digest_agrees
+FROM f""",
     "op5_sharding": """
 WITH RECURSIVE n AS (
     SELECT unnest(range(64)) AS k
 ), p AS (
-    SELECT list(('0x' || substr(md5('start shard-' || lpad(k::VARCHAR, 3, '0')), 1, 15))::BIGINT % 6421 ORDER BY k) AS s,
-           list(('0x' || substr(md5('step shard-' || lpad(k::VARCHAR, 3, '0')), 1, 15))::BIGINT % 6420 + 1 ORDER BY k) AS d
+    SELECT k, ('0x' || substr(md5('start shard-' || lpad(k::VARCHAR, 3, '0')), 1, 15))::BIGINT % 6421 AS s,
+           ('0x' || substr(md5('step shard-' || lpad(k::VARCHAR, 3, '0')), 1, 15))::BIGINT % 6420 + 1 AS d
     FROM n
 ), claim AS (
-    SELECT 0 AS i, [-1] AS taken, -1::BIGINT AS slot
+    SELECT 0 AS i, bitstring('0', 6421) AS taken, -1::BIGINT AS slot
     UNION ALL
-    SELECT i + 1, CASE WHEN i = 0 THEN [x] ELSE list_append(taken, x) END, x
+    SELECT i + 1, set_bit(taken, x::INT, 1), x
     FROM (
-        SELECT i, taken, list_filter(list_transform(range(6421), lambda j: (s[i % 64 + 1] + j * d[i % 64 + 1]) % 6421),
-                                     lambda y: NOT list_contains(taken, y))[1] AS x
-        FROM claim, p WHERE i < 6421)
+        SELECT i, taken, (SELECT (s + j * d) % 6421 FROM range(6421) r(j)
+                          WHERE get_bit(taken, ((s + j * d) % 6421)::INT) = 0 ORDER BY j LIMIT 1) AS x
+        FROM claim JOIN p ON k = i % 64 WHERE i < 6421)
 )
 SELECT doc_id, slot::INT AS slot, 'shard-' || lpad(((i - 1) % 64)::VARCHAR, 3, '0') AS shard
 FROM documents JOIN claim
