@@ -59,3 +59,9 @@ def spread(df: DataFrame) -> DataFrame:
     if df.isStreaming or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this session has written under the shared folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
