@@ -38,3 +38,17 @@ def row_key(*columns: str) -> Column:
 def let(value: Column, then) -> Column:
     """``then(value)`` with the value computed once per row, however often ``then`` uses it."""
     return F.transform(F.array(value), then)[0]
+
+
+def with_first(rows: DataFrame, key: str, order: list[str], hot: float = 0.001) -> DataFrame:
+    """The rows of keys that occur again, with ``first``: the least of their key, as a struct of the order's columns.
+
+    Keys that hold at least the fraction ``hot`` of the rows are at most ``1 / hot``; they are
+    broadcast, so that no task gets all rows of such a key.  The others are joined by shuffle.
+    """
+    total = rows.count()
+    firsts = written(rows.groupBy(key).agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("_n")).where("_n > 1"))
+    often = firsts.where(F.col("_n") >= hot * total).drop("_n")
+    seldom = firsts.where(F.col("_n") < hot * total).drop("_n")
+    others = rows.join(F.broadcast(often.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(often), key).unionByName(others.join(seldom, key))

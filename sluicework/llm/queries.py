@@ -11,6 +11,7 @@ from sluicework.llm import warc
 from sluicework.llm.common import table, written
 from sluicework.llm.exact_dedup import exact_dedup
 from sluicework.llm.language import language_id
+from sluicework.llm.line_dedup import dedup_lines
 from sluicework.llm.packing import best_fit_packing
 from sluicework.llm.pieces import decode, encode
 from sluicework.llm.quality import quality_rules
@@ -51,6 +52,13 @@ def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of all documents when repeated lines are removed."""
+    left = dedup_lines(table(spark, folder, "documents", "doc_id", "text"))
+    return left.select(
+        "doc_id", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """The shard of all documents."""
     names = [f"shard-{k:03d}" for k in range(SHARDS)]
@@ -82,7 +90,7 @@ def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_exact_dedup, op3_sentencepiece, op5_sharding, op6_warc, op7_toxicity, op8_language_id,
+    op1_quality_rules, op2_exact_dedup, op3_sentencepiece, op4_line_dedup, op5_sharding, op6_warc, op7_toxicity, op8_language_id,
     op9_best_fit_packing)}
 
 ORACLE = {
@@ -135,6 +143,27 @@ SELECT page_id, n AS payload_bytes, h AS payload_digest,
        CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to, true AS digest_agrees
 FROM f""",
+    "op4_line_dedup": r"""
+WITH l AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents
+), s AS (
+    SELECT *, row_number() OVER (ORDER BY doc_id, i) AS p,
+           list_distinct(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS w
+    FROM l WHERE regexp_matches(l, '[^\x20\x09-\x0D]')
+), t AS (
+    SELECT p, len(w) AS n, unnest(w) AS w FROM s
+), o AS (
+    SELECT y.p, x.n + y.n AS n, count(*) AS o
+    FROM t x JOIN t y ON x.w = y.w AND x.p < y.p AND 4 * x.n <= 5 * y.n AND 4 * y.n <= 5 * x.n
+    GROUP BY y.p, x.p, x.n, y.n
+), gone AS (
+    SELECT DISTINCT doc_id, i FROM s JOIN (SELECT DISTINCT p FROM o WHERE 9 * o >= 4 * n) USING (p)
+), r AS (
+    SELECT doc_id, string_agg(l, chr(10) ORDER BY l.i) FILTER (gone.i IS NULL) AS t, count(gone.i) AS k
+    FROM l LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, k AS n_removed, length(coalesce(t, ''))::BIGINT AS n_chars_left, sha256(coalesce(t, '')) AS text_sha256
+FROM r""",
     "op5_sharding": """
 WITH RECURSIVE n AS (
     SELECT unnest(range(64)) AS k
