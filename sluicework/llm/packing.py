@@ -15,14 +15,15 @@ documents of their own.  Further columns are not read; an empty table gives an e
 
 from __future__ import annotations
 
+import base64
 import bisect
+import re
 import zlib
 from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,54 +33,51 @@ SIZE = 1024
 END_ID = 2
 #: Pieces of one length that one task numbers.
 NUMBERED_TOGETHER = 50_000
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 300_000
-#: Characters of text that are in lists of words at a time.
+#: Characters of text that are worked on at a time.
 CHUNK_CHARS = 1_000_000
+#: Characters that make a word, or a run of white space, very long.
+LONG_WORD = 500
+# Fixed value: the pattern that cuts texts into words for this vocabulary.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Tokenizer:
-    """Ids of texts as bytes, four per id; words that occur again are looked up.
+    """Ids of texts as bytes, four per id.
 
-    A space that follows another character than a space always begins a token, so a text
-    without doubled spaces is the sequence of its space-led words.  Other texts, and those
-    that hold the text of a special token, are given to the tokenizer whole.
+    Ordinary texts go through a second library with the same vocabulary as ranks, which
+    gives the same ids several times faster.  Texts that hold the text of a special token,
+    and those with very long words, for which it takes quadratic time, go through the first.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, vocabulary: str, ranks: str):
+        import tiktoken
         from tokenizers import Tokenizer as Public
 
-        self.public = Public.from_file(path)
-        self.special = regex.compile("|".join(
-            [regex.escape(t.content) for t in self.public.get_added_tokens_decoder().values()] or ["(?!)"]))
-        self.known: dict[str, bytes] = {}
+        self.public = Public.from_file(vocabulary)
+        with open(ranks, "rb") as lines:
+            pairs = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=pairs, special_tokens={})
+        self.special = [t.content for t in self.public.get_added_tokens_decoder().values()]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, "<u4").tobytes() for x in self.public.encode_batch_fast(texts, add_special_tokens=False)]
+    def _slow(self, text: str) -> bool:
+        """Whether the text is one for the first library."""
+        if any(t in text for t in self.special):
+            return True
+        lengths = [*map(len, text.split())]
+        return max(lengths, default=0) >= LONG_WORD or (
+            len(text) - sum(lengths) >= LONG_WORD and re.search(rf"\s{{{LONG_WORD}}}", text) is not None)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if "  " in t or self.special.search(t) else [*_led(t)] for t in texts]
-        new = {w for words in split if words is not None for w in words if w not in self.known}
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = {w for words in split if words is not None for w in words}
-        ordered = sorted(new)
-        self.known.update(zip(ordered, self._ids(ordered), strict=True))
-        ids = self.known.__getitem__
-        whole = iter(self._ids([t for t, words in zip(texts, split, strict=True) if words is None]))
-        return [next(whole) if words is None else b"".join(map(ids, words)) for words in split]
-
-
-def _led(text: str) -> list[str]:
-    """The text cut before each space; joined again they are the text."""
-    first, *rest = text.split(" ")
-    return [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
+        return [
+            np.asarray(self.public.encode(t, add_special_tokens=False).ids if self._slow(t)
+                       else self.fast.encode_ordinary(t), "<u4").tobytes()
+            for t in texts]
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> Tokenizer:
+def tokenizer(vocabulary: str, ranks: str) -> Tokenizer:
     """The tokenizer, read once per Python worker."""
-    return Tokenizer(path)
+    return Tokenizer(vocabulary, ranks)
 
 
 def chunks(texts, limit: int = CHUNK_CHARS):
@@ -95,11 +93,11 @@ def chunks(texts, limit: int = CHUNK_CHARS):
         yield part
 
 
-def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, ranks: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32."""
 
     def cut(batches):
-        encode, end = tokenizer(vocabulary), np.asarray([end_id], "<u4").tobytes()
+        encode, end = tokenizer(vocabulary, ranks), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             ids, done = batch.column(0), 0
             for texts in chunks(batch.column(1).to_pylist()):
@@ -231,9 +229,9 @@ def numbered(rows: DataFrame, largest: int) -> DataFrame:
         "_number", F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
 
 
-def best_fit_packing(docs: DataFrame, vocabulary: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
+def best_fit_packing(docs: DataFrame, vocabulary: str, ranks: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = written(pieces(docs, vocabulary, size, end_id))
+    cut = written(pieces(docs, vocabulary, ranks, size, end_id))
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``size`` rows
     found = cut.sparkSession.sparkContext.broadcast(places(plan(counts, size)))
 

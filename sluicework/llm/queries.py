@@ -86,7 +86,8 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """The place of all pieces of all documents in sequences of 1024 ids."""
-    return best_fit_packing(table(spark, folder, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return best_fit_packing(docs, vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 QUERIES = {f.__name__: f for f in (
