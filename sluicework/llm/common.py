@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicework.session import shared_folder
+from sluicework.session import fresh_path, remove, shared_folder
 
 #: White space between words, inside a character class of a regular expression.
 SPACE = r"\x20\x09-\x0D"
@@ -25,6 +27,35 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Lets the shuffle files of a query go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tables(spark):
+    """Gives a function that writes rows to a table in the shared folder and reads them back.
+
+    The shuffle files behind a table go when it is written, the tables at the end.
+    """
+    paths = []
+    before = spark.conf.get(CLEANUP, "false")
+
+    def write(df: DataFrame) -> DataFrame:
+        paths.append(fresh_path(spark, "table"))
+        spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(paths[-1])
+        finally:
+            spark.conf.set(CLEANUP, before)
+        return spark.read.schema(df.schema).parquet(paths[-1])
+
+    try:
+        yield write
+    finally:
+        for path in paths:
+            remove(spark, path)
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda w: w != "")
@@ -40,15 +71,14 @@ def let(value: Column, then) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
-def with_first(rows: DataFrame, key: str, order: list[str], hot: float = 0.001) -> DataFrame:
-    """The rows of keys that occur again, with ``first``: the least of their key, as a struct of the order's columns.
+def with_group(rows: DataFrame, key: str, *totals: Column, least: int = 1, hot: float = 0.001) -> DataFrame:
+    """The rows of keys that occur ``least`` times, with the totals of their key and its number of rows, ``_n``.
 
     Keys that hold at least the fraction ``hot`` of the rows are at most ``1 / hot``; they are
     broadcast, so that no task gets all rows of such a key.  The others are joined by shuffle.
     """
-    total = rows.count()
-    firsts = written(rows.groupBy(key).agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("_n")).where("_n > 1"))
-    often = firsts.where(F.col("_n") >= hot * total).drop("_n")
-    seldom = firsts.where(F.col("_n") < hot * total).drop("_n")
+    often_from = hot * rows.count()
+    found = written(rows.groupBy(key).agg(F.count("*").alias("_n"), *totals).where(F.col("_n") >= least))
+    often, seldom = found.where(F.col("_n") >= often_from), found.where(F.col("_n") < often_from)
     others = rows.join(F.broadcast(often.select(key)), key, "left_anti")
     return rows.join(F.broadcast(often), key).unionByName(others.join(seldom, key))

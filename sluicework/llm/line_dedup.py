@@ -24,13 +24,10 @@ empty result.  Further columns pass through ``dedup_lines``.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluicework.llm.common import SPACE, let, row_key, with_first, words, written
-from sluicework.session import fresh_path, remove
+from sluicework.llm.common import SPACE, let, row_key, tables, with_group, words, written
 
 #: Similarity from which a line is a repetition, as a fraction.
 SIMILARITY = (4, 5)
@@ -40,32 +37,6 @@ SLOTS = 1 << 18
 SETTLE = 3
 
 PLACE = ["doc", "row", "line_no"]
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def tables(spark):
-    """Gives a function that writes rows to a table in the shared folder and reads them back.
-
-    The shuffle files behind a table go when it is written, the tables at the end.
-    """
-    paths = []
-    before = spark.conf.get(CLEANUP, "false")
-
-    def write(df: DataFrame) -> DataFrame:
-        paths.append(fresh_path(spark, "lines"))
-        spark.conf.set(CLEANUP, "true")
-        try:
-            df.write.parquet(paths[-1])
-        finally:
-            spark.conf.set(CLEANUP, before)
-        return spark.read.schema(df.schema).parquet(paths[-1])
-
-    try:
-        yield write
-    finally:
-        for path in paths:
-            remove(spark, path)
 
 
 def placed(docs: DataFrame) -> DataFrame:
@@ -185,7 +156,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
         first = {}
         for k in range(SETTLE):
-            groups = with_first(sets.select(f"mh{k}", *PLACE, "n", "sig"), f"mh{k}", [*PLACE, "n", "sig"])
+            least = F.min(F.struct(*PLACE, "n", "sig")).alias("first")
+            groups = with_group(sets.select(f"mh{k}", *PLACE, "n", "sig"), f"mh{k}", least, least=2)
             first[k] = groups.select(
                 F.struct(*PLACE, "n", "sig").alias("y"), F.col("first").alias("x")
             ).where(earlier("x", "y") & possible("x", "y")).select(*pair("x", "y"))

@@ -12,6 +12,7 @@ from sluicework.llm.common import table, written
 from sluicework.llm.exact_dedup import exact_dedup
 from sluicework.llm.language import language_id
 from sluicework.llm.line_dedup import dedup_lines
+from sluicework.llm.ngram_join import ngram_join
 from sluicework.llm.packing import best_fit_packing
 from sluicework.llm.pieces import decode, encode
 from sluicework.llm.quality import quality_rules
@@ -90,9 +91,14 @@ def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return best_fit_packing(docs, vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of all documents and their number of links."""
+    return ngram_join(table(spark, folder, "documents", "doc_id", "text")).drop("row")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_exact_dedup, op3_sentencepiece, op4_line_dedup, op5_sharding, op6_warc, op7_toxicity, op8_language_id,
-    op9_best_fit_packing)}
+    op9_best_fit_packing, op10_ngram_join)}
 
 ORACLE = {
     "op1_quality_rules": r"""
@@ -193,4 +199,31 @@ WITH d AS (
     FROM d
 )
 SELECT doc_id, keep_id, c::BIGINT AS group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM k""",
+    "op10_ngram_join": r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+    SELECT doc_id, list_sort(list_distinct(CASE
+        WHEN len(w) BETWEEN 1 AND 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s
+    FROM w
+), c AS (
+    SELECT s, min(doc_id) AS c, count(*) AS size, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s
+), x AS (
+    SELECT c, size, n, unnest(s) AS x FROM c
+), l AS (
+    SELECT a.c AS a, b.c AS b, b.size AS size FROM x a JOIN x b ON a.x = b.x AND a.c <> b.c
+    GROUP BY a.c, b.c, a.n, b.n, b.size HAVING 9 * count(*) >= 4 * (a.n + b.n)
+), r AS (
+    SELECT c, c AS k FROM c UNION SELECT l.b, r.k FROM r JOIN l ON l.a = r.c
+), k AS (
+    SELECT c, min(k) AS k FROM r GROUP BY c
+), g AS (
+    SELECT k, sum(size) AS size FROM k JOIN c USING (c) GROUP BY k
+), n AS (
+    SELECT a AS c, sum(size) AS n FROM l GROUP BY a
+)
+SELECT doc_id, coalesce(k.k, doc_id) AS class_id, coalesce(g.size, 1)::BIGINT AS class_size,
+       coalesce(c.size, 1)::BIGINT AS n_copies, (coalesce(n.n, 0) + coalesce(c.size, 1) - 1)::BIGINT AS n_links
+FROM s LEFT JOIN c ON c.s = s.s LEFT JOIN k ON k.c = c.c LEFT JOIN g ON g.k = k.k LEFT JOIN n ON n.c = c.c""",
 }
