@@ -1,4 +1,4 @@
-"""Bit functions on 64-bit integers."""
+"""Bit functions on 64-bit integers.  What is no such number gives null."""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -7,7 +7,7 @@ from sluicework.functions._args import col
 
 
 def _long(value) -> Column:
-    return col(value).cast("bigint")
+    return col(value).try_cast("bigint")
 
 
 def binary_and(a, b) -> Column:
@@ -27,8 +27,8 @@ def binary_not(a) -> Column:
 
 
 def binary_shift_left(a, n) -> Column:
-    return F.call_function("shiftleft", _long(a), col(n).cast("int"))
+    return F.call_function("shiftleft", _long(a), col(n).try_cast("int"))
 
 
 def binary_shift_right(a, n) -> Column:
-    return F.call_function("shiftright", _long(a), col(n).cast("int"))
+    return F.call_function("shiftright", _long(a), col(n).try_cast("int"))

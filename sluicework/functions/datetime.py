@@ -7,6 +7,11 @@ from sluicework.functions._args import col
 
 MICROS = {"microsecond": 1, "millisecond": 1000, "second": 10**6, "minute": 60 * 10**6, "hour": 3600 * 10**6}
 
+ADDED = {
+    **{unit: ("micros", n) for unit, n in MICROS.items()}, "day": ("day", 1), "week": ("day", 7),
+    "month": ("month", 1), "quarter": ("month", 3), "year": ("month", 12),
+}
+
 
 def _days(n: int) -> Column:
     return F.expr(f"interval {n} day")
@@ -30,7 +35,14 @@ def ago(span, as_of=None) -> Column:
 
 
 def datetime_add(unit: str, n, t) -> Column:
-    return F.timestamp_add(unit.upper(), col(n).cast("int"), col(t))
+    """Null when ``n`` is no whole number or the result is out of range."""
+    part, each = ADDED[unit.lower()]
+    n = col(n).try_cast("bigint")
+    if part == "micros":
+        span = F.try_multiply(F.expr("interval '0 00:00:00.000001' day to second"), F.try_multiply(n, F.lit(each)))
+    else:
+        span = F.try_multiply(F.expr(f"interval '1' {part}"), F.try_multiply(n, F.lit(each)))
+    return F.try_add(col(t), span)
 
 
 def datetime_diff(unit: str, a, b) -> Column:
@@ -133,13 +145,15 @@ def endofyear(t) -> Column:
 def make_datetime(year, month, day, hour=0, minute=0, second=0) -> Column:
     """Null when the parts are no date."""
     return F.try_make_timestamp(
-        years=col(year).cast("int"), months=col(month).cast("int"), days=col(day).cast("int"),
-        hours=col(hour).cast("int"), mins=col(minute).cast("int"), secs=col(second).cast("decimal(16,6)"))
+        years=col(year).try_cast("int"), months=col(month).try_cast("int"), days=col(day).try_cast("int"),
+        hours=col(hour).try_cast("int"), mins=col(minute).try_cast("int"), secs=col(second).try_cast("decimal(16,6)"))
 
 
 def make_timespan(*parts) -> Column:
-    """From hour, minute; hour, minute, second; or day, hour, minute, second."""
+    """From hour, minute; hour, minute, second; or day, hour, minute, second. Null for other texts and out of range."""
     parts = (parts if len(parts) > 3 else (0, *parts)) + (() if len(parts) > 2 else (0,))
     days, hours, minutes, seconds = parts
-    return F.make_dt_interval(col(days).cast("int"), col(hours).cast("int"), col(minutes).cast("int"),
-                              col(seconds).cast("decimal(18,6)"))
+    total = col(seconds).try_cast("decimal(18,6)")
+    for value, each in ((days, 86_400), (hours, 3600), (minutes, 60)):
+        total = total + (col(value).try_cast("int").cast("decimal(10,0)") * F.lit(each)).cast("decimal(18,6)")
+    return F.try_multiply(F.expr("interval '0 00:00:01' day to second"), total)

@@ -14,9 +14,14 @@ def parse_json(x) -> Column:
 todynamic = parse_json
 
 
-def item(array, index) -> Column:
-    """``array[index]``, null when out of range."""
-    return F.get(col(array), col(index))
+def _members(x) -> Column:
+    """The array in a variant; null for any other value."""
+    return F.try_variant_get(col(x), "$", "array<variant>")
+
+
+def item(array, index, dynamic: bool = False) -> Column:
+    """``array[index]``, null when out of range; with ``dynamic`` of an array in a variant."""
+    return F.get(_members(array) if dynamic else col(array), col(index))
 
 
 def field(value, path: str, as_type: str = "string") -> Column:
@@ -24,13 +29,16 @@ def field(value, path: str, as_type: str = "string") -> Column:
     return F.try_variant_get(col(value), f"$.{path}", as_type)
 
 
-def array_concat(*arrays) -> Column:
-    return F.concat(*[col(a) for a in arrays])
+def array_concat(*arrays, dynamic: bool = False) -> Column:
+    """Arrays one after the other; with ``dynamic`` arrays in variants, as one."""
+    if dynamic:
+        return F.flatten(F.array(*[_members(a) for a in arrays])).cast("variant")
+    return F.flatten(F.array(*[col(a) for a in arrays]))  # refuses anything but arrays
 
 
 def array_length(x, dynamic: bool = False) -> Column:
     """Length of an array; with ``dynamic`` of an array in a variant."""
-    return F.size(F.try_variant_get(col(x), "$", "array<variant>") if dynamic else col(x))
+    return F.size(_members(x) if dynamic else col(x))
 
 
 def pack_array(*values, dynamic: bool = False) -> Column:
@@ -58,5 +66,11 @@ def parse_xml(x, schema: str | None = None) -> Column:
     return F.when(fine, F.from_xml(col(x), schema or "variant"))
 
 
-def _zip(*arrays) -> Column:
+def _zip(*arrays, dynamic: bool = False) -> Column:
+    """Arrays of the first, second, ... members; with ``dynamic`` of arrays in variants, as a variant."""
+    if dynamic:
+        lists = [_members(a) for a in arrays]
+        return F.transform(
+            F.sequence(F.lit(0), F.greatest(*map(F.size, lists)) - 1) if len(lists) > 1 else F.sequence(F.lit(0), F.size(lists[0]) - 1),
+            lambda i: F.array(*[F.get(x, i) for x in lists])).cast("variant")
     return F.arrays_zip(*[col(a) for a in arrays])

@@ -9,16 +9,24 @@ from sluicework.functions._args import col
 
 
 def abs(x) -> Column:
-    return F.abs(col(x))
+    """Null for the least whole number, which has no opposite."""
+    x = col(x)
+    return F.when(F.try_subtract(F.lit(0), x).isNotNull(), F.abs(x))
 
 
 def bin(x, size) -> Column:
-    """``x`` rounded down to a multiple of ``size``; a timedelta rounds a time."""
+    """``x`` rounded down to a multiple of ``size``; a timedelta rounds a time.
+
+    Null for size zero and where the result has no place in the type.
+    """
     if isinstance(size, _timedelta):
         micros = size // _timedelta(microseconds=1)
         t = F.unix_micros(col(x).cast("timestamp"))
-        return F.timestamp_micros(t - F.pmod(t, F.lit(micros)))
-    return F.floor(F.try_divide(col(x), col(size))) * col(size)
+        return F.timestamp_micros(F.try_subtract(t, F.pmod(t, F.lit(micros))))
+    x, size = col(x), col(size)
+    rest = F.try_mod(x, size)  # exact for whole numbers; it has the sign of x
+    rest = F.when((rest != 0) & ((rest < 0) != (size < 0)), rest + size).otherwise(rest)
+    return F.try_subtract(x, rest)
 
 
 def floor(x, size=1) -> Column:

@@ -1,5 +1,9 @@
 """Comparisons and arithmetic of the language that need more than a Column operator."""
 
+import re
+from datetime import timedelta
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,7 +64,11 @@ def modulo(a, b) -> Column:
 
 
 def timespan(text: str) -> Column:
-    """Literal such as ``1h``, ``30m``, ``2d``, ``10s``, ``5ms``."""
-    units = {"d": "day", "h": "hour", "m": "minute", "s": "second", "ms": "millisecond", "us": "microsecond"}
-    number = text.rstrip("".join(set("".join(units))))
-    return F.expr(f"interval {number} {units[text[len(number):]]}")
+    """Literal such as ``1h``, ``1.5h``, ``30m``, ``2d``, ``10s``, ``5ms``, ``20us``, ``7tick`` (of 100 nanoseconds)."""
+    number, unit = re.fullmatch(r"([0-9]+(?:\.[0-9]+)?)([a-z]+)", text.strip().lower()).groups()
+    units = {"d": 864 * 10**8, "h": 36 * 10**8, "m": 6 * 10**7, "s": 10**6, "ms": 1000, "us": 1, "microsecond": 1,
+             "tick": Decimal("0.1"), "ticks": Decimal("0.1")}
+    if unit not in units:
+        raise ValueError(f"unknown unit {unit!r} of a time span; known: {', '.join(units)}")
+    micros = int(Decimal(number) * units[unit])
+    return F.lit(timedelta(microseconds=micros))

@@ -17,11 +17,11 @@ def base64_decodestring(x) -> Column:
 
 
 def countof(x, search, kind: str = "normal") -> Column:
-    """Occurrences that do not overlap; ``kind='regex'`` takes a pattern."""
+    """Occurrences that do not overlap; ``kind='regex'`` takes a pattern.  Null for an empty search text."""
     if kind == "regex":
         return F.regexp_count(col(x), col(search))
     gone = F.length(col(x)) - F.length(F.replace(col(x), col(search), F.lit("")))
-    return (gone / F.length(col(search))).cast("int")
+    return F.try_divide(gone, F.length(col(search))).cast("int")
 
 
 def extract(pattern: str, group: int, x) -> Column:

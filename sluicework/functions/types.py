@@ -11,6 +11,7 @@ COLUMN_NAMES = {
 }
 DYNAMIC_NAMES = {
     "STRING": "string", "BIGINT": "long", "DOUBLE": "real", "BOOLEAN": "bool", "VOID": "null",
+    "TIMESTAMP": "datetime", "TIMESTAMP_NTZ": "datetime", "DATE": "datetime",
 }
 
 

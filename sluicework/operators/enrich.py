@@ -2,34 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Rows of the cut-up range table that may be sent to every executor.
-MAX_BROADCAST_ROWS = 1_000_000
-TARGET_BUCKETS = 65_536
+# Blocks have 16 ** level addresses; 16 levels make up all addresses of 63 bits.
+LEVEL_BITS, LEVELS = 4, 16
+
+
+def _blocks(low: Column, high: Column, level: int) -> Column:
+    """Numbers of the level's blocks that lie in a range and aren't in a block of the next level that does."""
+    def first(at: int) -> Column:
+        return F.shiftright(low - 1, at) + 1 if at else low
+
+    def last(at: int) -> Column:
+        whole = high.bitwiseAND(F.lit((1 << at) - 1)) == (1 << at) - 1
+        return F.shiftright(high, at) - F.when(whole, 0).otherwise(1) if at else high
+
+    at, up = LEVEL_BITS * level, LEVEL_BITS * (level + 1)
+    a, b = first(at), last(at)
+    if level == LEVELS - 1:
+        return F.when(a <= b, F.sequence(a, b))
+    inner = first(up) <= last(up)
+    c, d = F.shiftleft(first(up), LEVEL_BITS), F.shiftleft(last(up), LEVEL_BITS).bitwiseOR(F.lit((1 << LEVEL_BITS) - 1))
+    none = F.array().cast("array<bigint>")
+    both = F.concat(F.when(a < c, F.sequence(a, c - 1)).otherwise(none), F.when(d < b, F.sequence(d + 1, b)).otherwise(none))
+    return F.when(inner, both).when(a <= b, F.sequence(a, b))
 
 
 def geo_location(df: DataFrame, address: str, ranges: DataFrame, low: str = "lo", high: str = "hi") -> DataFrame:
     """Left join of integer addresses to ranges that do not overlap (``low <= address <= high``).
 
-    The ranges are cut at multiples of a bucket width, which turns the range
-    condition into an equality on the bucket: ranges that do not overlap give at
-    most one piece per range plus one per bucket.  When the pieces are few, as
-    counted, they are broadcast and the records are not shuffled; otherwise both
-    sides are shuffled by bucket and adaptive execution splits hot buckets.
-    Records outside all ranges are kept with nulls.
+    A range is cut into aligned blocks of a power of 16 addresses, at most 30 of each size, and each
+    distinct address names the block of each size that it is in.  So the range condition
+    becomes an equality with at most one match, however ranges and addresses lie.
+    The records themselves are joined once, on the address.  Spark broadcasts
+    what is small by its own measure.  Records outside all ranges are kept with nulls; lows are
+    taken to be above the least 64-bit number.
     """
-    span = ranges.agg(F.min(low), F.max(high)).first()
-    width = max(1, -(-(span[1] - span[0] + 1) // TARGET_BUCKETS)) if span[0] is not None else 1
-
-    def bucket(value):
-        return F.call_function("div", value - F.pmod(value, F.lit(width)), F.lit(width)).cast("bigint")
-
-    pieces = ranges.filter(F.col(low) <= F.col(high)).withColumn(
-        "_bucket", F.explode(F.sequence(bucket(F.col(low)), bucket(F.col(high)))))
-    if pieces.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
-        pieces = F.broadcast(pieces)
-    keyed = df.withColumn("_bucket", bucket(F.col(address)))
-    within = (keyed["_bucket"] == pieces["_bucket"]) & (F.col(address) >= F.col(low)) & (F.col(address) <= F.col(high))
-    return keyed.join(pieces, within, "left").drop("_bucket")
+    bounds = ranges.filter(F.col(low) <= F.col(high)).select(
+        F.struct(*ranges.columns).alias("_range"), F.col(low).cast("bigint").alias("_low"), F.col(high).cast("bigint").alias("_high"))
+    levels = F.array(*[_blocks(F.col("_low"), F.col("_high"), k) for k in range(LEVELS)])
+    blocks = bounds.select("_range", F.posexplode(levels).alias("_level", "_numbers")).select(
+        "_range", "_level", F.explode("_numbers").alias("_block"))
+    own = F.posexplode(F.array(*[F.shiftright(F.col("_address"), LEVEL_BITS * k) for k in range(LEVELS)]))
+    addresses = df.select(F.col(address).cast("bigint").alias("_address")).filter("_address is not null").distinct().select(
+        "_address", own.alias("_level", "_block"))
+    found = addresses.join(blocks, ["_level", "_block"]).select("_address", "_range")
+    joined = df.join(found, F.col(address).cast("bigint") == F.col("_address"), "left")
+    return joined.select(*[df[c] for c in df.columns], *[F.col("_range").getField(c).alias(c) for c in ranges.columns])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import warnings
 
 from pyspark.sql import Column, DataFrame
@@ -58,27 +57,36 @@ def parse(df: DataFrame, column: str, *pattern, kind: str = "simple") -> DataFra
     """New columns from a text column.
 
     ``pattern`` alternates literal texts, ``ANY`` and captures ``(name, type)``;
-    the whole text has to match it.  ``kind='regex'`` takes the texts as regular
-    expressions.  Without a match, and where a capture does not convert to its
-    type, the new columns are null.
+    the whole text has to match it.  ``kind='regex'`` takes the texts as Java regular
+    expressions.  Each text counts where it is found first after the one before
+    it, which is never taken back, so that a row costs linear time; only the last text of a pattern
+    that ends with one has to be at the end.  Without a match, and where a capture does
+    not convert to its type, the new columns are null.
     """
     captures = [p for p in pattern if isinstance(p, tuple)]
     if len(captures) > fv.MAX_PARSE_COLUMNS:
         warnings.warn(f"parse with {len(captures)} columns (limit is {fv.MAX_PARSE_COLUMNS} per statement)", stacklevel=2)
-    pieces, group, groups = [], 0, {}
-    for part in pattern:
+    gap, pieces, group, groups = "", [], 0, {}
+    for at, part in enumerate(pattern):
         if isinstance(part, tuple):
             group += 1
             groups[part[0]] = (group, part[1])
-            pieces.append("(.*?)")
+            gap += "(.*?)"
         elif part == ANY:
-            pieces.append(".*?")
-        elif kind == "regex":
-            group += re.compile(part).groups
-            pieces.append(f"(?:{part})")
+            gap += ".*?"
         else:
-            pieces.append(quote(part))
-    regex = rf"(?s)\A{''.join(pieces)}\z"
+            text = quote(part)
+            if kind == "regex":
+                group += _group_count(df, part)
+                text = f"(?:{part})"
+            if at == len(pattern) - 1:
+                # one match to the end, found by going through the ends of the gap once
+                pieces.append(f"{gap}{text}")
+            else:
+                pieces.append(f"(?>{gap}{text})")
+            gap = ""
+    # Of several gaps in a row the last takes all.
+    regex = rf"(?s)\A{''.join(pieces)}{gap}\z"
     hit = F.rlike(F.col(column), F.lit(regex))
     return df.withColumns({
         name: F.when(hit, CONVERT[as_type](F.regexp_extract(column, regex, number)))
@@ -86,6 +94,11 @@ def parse(df: DataFrame, column: str, *pattern, kind: str = "simple") -> DataFra
     })
 
 
+def _group_count(df: DataFrame, regex: str) -> int:
+    """Groups of a Java regular expression."""
+    return df.sparkSession._jvm.java.util.regex.Pattern.compile(regex).matcher("").groupCount()
+
+
 def let(name: str, df: DataFrame) -> DataFrame:
     """Bind a table to a name, also for SQL in the same session."""
     df.createOrReplaceTempView(name)

@@ -2,5 +2,5 @@
 
 from sluicework.plans.audit_query import audit_queries, judge_queries  # noqa: F401
 from sluicework.plans.audit_rule import audit_rules, judge_rules  # noqa: F401
-from sluicework.plans.rollup import findings_by_code, verdict, verdict_of_marks  # noqa: F401
+from sluicework.plans.rollup import findings_by_code, totals_of_marks, verdict, verdict_of_marks  # noqa: F401
 from sluicework.plans.routing import flow_pairs, run_flows  # noqa: F401

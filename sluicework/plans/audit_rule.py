@@ -253,10 +253,11 @@ def _judgement() -> Steps:
     ]
 
 
-def parsed_rules(docs: DataFrame) -> DataFrame:
-    """Documents with their typed parts."""
+def parsed_rules(docs: DataFrame, bounded: bool = True) -> DataFrame:
+    """Documents with their typed parts; ``bounded`` leaves out those over the audits' size limit."""
     prepare(docs.sparkSession)
-    return apply_steps(docs.select("doc_id", "body"), _parts())
+    parts = _parts() if bounded else [("text", trimmed(F.col("body"))), *_parts()[1:]]
+    return apply_steps(docs.select("doc_id", "body"), parts)
 
 
 def judge_rules(docs: DataFrame) -> DataFrame:

@@ -141,6 +141,16 @@ def _texts() -> Column:
     return F.expr(f"array({', '.join(entries)})")
 
 
+def codes_of_marks(marks: Column) -> Column:
+    """Code and severity of each mark, in order."""
+    def coded(m: Column) -> Column:
+        flow, severity = m["head"]["flow"], m["head"]["severity"]
+        prefix = F.when(flow.isNull(), "").when(severity == "error", fv.EMBEDDED_ERROR).otherwise(fv.EMBEDDED_WARNING)
+        return F.struct(F.concat(prefix, F.get(_texts(), m["head"]["text"])["code"]).alias("code"), severity.alias("severity"))
+
+    return F.transform(marks, coded)
+
+
 def to_rows(docs: DataFrame) -> DataFrame:
     """``(doc_id, marks)`` -> one row per finding, with its texts.
 

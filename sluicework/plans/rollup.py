@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluicework.plans.findings import bind, codes_of_marks
+
 COUNTS = {"errors": "error", "warnings": "warning", "infos": "info"}
 
 
@@ -41,3 +43,16 @@ def findings_by_code(findings: DataFrame) -> DataFrame:
     per_document = findings.groupBy("code", "severity", "doc_id").agg(F.count("*").alias("n"))
     return per_document.groupBy("code", "severity").agg(
         F.sum("n").alias("findings"), F.count("*").alias("documents"))
+
+
+def totals_of_marks(marks: DataFrame) -> DataFrame:
+    """The same totals from ``judge_queries`` or ``judge_rules`` rows.
+
+    Codes are counted inside the row, so what a task shuffles is a row per code.
+    """
+    counted = bind(codes_of_marks(F.col("marks")), lambda all_: F.transform(
+        F.array_distinct(all_), lambda one: F.struct(
+            one["code"].alias("code"), one["severity"].alias("severity"),
+            F.size(F.filter(all_, lambda other: other == one)).cast("bigint").alias("n"))))
+    return marks.select(F.explode(counted).alias("c")).select("c.*").groupBy("code", "severity").agg(
+        F.sum("n").alias("findings"), F.count("*").alias("documents"))

@@ -23,7 +23,7 @@ def flow_pairs(rules: DataFrame) -> DataFrame:
     would parse every document a second time.)
     """
     return (
-        parsed_rules(rules).select("doc_id", F.explode_outer("flows").alias("f")).filter("not f.bad")
+        parsed_rules(rules, bounded=False).select("doc_id", F.explode_outer("flows").alias("f")).filter("not f.bad")
         .select("doc_id", F.col("f.number").cast("int").alias("flow"), F.explode("f.streams").alias("stream"), "f")
         .select("doc_id", "flow", "stream", F.explode("f.destinations").alias("destination"),
                 F.col("f.transform").alias("transform"), F.col("f.output_stream").alias("output_stream"))
@@ -41,15 +41,15 @@ class Step:
     transform: Transform
     sinks: tuple[LogTables, ...]
 
-    def write(self, df: DataFrame, run: str) -> None:
+    def write(self, df: DataFrame, rule: str, run: str) -> None:
         """Write to the first destination; the others get a copy of what it now holds,
-        so the transform runs once and all destinations hold the same rows."""
-        first, *others = self.sinks
-        source = first.part(self.output_stream, run, self.flow, self.number)
+        so the transform runs once and all destinations hold the same rows.  A folder
+        that several destinations name is written once."""
+        places = {sink.part(self.output_stream, rule, run, self.flow, self.number): sink for sink in self.sinks}
+        (source, first), *others = places.items()
         first.write(self.transform(df), source)
-        for other in others:
-            other.write(first.read_part(df.sparkSession, source),
-                        other.part(self.output_stream, run, self.flow, self.number))
+        for place, other in others:
+            other.write(first.read_part(df.sparkSession, source), place)
 
 
 def steps(rule: dict, transforms: dict[int, Transform], sinks: dict[str, LogTables]) -> Iterator[Step]:
@@ -71,8 +71,8 @@ def steps(rule: dict, transforms: dict[int, Transform], sinks: dict[str, LogTabl
 
 
 def run_flows(rule: dict, streams: dict[str, DataFrame], transforms: dict[int, Transform],
-              sinks: dict[str, LogTables], run: str) -> None:
-    """Run all flows on batch DataFrames.  Running again under the same ``run`` name
-    replaces what the earlier run wrote."""
+              sinks: dict[str, LogTables], run: str, rule_id: str) -> None:
+    """Run all flows on batch DataFrames.  Running a rule again under the same ``run`` name
+    replaces what its earlier run wrote; rules with other ids keep their rows."""
     for step in list(steps(rule, transforms, sinks)):
-        step.write(streams[step.stream], run)
+        step.write(streams[step.stream], rule_id, run)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sluicework import fixed_values as fv
 from sluicework.plans import (
-    audit_queries, audit_rules, findings_by_code, flow_pairs, judge_queries, judge_rules, verdict, verdict_of_marks,
+    audit_queries, audit_rules, flow_pairs, judge_queries, judge_rules, totals_of_marks, verdict, verdict_of_marks,
 )
 from sluicework.queries.fleet import QUERY_TEMPLATES, RULE_TEMPLATES, fleet_sql, query_fleet, rule_fleet
 from sluicework.queries.tables import table
@@ -46,7 +46,7 @@ def u_query_verdict(spark, d):
 
 
 def u_query_codes(spark, d):
-    return findings_by_code(audit_queries(query_fleet(spark, d)))
+    return totals_of_marks(judge_queries(query_fleet(spark, d)))
 
 
 def u_rule_fleet(spark, d):
@@ -71,11 +71,26 @@ def u_rule_verdict_in_row(spark, d):
 
 
 def u_rule_codes(spark, d):
-    return findings_by_code(audit_rules(rule_fleet(spark, d)))
+    return totals_of_marks(judge_rules(rule_fleet(spark, d)))
 
 
 def u_flow_pairs(spark, d):
-    return flow_pairs(rule_fleet(spark, d))
+    """The pairs of a fleet, one document in five thousand being padded to over 5 MB."""
+    pad = F.when(F.col("doc_id") % 5000 == 0, F.repeat(F.lit(" "), fv.MAX_BODY_BYTES)).otherwise("")
+    return flow_pairs(rule_fleet(spark, d).withColumn("body", F.concat("body", pad)))
+
+
+def _too_big(spark, d):
+    return table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("doc_id"), F.concat(
+        F.col("n_name"), F.repeat(F.lit("x"), fv.MAX_BODY_BYTES)).alias("body"))
+
+
+def u_query_too_big(spark, d):
+    return audit_queries(_too_big(spark, d))
+
+
+def u_rule_too_big(spark, d):
+    return audit_rules(_too_big(spark, d))
 
 
 def _streamed(spark, docs, audit):
@@ -99,7 +114,7 @@ QUERIES = {
     f.__name__: f for f in (
         u_query_fleet, u_query_documents, u_query_chats, u_query_verdict, u_query_codes, u_query_stream,
         u_rule_fleet, u_rule_props, u_rule_documents, u_rule_verdict, u_rule_verdict_in_row, u_rule_codes,
-        u_rule_stream, u_flow_pairs)
+        u_rule_stream, u_flow_pairs, u_query_too_big, u_rule_too_big)
 }
 
 
@@ -360,6 +375,11 @@ _PAIRS = """
     WHERE s.kind_of = 'VARCHAR' AND t.kind_of = 'VARCHAR'"""
 _PROPS = "SELECT event_id AS doc_id, props AS body FROM events"
 
+_TOO_BIG = """
+    SELECT n_nationkey::BIGINT AS doc_id, 0 AS seq, '{}' AS code, 'error' AS severity,
+           'Input exceeds maximum size (5MB)' AS message, '{}' AS suggestion
+    FROM nation"""
+
 ORACLE = {
     "u_query_fleet": query_audit_sql(fleet_sql(QUERY_TEMPLATES), _FINDINGS),
     "u_query_documents": query_audit_sql(_TEXTS, _FINDINGS),
@@ -374,5 +394,7 @@ ORACLE = {
     "u_rule_verdict_in_row": rule_audit_sql(fleet_sql(RULE_TEMPLATES), _VERDICT.format("r_findings")),
     "u_rule_codes": rule_audit_sql(fleet_sql(RULE_TEMPLATES), _CODES.format("r_findings")),
     "u_rule_stream": rule_audit_sql(fleet_sql(RULE_TEMPLATES), _RULE_FINDINGS),
+    "u_query_too_big": _TOO_BIG.format("KQL000", "Reduce the query size"),
+    "u_rule_too_big": _TOO_BIG.format("DCR000", "Reduce the JSON size"),
     "u_flow_pairs": rule_audit_sql(fleet_sql(RULE_TEMPLATES), _PAIRS),
 }

@@ -94,6 +94,8 @@ def t_geo_location(spark, d):
     """Addresses (user numbers) in ranges made from the customers' keys and nations."""
     ranges = table(spark, d, "customer").filter("c_custkey % 3 <> 0").select(
         (c("c_custkey") * 2).alias("lo"), (c("c_custkey") * 2 + 1).alias("hi"), c("c_nationkey").alias("place"))
+    far = spark.createDataFrame([(10**17, 10**18 + 12345, 99)], "lo bigint, hi bigint, place int")
+    ranges = ranges.unionByName(far)
     events = table(spark, d, "events").select("event_id", c("user_id").alias("address"))
     return op.geo_location(events, "address", ranges).select("event_id", "address", "place")
 
@@ -179,8 +181,16 @@ def r_text_log(spark, d):
 
 
 def r_text_log_split(spark, d):
-    """The same for files over the size that is read whole."""
-    return _records(so.text_log(spark, _written_log(spark, d), whole_file_bytes=0))
+    """The same with records that a start pattern with alternatives and an anchor finds, over Windows line ends."""
+    path = fresh_path(spark, "text-log")
+    _log_lines(spark, d).select(F.regexp_replace("value", "\n", "\r\n").alias("value")).write.option("lineSep", "\r\n").text(path)
+    return _records(so.text_log(spark, path, "^[0-9]{4}-|INFO"))
+
+
+def r_text_log_no_start(spark, d):
+    """A log in which no record starts is read line by line."""
+    lines = so.text_log(spark, _written_log(spark, d), "START")
+    return lines.groupBy("RawData").agg(F.count("*").alias("n"))
 
 
 def _run(stream_query):
@@ -282,7 +292,7 @@ def r_run_flows(spark, d):
     events, sinks = table(spark, d, "events"), _flow_sinks(spark)
     streams = {"Custom-Errors": _input(events, "error"), "Custom-Views": _input(events, "view")}
     for _ in range(2):  # a repeated run leaves the rows once
-        run_flows(FLOW_RULE, streams, FLOW_TRANSFORMS, sinks, run="first")
+        run_flows(FLOW_RULE, streams, FLOW_TRANSFORMS, sinks, run="first", rule_id="rule")
     return _flow_results(spark, sinks)
 
 
@@ -292,18 +302,99 @@ def r_run_flows_stream(spark, d):
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn(
         "ts", c("ts").cast("timestamp"))
     streams = {"Custom-Errors": _input(source, "error"), "Custom-Views": _input(source, "view")}
-    for query in stream_flows(FLOW_RULE, streams, FLOW_TRANSFORMS, sinks, fresh_path(spark, "ckpt")):
+    for query in stream_flows(FLOW_RULE, streams, FLOW_TRANSFORMS, sinks, fresh_path(spark, "ckpt"), "rule"):
         _run(query)
     return _flow_results(spark, sinks)
 
 
+def _one_flow(*destinations, output="Custom-All_CL"):
+    return {"properties": {"dataFlows": [
+        {"streams": ["Custom-In"], "destinations": list(destinations), "outputStream": output, "transformKql": "source"}]}}
+
+
+def r_flows_two_rules(spark, d):
+    """Two rules that run under one name and write to one table."""
+    events, sink = table(spark, d, "events"), so.LogTables(fresh_path(spark, "two"))
+    for kind in ("error", "view"):
+        run_flows(_one_flow("near"), {"Custom-In": _input(events, kind)}, {}, {"near": sink}, run="same", rule_id=kind)
+    return sink.read(spark, "Custom-All_CL").select("event_id", "value")
+
+
+def r_flows_same_destination_twice(spark, d):
+    """A destination that a flow lists twice, and another one with the same folder."""
+    events, folder = table(spark, d, "events"), fresh_path(spark, "twice")
+    sinks = {"near": so.LogTables(folder), "again": so.LogTables(folder + "/")}
+    run_flows(_one_flow("near", "near", "again"), {"Custom-In": _input(events, "error")}, {}, sinks, run="one", rule_id="rule")
+    return sinks["near"].read(spark, "Custom-All_CL").select("event_id", "value")
+
+
+def r_metrics_two_schemas(spark, d):
+    """Two streams with other columns in the one table of a metrics destination."""
+    events, sinks = table(spark, d, "events"), {"meter": so.MetricsTable(fresh_path(spark, "meter"))}
+    orders = table(spark, d, "orders").select(c("o_orderkey").alias("order_id"), c("o_totalprice").alias("value"))
+    for rule_id, df in (("events", events.select("event_id", "value")), ("orders", orders)):
+        run_flows(_one_flow("meter"), {"Custom-In": df}, {}, sinks, run="one", rule_id=rule_id)
+    return sinks["meter"].read(spark, "Custom-All_CL").select("event_id", "order_id", "value")
+
+
+def _log_rule(entries, columns):
+    return {"properties": {"streamDeclarations": {"Custom-L": {"columns": columns}}, "dataSources": {"logFiles": entries}}}
+
+
+TEXT_COLUMNS = [{"name": "TimeGenerated", "type": "datetime"}, {"name": "RawData", "type": "string"},
+                {"name": "FilePath", "type": "string"}, {"name": "Computer", "type": "string"}]
+
+
+def _entry(fmt, *patterns, start=None):
+    settings = {"settings": {"text": {"recordStartTimestampFormat": start}}} if start else {}
+    return {"streams": ["Custom-L"], "filePatterns": list(patterns), "format": fmt, "name": "log", **settings}
+
+
+def r_log_streams_text(spark, d):
+    """Records that start with a time in another format than ISO 8601."""
+    path = fresh_path(spark, "us-log")
+    table(spark, d, "events").select(F.concat(
+        F.date_format("ts", "M/d/yyyy h:mm:ss a"), F.lit(" id="), c("event_id").cast("string"), F.lit("\n  2020-01-01 00:00 no start")
+    ).alias("value")).write.text(path)
+    good, _ = so.log_streams(spark, _log_rule([_entry("text", path, start="M/D/YYYY HH:MM:SS AM/PM")], TEXT_COLUMNS),
+                             computer="here")["Custom-L"]
+    return good.select(plain(c("TimeGenerated")).alias("TimeGenerated"), "RawData", "Computer",
+                       F.startswith(c("FilePath"), F.lit("file:")).alias("has_path"))
+
+
+def r_log_streams_two_entries(spark, d):
+    """Two log entries that feed one stream."""
+    paths = [_written_log(spark, d), _written_log(spark, d)]
+    good, _ = so.log_streams(spark, _log_rule([_entry("text", p, start="ISO 8601") for p in paths], TEXT_COLUMNS))["Custom-L"]
+    return good.select("RawData", plain(c("TimeGenerated")).alias("TimeGenerated"))
+
+
+def r_log_streams_json(spark, d):
+    """JSON lines with a path, and a guid that has to be one."""
+    path = fresh_path(spark, "json-log")
+    guid = F.when(c("event_id") % 5 == 0, F.lit("none")).otherwise(
+        F.concat(F.lit("ABCDEF00-0000-4000-8000-"), F.lpad(c("event_id").cast("string"), 12, "0")))
+    table(spark, d, "events").select(F.to_json(F.struct("event_id", guid.alias("key"))).alias("value")).write.text(path)
+    columns = [{"name": "event_id", "type": "long"}, {"name": "key", "type": "guid"}, {"name": "FilePath", "type": "string"}]
+    good, _ = so.log_streams(spark, _log_rule([_entry("json", path)], columns))["Custom-L"]
+    return good.select("event_id", "key", F.startswith(c("FilePath"), F.lit("file:")).alias("has_path"))
+
+
+def t_parse_no_match(spark, d):
+    """Long rows on which a pattern with many captures fails."""
+    df = table(spark, d, "events").select("event_id", F.repeat(F.concat(c("event_type"), F.lit(" ")), 200).alias("line"))
+    wanted = [x for i in range(8) for x in ((f"c{i}", "string"), " ")]
+    return op.parse(df, "line", *wanted, "#end").select("event_id", "c0", "c7")
+
+
 QUERIES = {
     f.__name__: f for f in (
         flagship, t_where, t_extend, t_project, t_project_away, t_project_rename, t_parse, t_parse_regex, t_columnifexists,
         t_let, t_materialize, t_time_column, t_time_column_rejected, t_geo_location, r_declared_schema, r_conform,
         r_conform_rejected, r_declared_stream, r_table_stream, r_select_levels, r_datatable, r_print, r_text_log,
         r_text_log_split, r_text_log_stream, r_json_log, r_json_log_stream, r_log_table_sink, r_metrics_sink,
-        r_run_flows, r_run_flows_stream)
+        r_run_flows, r_run_flows_stream, r_flows_two_rules, r_flows_same_destination_twice, r_metrics_two_schemas,
+        r_log_streams_text, r_log_streams_two_entries, r_log_streams_json, r_text_log_no_start, t_parse_no_match)
 }
 
 _RECORDS = """
@@ -376,4 +467,23 @@ ORACLE = {
     "r_log_table_sink": "SELECT event_id, event_type, value FROM events",
     "r_metrics_sink": "SELECT event_id, value FROM events",
     "r_run_flows": _FLOWS, "r_run_flows_stream": _FLOWS,
+    "r_flows_two_rules": "SELECT event_id, value FROM events WHERE event_type IN ('error', 'view')",
+    "r_flows_same_destination_twice": "SELECT event_id, value FROM events WHERE event_type = 'error'",
+    "r_metrics_two_schemas": """
+        SELECT event_id, NULL::BIGINT AS order_id, value FROM events
+        UNION ALL SELECT NULL, o_orderkey, o_totalprice FROM orders""",
+    "r_log_streams_text": """
+        SELECT date_trunc('second', ts) AS "TimeGenerated",
+               strftime(ts, '%-m/%-d/%Y %-I:%M:%S %p') || ' id=' || event_id || chr(10) || '  2020-01-01 00:00 no start' AS "RawData",
+               'here' AS "Computer", true AS has_path
+        FROM events""",
+    "r_log_streams_two_entries": f"""
+        SELECT "RawData", date_trunc('second', ts) AS "TimeGenerated"
+        FROM ({_RECORDS}) JOIN events USING (event_id), range(2)""",
+    "r_log_streams_json": """
+        SELECT event_id, 'abcdef00-0000-4000-8000-' || lpad(event_id::VARCHAR, 12, '0') AS key, true AS has_path
+        FROM events WHERE event_id % 5 <> 0""",
+    "r_text_log_no_start": f"""
+        SELECT l AS "RawData", count(*) AS n FROM (SELECT unnest(string_split("RawData", chr(10))) AS l FROM ({_RECORDS})) GROUP BY l""",
+    "t_parse_no_match": "SELECT event_id, NULL::VARCHAR AS c0, NULL::VARCHAR AS c7 FROM events",
 }

@@ -2,103 +2,144 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import functools
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluicework.session import fresh_path
-
 ISO_8601 = r"[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}"
 
-# Files up to this size are read whole, one file in one task.
-WHOLE_FILE_BYTES = 64 * 1024 * 1024
-
 CORRUPT = "_corrupt_record"
 
+#: Bytes of a piece of lines before the first start in a split, and rows handed on together.
+PIECE_BYTES, ROWS = 1 << 20, 5_000
+CLOSED, BEFORE, OPEN, SPLIT = range(4)
+
+
+def _starts(line: Column, record_start: str) -> Column:
+    """Whether a record starts at the line; anchors of the pattern mean the line's ends."""
+    return F.rlike(line, F.lit(rf"\A(?:{record_start})"))
+
+
+def _line(value: Column) -> Column:
+    return F.regexp_replace(value, r"\r\z", "")
+
+
+def _pieces(lines: DataFrame) -> DataFrame:
+    """What each split of a file holds, in one pass over its lines:
+    whole records (CLOSED), lines that continue an earlier split in pieces of bounded size (BEFORE), the
+    record that is open at its end (OPEN), and the split itself (SPLIT; ``at`` is 1 if a record starts in it)."""
+
+    def cut(batches):
+        out: list[tuple] = []
+        split, held, size, at, started = None, [], 0, 0, False
+
+        def end():
+            if split is None:
+                return
+            if held:
+                out.append((*split, OPEN if started else BEFORE, at, "\n".join(held)))
+            out.append((*split, SPLIT, int(started), None))
+
+        def ready():
+            columns = [pa.array(c, t) for c, t in zip(
+                zip(*out, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string()), strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["path", "block", "kind", "at", "text"])
+
+        for batch in batches:
+            for path, block, start, line in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (path, block) != split:
+                    end()
+                    split, held, size, at, started = (path, block), [], 0, 0, False
+                if start:
+                    if held:
+                        out.append((*split, CLOSED if started else BEFORE, at, "\n".join(held)))
+                    held, size, started = [], 0, True
+                held.append(line)
+                size += len(line) + 1
+                if not started and size >= PIECE_BYTES:
+                    out.append((*split, BEFORE, at, "\n".join(held)))
+                    held, size, at = [], 0, at + 1
+                if len(out) >= ROWS:
+                    yield ready()
+        end()
+        if out:
+            yield ready()
+
+    return lines.mapInArrow(cut, "path string, block bigint, kind int, at bigint, text string")
+
+
+def _across_splits(pieces: DataFrame) -> DataFrame:
+    """Records from the pieces; only what is open at the ends of splits is shuffled."""
+    of = lambda kind: pieces.filter(F.col("kind") == kind)
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    owners = of(SPLIT).select("path", "block", F.last(F.when(F.col("at") == 1, F.col("block")), ignorenulls=True).over(
+        earlier).alias("owner"))
+    continued = of(BEFORE).join(owners, ["path", "block"])
+    part = F.struct("block", "at", "text")
+    begun = of(OPEN).select("path", F.col("block").alias("owner"), F.struct(
+        "block", F.lit(-1).cast("bigint").alias("at"), "text").alias("part"))
+    more = continued.filter("owner is not null").select("path", "owner", part.alias("part"))
+    whole = begun.unionByName(more).groupBy("path", "owner").agg(
+        F.array_join(F.array_sort(F.collect_list("part"))["text"], "\n").alias("RawData"))
+    # No record owns the lines before the first start of a file: each is its own.
+    headless = continued.filter("owner is null").select(F.explode(F.split("text", "\n")).alias("RawData"), "path")
+    return of(CLOSED).select(F.col("text").alias("RawData"), "path").unionByName(
+        whole.select("RawData", "path")).unionByName(headless)
 
-def _whole_files(files: DataFrame, record_start: str) -> DataFrame:
-    body = F.regexp_replace("value", r"\r?\n\z", "")
-    return files.select(
-        F.explode(F.split(body, rf"\r?\n(?={record_start})")).alias("RawData"), F.col("_path").alias("FilePath"))
-
-
-def _split_files(lines: DataFrame, record_start: str) -> DataFrame:
-    """Records of files that Spark reads in several splits.
 
-    Lines are put together per split, whose size Spark bounds, and the pieces are
-    written to the shared folder, so the files are read and shuffled once.  All
-    but the first and last piece of a split are whole records; only those two
-    take part in the joins that complete records across splits.
-    """
-    split = ["_path", "_block"]
-    all_lines = Window.partitionBy(*split)
-    starts = F.rlike("value", F.lit(rf"\A{record_start}"))
-    # Record number within the split; 0 holds lines that continue an earlier split.
-    numbered = (
-        lines.withColumn("_line", F.monotonically_increasing_id())
-        .withColumn("_record", F.sum(starts.cast("int")).over(all_lines.orderBy("_line")))
-        .withColumn("_last", F.max("_record").over(all_lines))
-    )
-    text = F.array_join(F.array_sort(F.collect_list(F.struct("_line", "value")))["value"], "\n")
-    pieces = numbered.groupBy(*split, "_record", "_last").agg(text.alias("text")).withColumn(
-        "_open", F.expr("int(_record = 0 or _record = _last)"))
-    folder = fresh_path(lines.sparkSession, "log-pieces")
-    pieces.write.partitionBy("_open").parquet(folder)
-    pieces = lines.sparkSession.read.parquet(folder)
-    closed, open_ = pieces.filter("_open = 0"), pieces.filter("_open = 1")
-
-    # The record that is open when a split begins: the last one of the nearest split before it that has any.
-    before = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.when(F.col("_last") > 0, F.struct("_block", F.col("_last").alias("_record")))
-    owners = open_.filter("_record = _last").select(*split, F.last(last, ignorenulls=True).over(before).alias("_owner"))
-    continued = (
-        open_.filter("_record = 0").join(owners, split)
-        .groupBy("_path", F.col("_owner._block").alias("_block"), F.col("_owner._record").alias("_record"))
-        .agg(F.array_join(F.array_sort(F.collect_list(F.struct(F.col("_block"), F.col("text"))))["text"], "\n").alias("_more"))
-    )
-    # Lines before the first start of a file have no owner and are a record of their own.
-    headless = continued.filter("_record is null").select(F.col("_more").alias("RawData"), F.col("_path").alias("FilePath"))
-    completed = open_.filter("_record > 0").join(
-        continued.filter("_record is not null"), [*split, "_record"], "left").select(
-        F.concat_ws("\n", "text", "_more").alias("RawData"), F.col("_path").alias("FilePath"))
-    whole = closed.select(F.col("text").alias("RawData"), F.col("_path").alias("FilePath"))
-    return whole.unionByName(completed).unionByName(headless).withColumn("RawData", F.regexp_replace("RawData", r"\r\z", ""))
+def _whole_files(files: DataFrame, record_start: str) -> DataFrame:
+    """The same records from rows of whole files, inside the row."""
+    lines = F.transform(F.split(F.regexp_replace("value", r"\n\z", ""), "\n"), _line)
+    starts = F.filter(F.transform("lines", lambda x, i: F.when(_starts(x, record_start), i)), lambda i: i.isNotNull())
+    head = F.slice(F.col("lines"), F.lit(1), F.coalesce(F.get("starts", F.lit(0)), F.size("lines")))
+    rest = F.transform("starts", lambda s, i: F.array_join(F.slice(
+        F.col("lines"), s + 1, F.coalesce(F.get(F.col("starts"), i + 1), F.size("lines")) - s), "\n"))
+    return files.withColumn("lines", lines).withColumn("starts", starts).select(
+        F.explode(F.concat(head, rest)).alias("RawData"), "path")
 
 
 def text_log(spark: SparkSession, patterns: list[str] | str, record_start: str = ISO_8601,
-             streaming: bool = False, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
+             streaming: bool = False) -> DataFrame:
     """Records ``RawData, FilePath`` of text log files.
 
-    A record starts at a line that matches ``record_start``; lines that do not
-    belong to the record before them.  Files up to ``whole_file_bytes`` are read
-    whole without a shuffle.  Larger ones are read in splits, when this
-    is called.  Which files belong to which part is decided when they are listed.  A stream reads every
-    file whole: its files must be closed, rolled files of at most about 1 GB.
+    A record starts at a line whose beginning matches ``record_start``; lines that don't
+    start one belong to the record before them, and lines before the first start of a file are
+    records of their own.  Line ends become ``\\n``.  A batch reads files of any size in
+    splits; a stream gives the same records but reads every file whole: its files must be
+    closed, rolled files of at most about 1 GB.
     """
     paths = [patterns] if isinstance(patterns, str) else list(patterns)
+    path = F.col("_metadata.file_path").alias("path")
     if streaming:
-        if len(paths) != 1:
-            raise ValueError("a stream takes one pattern")
-        files = spark.readStream.text(paths[0], wholetext=True)
-        return _whole_files(files.select("value", F.col("_metadata.file_path").alias("_path")), record_start)
-    size, path = F.col("_metadata.file_size"), F.col("_metadata.file_path").alias("_path")
-    small = spark.read.text(paths, wholetext=True).filter(size <= whole_file_bytes).select("value", path)
-    large = spark.read.text(paths, lineSep="\n").filter(size > whole_file_bytes).select(
-        "value", path, F.col("_metadata.file_block_start").alias("_block"))
-    records = _whole_files(small, record_start)
-    return records if large.isEmpty() else records.unionByName(_split_files(large, record_start))
+        found = [_whole_files(spark.readStream.text(p, wholetext=True).select("value", path), record_start) for p in paths]
+        records = functools.reduce(DataFrame.unionByName, found)
+    else:
+        lines = spark.read.text(paths, lineSep="\n").select(
+            path, F.col("_metadata.file_block_start").cast("bigint").alias("block"), _line(F.col("value")).alias("value"))
+        records = _across_splits(_pieces(lines.select("path", "block", _starts(F.col("value"), record_start).alias("start"), "value")))
+    return records.select("RawData", F.col("path").alias("FilePath"))
 
 
 def json_log(spark: SparkSession, patterns: list[str] | str, schema: T.StructType,
              streaming: bool = False) -> DataFrame:
     """One JSON record per line with the declared schema.
 
-    A line that is not such a record keeps its text in ``_corrupt_record``.
+    A line that is not such a record keeps its text in ``_corrupt_record``.  A declared
+    ``FilePath`` that a record doesn't have is the path of its file.
     """
     paths = [patterns] if isinstance(patterns, str) else list(patterns)
     with_corrupt = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-    reader = (spark.readStream if streaming else spark.read).schema(with_corrupt).option(
-        "columnNameOfCorruptRecord", CORRUPT).option("mode", "PERMISSIVE")
-    if streaming and len(paths) != 1:
-        raise ValueError("a stream takes one pattern")
-    return reader.json(paths[0] if streaming else paths)
+
+    def read(source) -> DataFrame:
+        reader = (spark.readStream if streaming else spark.read).schema(with_corrupt).option(
+            "columnNameOfCorruptRecord", CORRUPT).option("mode", "PERMISSIVE")
+        rows = reader.json(source)
+        if "FilePath" in schema.names:
+            rows = rows.withColumn("FilePath", F.coalesce("FilePath", "_metadata.file_path"))
+        return rows
+
+    return functools.reduce(DataFrame.unionByName, map(read, paths)) if streaming else read(paths)

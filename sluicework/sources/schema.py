@@ -46,7 +46,8 @@ def _converted(df: DataFrame, field: T.StructField):
     if df.schema[field.name].dataType == field.dataType and declared != "guid":
         return source
     if declared == "dynamic" and df.schema[field.name].dataType != T.StringType():
-        return F.to_variant_object(source)
+        nested = isinstance(df.schema[field.name].dataType, T.ArrayType | T.MapType | T.StructType)
+        return F.to_variant_object(source) if nested else source.cast("variant")
     if declared in CONVERT:
         return CONVERT[declared](source)
     return source.try_cast(field.dataType)

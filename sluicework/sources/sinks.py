@@ -1,7 +1,7 @@
 """Destinations of data flows.
 
 A destination writes to tables under one folder, one per output stream.  Every
-write owns the partition folder of its run, flow and stream and overwrites just
+write owns the partition folder of its rule, run, flow and stream and overwrites just
 that: a write that is repeated after a failure leaves the rows once, and writers
 of one table do not get in each other's way.
 """
@@ -11,9 +11,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-PARTS = ["_run", "_flow", "_stream"]
+PARTS = ["_rule", "_run", "_flow", "_stream"]
+NAME = r"[A-Za-z0-9._-]+"
 
 
 def table_name(stream: str) -> str:
@@ -34,19 +37,38 @@ class LogTables:
     def path(self, stream: str) -> str:
         return f"{self.folder.rstrip('/')}/{table_name(stream)}"
 
-    def part(self, output_stream: str, run: str, flow: int, number: int) -> str:
-        if not re.fullmatch(r"[A-Za-z0-9._-]+", run):
-            raise ValueError(f"a run name is made of letters, digits, '.', '_' and '-', not {run!r}")
-        return f"{self.path(output_stream)}/_run={run}/_flow={flow}/_stream={number}"
+    def part(self, output_stream: str, rule: str, run: str, flow: int, number: int) -> str:
+        for kind, name in (("rule", rule), ("run", run)):
+            if not re.fullmatch(NAME, name):
+                raise ValueError(f"a {kind} name is made of letters, digits, '.', '_' and '-', not {name!r}")
+        return f"{self.path(output_stream)}/_rule={rule}/_run={run}/_flow={flow}/_stream={number}"
 
     def write(self, df: DataFrame, part: str) -> None:
+        """Replace a part; a column that the table has with another type is an error."""
+        table = part[:part.rindex("/_rule=")]
+        known = {f.name: f.dataType for f in self._columns(df.sparkSession, table)}
+        differ = [f.name for f in df.schema if known.get(f.name, f.dataType) != f.dataType]
+        if differ:
+            raise ValueError(f"the table {table} has other types for: {', '.join(differ)}")
         df.write.format(self.source_format).mode("overwrite").save(part)
 
+    def _columns(self, spark: SparkSession, table: str) -> list:
+        try:
+            return list(self._load(spark, table).schema)
+        except AnalysisException as error:
+            if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return []  # nothing has been written yet
+            raise
+
+    def _load(self, spark: SparkSession, path: str) -> DataFrame:
+        return spark.read.format(self.source_format).option("mergeSchema", True).load(path)
+
     def read_part(self, spark: SparkSession, part: str) -> DataFrame:
-        return spark.read.format(self.source_format).load(part)
+        return self._load(spark, part)
 
     def read(self, spark: SparkSession, output_stream: str) -> DataFrame:
-        return spark.read.format(self.source_format).load(self.path(output_stream)).drop(*PARTS)
+        """All rows of a table with the columns of all its parts."""
+        return self._load(spark, self.path(output_stream)).drop(*PARTS)
 
 
 class MetricsTable(LogTables):
@@ -56,14 +78,28 @@ class MetricsTable(LogTables):
         return f"{self.folder.rstrip('/')}/metrics"
 
 
-def log_table_sink(df: DataFrame, name: str, checkpoint: str | None = None):
-    """Append to a catalog table; a stream gives the started query (``checkpoint`` needed)."""
+def log_table_sink(df: DataFrame, name: str, checkpoint: str | None = None, run: str | None = None):
+    """Append to a catalog table; a stream gives the started query (``checkpoint`` needed).
+
+    With ``run`` the rows are those of a run (partition column ``_run``), and running
+    again replaces them; without it every call appends.
+    """
     if df.isStreaming:
         return df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).toTable(name)
-    df.write.mode("append").saveAsTable(name)
+    if run is None:
+        df.write.mode("append").saveAsTable(name)
+        return None
+    if not re.fullmatch(NAME, run):
+        raise ValueError(f"a run name is made of letters, digits, '.', '_' and '-', not {run!r}")
+    spark = df.sparkSession
+    if not spark.catalog.tableExists(name):
+        df.withColumn("_run", F.lit(run)).write.partitionBy("_run").saveAsTable(name)
+    else:
+        columns = [F.col(c) for c in spark.table(name).columns if c != "_run"]
+        spark.sql(f"INSERT OVERWRITE TABLE {name} PARTITION (_run = '{run}') SELECT * FROM {{rows}}", rows=df.select(columns))
     return None
 
 
-def metrics_sink(df: DataFrame, name: str, checkpoint: str | None = None):
-    """Append to a catalog table of metrics."""
-    return log_table_sink(df, name, checkpoint)
+def metrics_sink(df: DataFrame, name: str, checkpoint: str | None = None, run: str | None = None):
+    """The same for a catalog table of metrics."""
+    return log_table_sink(df, name, checkpoint, run)

@@ -12,10 +12,10 @@ from sluicework.sources.sinks import LogTables
 
 
 def stream_flows(rule: dict, streams: dict[str, DataFrame], transforms: dict[int, Transform],
-                 sinks: dict[str, LogTables], checkpoint: str, trigger: dict | None = None) -> list[StreamingQuery]:
+                 sinks: dict[str, LogTables], checkpoint: str, rule_id: str, trigger: dict | None = None) -> list[StreamingQuery]:
     """One query per input stream that serves all flows of it.
 
-    A batch is kept while its flows are written.  Each batch writes under a run
+    A batch that several flows share is kept while they are written.  Each batch writes under a run
     name made of the checkpoint and the batch number, and replaces what an
     interrupted attempt at it has written.
     """
@@ -28,12 +28,14 @@ def stream_flows(rule: dict, streams: dict[str, DataFrame], transforms: dict[int
         run = hashlib.sha256(folder.encode()).hexdigest()[:16]
 
         def write(batch: DataFrame, batch_id: int) -> None:
-            batch.persist()
+            if len(todo) > 1:
+                batch.persist()
             try:
                 for step in todo:
-                    step.write(batch, f"{run}-{batch_id}")
+                    step.write(batch, rule_id, f"{run}-{batch_id}")
             finally:
-                batch.unpersist()
+                if len(todo) > 1:
+                    batch.unpersist()
 
         return (streams[name].writeStream.foreachBatch(write).option("checkpointLocation", folder)
                 .trigger(**(trigger or {"availableNow": True})).start())

@@ -1,6 +1,7 @@
 """Scalar functions and table operators on values the supplied tables do not hold."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,13 +102,68 @@ def test_conform_keeps_every_row_once(spark):
     assert sorted(r.s for r in rejected.collect()) == ["y", "z"]
 
 
-@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
-def test_geo_location(spark, monkeypatch, broadcast_rows):
-    """Both joins against a search through all ranges; a third of the addresses are the same."""
-    monkeypatch.setattr("sluicework.operators.enrich.MAX_BROADCAST_ROWS", broadcast_rows)
-    ranges = [(i * 1000 + 5, i * 1000 + 5 + (i * 37) % 900, f"p{i}") for i in range(-50, 200)] + [(10**9, 2 * 10**9, "wide")]
-    addresses = [(i * 977) % 260_000 - 55_000 for i in range(600)] + [42_010] * 300 + [10**9, 2 * 10**9, 2 * 10**9 + 1, None]
+def test_geo_location(spark):
+    """Against a search through all ranges; a third of the addresses are the same, one range is far off and wide."""
+    ranges = [(i * 1000 + 5, i * 1000 + 5 + (i * 37) % 900, f"p{i}") for i in range(-50, 200)] + [(10**9, 2 * 10**9, "wide"), (2**62 + 5, 2**63 - 1, "last")]
+    addresses = [(i * 977) % 260_000 - 55_000 for i in range(600)] + [42_010] * 300 + [10**9, 2 * 10**9, 2 * 10**9 + 1, None, 2**62 + 4, 2**62 + 5, 2**63 - 1, -(2**63)]
     found = op.geo_location(spark.createDataFrame([(i, a) for i, a in enumerate(addresses)], "id long, ip long"), "ip",
                             spark.createDataFrame(ranges, "lo long, hi long, place string")).select("id", "place").collect()
     expected = [(i, next((p for lo, hi, p in ranges if a is not None and lo <= a <= hi), None)) for i, a in enumerate(addresses)]
     assert sorted(tuple(r) for r in found) == expected
+
+
+def test_bad_input_gives_null(spark):
+    """One bad value per function leaves the job running."""
+    least = F.lit(-(2**63)).cast("bigint")
+    values = [
+        k.binary_and("x", 1), k.binary_not("x"), k.binary_shift_left(1, "x"), k.binary_shift_right("x", 1),
+        k.datetime_add("day", "x", F.lit("2024-01-01").cast("timestamp")),
+        k.datetime_add("year", 10**9, F.lit("2024-01-01").cast("timestamp")),
+        k.make_datetime("x", 1, 1), k.make_datetime(2024, 13, 1), k.make_timespan("x", 1),
+        k.make_timespan(2**31 - 1, 0, 0, "x"), k.abs(least), k.countof("abc", ""), k.bin(5, 0), k.floor(least, 3),
+    ]
+    row = spark.range(1).select(*[v.alias(f"c{i}") for i, v in enumerate(values)]).collect()[0]
+    assert [i for i, v in enumerate(row) if v is not None] == []
+
+
+def test_large_numbers(spark):
+    n = F.col("n")
+    values = [2**53 + 1, -(2**53) - 1, 2**63 - 1, 60 * 10**9 * 30_000_000 - 1, 0, -7, None]
+    df = spark.createDataFrame([(v,) for v in values], "n bigint")
+    rows = df.select("n", k.floor(n).alias("f"), k.bin(n, 60 * 10**9).alias("b"), k.bin(n, 7).alias("s"), k.abs(n).alias("a"))
+    for r in rows.collect():
+        if r.n is None:
+            assert r.f is None and r.b is None
+        else:
+            assert (r.f, r.b, r.s, r.a) == (r.n, r.n // (60 * 10**9) * (60 * 10**9), r.n // 7 * 7, abs(r.n))
+
+
+def test_dynamic_arrays(spark):
+    a, b = k.parse_json(F.lit("[1, \"x\"]")), k.parse_json(F.lit("[2]"))
+    row = spark.range(1).select(
+        F.to_json(k.array_concat(a, b, dynamic=True)).alias("both"), F.to_json(k.zip(a, b, dynamic=True)).alias("zip"),
+        k.item(a, 1, dynamic=True).cast("string").alias("item"), k.item(a, 5, dynamic=True).alias("none"),
+        k.array_length(a, dynamic=True).alias("n"), k.array_concat(k.parse_json(F.lit("1")), b, dynamic=True).alias("bad"),
+        k.gettype(F.lit("2024-01-01").cast("timestamp").cast("variant"), dynamic=True).alias("type")).collect()[0]
+    assert (row.both, row.zip, row.item, row.none, row.n, row.bad, row.type) == (
+        '[1,"x",2]', '[[1,2],["x",null]]', "x", None, 2, None, "datetime")
+    with pytest.raises(Exception, match="DATATYPE_MISMATCH"):
+        spark.range(1).select(k.array_concat(a, b)).collect()
+
+
+def test_timespan_literals(spark):
+    row = spark.range(1).select(
+        k.timespan("1.5h").alias("a"), k.timespan("20tick").alias("b"), k.timespan("3ms").alias("c")).collect()[0]
+    assert tuple(row) == (dt.timedelta(hours=1.5), dt.timedelta(microseconds=2), dt.timedelta(milliseconds=3))
+
+
+def test_parse_is_linear(spark):
+    """Ten captures on a long row without a match, and a Java pattern with a group of its own."""
+    df = spark.createDataFrame([("a " * 50_000,)], "s string")
+    wanted = [x for i in range(10) for x in ((f"c{i}", "string"), " ")]
+    start = time.perf_counter()
+    assert op.parse(df, "s", *wanted, "#").select("c0", "c9").collect()[0][:] == (None, None)
+    assert time.perf_counter() - start < 20
+    df = spark.createDataFrame([("k1=v1; end",)], "s string")
+    row = op.parse(df, "s", ("a", "string"), r"(\p{L}|[0-9])=", ("b", "string"), ";", ("c", "string"), kind="regex").collect()[0]
+    assert (row.a, row.b, row.c) == ("k", "v1", " end")

@@ -1,6 +1,7 @@
 """Log files, sinks and flows."""
 
 import pathlib
+import uuid
 
 import pytest
 import seeds
@@ -20,35 +21,40 @@ def log_text(n):
     return "\r\n".join(lines) + "\r\n"
 
 
-def expected_records(text):
-    records = []
+def expected_records(text, start="2024"):
+    """Records by a loop over lines; lines before the first start are their own."""
+    records, begun = [], False
     for line in text.removesuffix("\r\n").split("\r\n"):
-        if line.startswith("2024") or not records:
+        begun = begun or line.startswith(start)
+        if line.startswith(start) or not begun:
             records.append([])
         records[-1].append(line)
     return sorted("\n".join(r) for r in records)
 
 
-@pytest.mark.parametrize("limit", [1 << 30, 0])
-def test_text_log(spark, tmp_path, limit):
-    (tmp_path / "a.log").write_bytes(log_text(400).encode())
-    (tmp_path / "b.log").write_bytes(log_text(3).encode())
-    (tmp_path / "none.log").write_bytes(b"no start\r\nat all")
+@pytest.mark.parametrize("size", ["100", "700", "128m"])
+@pytest.mark.parametrize("start", ["2024", "^2024-", "[0-9]{4}-|INFO"])
+def test_text_log(spark, tmp_path, size, start):
+    """The same records in splits of any size and on a stream, for anchors, alternatives, Windows line ends and no start."""
+    logs = {"a": log_text(400), "b": log_text(3), "none": "no start\r\nat all"}
+    (tmp_path / "in").mkdir()
+    for name, text in logs.items():
+        (tmp_path / "in" / f"{name}.log").write_bytes(text.encode())
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
     try:
-        rows = so.text_log(spark, [str(tmp_path / "*.log")], whole_file_bytes=limit).collect()
+        rows = so.text_log(spark, [str(tmp_path / "in" / "*.log")], start).collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-    for name, text in (("a", log_text(400)), ("b", log_text(3)), ("none", "no start\r\nat all")):
-        found = sorted(r.RawData.replace("\r\n", "\n") for r in rows if r.FilePath.endswith(f"/{name}.log"))
-        assert found == expected_records(text)
-
-
-def test_large_files_are_not_read_whole(spark, tmp_path):
-    (tmp_path / "a.log").write_text(log_text(50))
-    df = spark.read.text(str(tmp_path), wholetext=True).filter(F.col("_metadata.file_size") <= 10)
-    assert df.rdd.getNumPartitions() == 0  # pruned when the files are listed
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    stream = so.text_log(spark, str(tmp_path / "in"), start, streaming=True)
+    stream.writeStream.option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start(
+        str(tmp_path / "out"), format="parquet").awaitTermination()
+    streamed = spark.read.parquet(str(tmp_path / "out")).collect()
+    for name, text in logs.items():
+        for found in (rows, streamed):
+            assert sorted(r.RawData for r in found if r.FilePath.endswith(f"/{name}.log")) == expected_records(text)
 
 
 def test_json_log(spark, tmp_path):
@@ -77,6 +83,31 @@ def declared_names(rule):
     return sorted(so.declared_streams(rule))
 
 
+def test_unknown_time_format_and_undeclared_stream(spark):
+    entry = seeds.log_file("Custom-T", pattern="x")
+    entry["settings"] = {"text": {"recordStartTimestampFormat": "never"}}
+    rule = seeds.rule(["Custom-T"], declared={"Custom-T": seeds.LOG}, files=[entry])
+    with pytest.raises(ValueError, match="recordStartTimestampFormat"):
+        so.log_streams(spark, rule)
+    with pytest.raises(ValueError, match="declare"):
+        so.log_streams(spark, seeds.rule(["Custom-T"], declared={"Custom-U": seeds.LOG}, files=[entry]))
+
+
+def test_types_of_a_table_agree(spark, tmp_path):
+    sink, rule = so.LogTables(str(tmp_path)), {"properties": {"dataFlows": [{"streams": ["s"], "destinations": ["d"]}]}}
+    run_flows(rule, {"s": spark.range(1)}, {}, {"d": sink}, "r", "one")
+    with pytest.raises(ValueError, match="other types"):
+        run_flows(rule, {"s": spark.range(1).selectExpr("string(id) as id")}, {}, {"d": sink}, "r", "two")
+
+
+def test_log_table_sink_by_run(spark):
+    name = f"sink_by_run_{uuid.uuid4().hex}"
+    for n, run in ((3, "a"), (2, "b"), (4, "a")):
+        so.log_table_sink(spark.range(n), name, run=run)
+    assert sorted((r._run, r.id) for r in spark.table(name).collect()) == [("a", i) for i in range(4)] + [("b", i) for i in range(2)]
+    spark.sql(f"DROP TABLE {name}")
+
+
 def test_table_names():
     from sluicework.sources.sinks import table_name
     assert [table_name(n) for n in ("Custom-X_CL", "Microsoft-Syslog", "Microsoft-Table-Event", "Plain")] == [
@@ -87,9 +118,9 @@ def test_flow_checks(spark):
     flow = {"streams": ["s"], "destinations": ["d"], "transformKql": "source | where a"}
     rule = {"properties": {"dataFlows": [flow]}}
     with pytest.raises(ValueError, match="no function"):
-        run_flows(rule, {"s": spark.range(1)}, {}, {"d": so.LogTables("x")}, "r")
+        run_flows(rule, {"s": spark.range(1)}, {}, {"d": so.LogTables("x")}, "r", "rule")
     with pytest.raises(ValueError, match="no such destination"):
-        run_flows(rule, {"s": spark.range(1)}, {1: lambda df: df}, {}, "r")
+        run_flows(rule, {"s": spark.range(1)}, {1: lambda df: df}, {}, "r", "rule")
 
 
 def test_stream_flows_restart_and_repeat(spark, tmp_path):
@@ -100,7 +131,7 @@ def test_stream_flows_restart_and_repeat(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema("id long").parquet(str(source))
-        for query in stream_flows(rule, {"s": stream}, {}, sinks, str(tmp_path / "ckpt")):
+        for query in stream_flows(rule, {"s": stream}, {}, sinks, str(tmp_path / "ckpt"), "rule"):
             query.awaitTermination()
         return [sorted(r.id for r in sinks[n].read(spark, "s").collect()) for n in ("d", "e")]
 
