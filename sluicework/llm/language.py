@@ -6,22 +6,20 @@ may be learned from.  A document's own profile is compared with each: for each o
 n-grams, the places between its rank in both lists, or the length of the list where the
 language doesn't have it, are added up.  The language with the smallest sum wins.
 
-Counts are summed in each task, then shuffled by language and n-gram; the top of each
+Counts are summed in each batch, then shuffled by language and n-gram; the top of each
 language is cut before it meets in one task.  The profiles, ``PROFILE`` rows for each
 language, go to the tasks; texts stay where they are.
 
 Null text and text without a letter give ``und`` and score 0, as does everything when
-there is nothing to learn from.  Ties between n-grams go by their hash, between
+there is nothing to learn from.  Ties between n-grams go by their code points, between
 languages by name.  Documents without a language are only predicted.  Repeated rows count
 each; further columns are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,74 +28,61 @@ from pyspark.sql import functions as F
 
 from sluicework.llm.toxicity import held_out
 
-#: Length of a profile, and of the longest n-gram.
-PROFILE, LONGEST = 400, 3
-#: N-grams that a task counts before it passes them on.
-COUNTED_TOGETHER = 500_000
+#: Length of a profile.
+PROFILE = 400
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
+_MARK = ord("_")
 
 
-def grams(word: str) -> list[str]:
-    """The n-grams of a word with its ends marked; the mark alone isn't one."""
-    w = f"_{word}_"
-    return [w[i:i + n] for n in range(1, LONGEST + 1) for i in range(len(w) - n + 1) if n > 1 or w[i] != "_"]
+def grams(words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of some words and their counts.  An n-gram is the number that its code points make, of 21 bits each.
 
-
-@lru_cache(maxsize=500_000)
-def number(gram: str) -> int:
-    """A number that stands for an n-gram in each process alike."""
-    return int.from_bytes(hashlib.blake2b(gram.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1
-
-
-@lru_cache(maxsize=200_000)
-def _numbers(word: str) -> np.ndarray:
-    return np.array([number(g) for g in grams(word)], "int64")
+    The words stand in one array with a mark between them.  The mark alone is no n-gram,
+    nor is one that has a mark in its middle, since that belongs to two words.
+    """
+    text = f"_{'_'.join(words)}_".encode("utf-32-le", "surrogatepass")
+    c = np.frombuffer(text, "<u4").astype("int64")
+    lengths = np.fromiter(map(len, words), "int64", len(words)) + 1
+    weight = np.append(np.repeat(np.fromiter(words.values(), "int64", len(words)), lengths), 0)
+    letter = c != _MARK
+    two = c[:-1] << 21 | c[1:]
+    three = (two[:-1] << 21 | c[2:])[letter[1:-1]]
+    found, at = np.unique(np.concatenate([c[letter], two, three]), return_inverse=True)
+    counts = np.bincount(at, np.concatenate([weight[letter], weight[:-1], weight[:-2][letter[1:-1]]]))
+    return found, counts.astype("int64")
 
 
 def profile(text: str | None, length: int = PROFILE) -> np.ndarray:
-    """The numbers of a text's most frequent n-grams, most frequent first."""
+    """A text's most frequent n-grams, most frequent first."""
     words = Counter(_WORD.findall((text or "").lower()))
     if not words:
         return np.empty(0, "int64")
-    parts = [_numbers(w) if len(w) <= 64 else np.array([number(g) for g in grams(w)], "int64") for w in words]
-    weights = np.repeat(np.fromiter(words.values(), "int64", len(words)), [len(p) for p in parts])
-    found, at = np.unique(np.concatenate(parts), return_inverse=True)
-    counts = np.bincount(at, weights)
+    found, counts = grams(words)
     return found[np.lexsort((found, -counts))][:length]
 
 
 def learn(docs: DataFrame, length: int = PROFILE) -> dict[str, np.ndarray]:
     """A profile for each language of the documents that may be learned from."""
 
-    def rows(counts: Counter) -> pd.DataFrame:
-        return pd.DataFrame([(lang, g, n) for (lang, g), n in counts.items()], columns=["lang", "gram", "n"])
-
     def counted(batches):
-        total: Counter = Counter()
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
                 words: Counter = Counter()
                 for t in texts:
                     words.update(_WORD.findall(t.lower()))
-                for w, n in words.items():
-                    for g in grams(w):
-                        total[lang, g] += n
-                    if len(total) >= COUNTED_TOGETHER:
-                        yield rows(total)
-                        total.clear()
-        if total:
-            yield rows(total)
+                if words:
+                    found, counts = grams(words)
+                    yield pd.DataFrame({"lang": lang, "gram": found, "n": counts})
 
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(4, 2)).select("lang", "text")
-    counts = known.mapInPandas(counted, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # One more order than the profile needs: ties go by hash, which SQL doesn't have.
+    counts = known.mapInPandas(counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
     top = counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= length)
     found: dict[str, list[tuple[int, int]]] = {}
     for r in top.collect():  # PROFILE rows for each language
-        found.setdefault(r["lang"], []).append((r["rank"], number(r["gram"])))
+        found.setdefault(r["lang"], []).append((r["rank"], r["gram"]))
     return {lang: np.array([g for _, g in sorted(found[lang])], "int64") for lang in sorted(found)}
 
 
