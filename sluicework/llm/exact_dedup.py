@@ -38,15 +38,20 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def frequent(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """Candidates for digests with at least ``support`` of the rows: at most 1 / support of them, and none missed."""
-    if not 3.5 / COUNTERS <= support <= 1:
-        raise ValueError(f"support must be between {3.5 / COUNTERS:.5f} and 1")
+    """Candidates for digests with at least ``support`` of the rows: a bounded number, and none is missed.
+
+    A count is wrong by at most 3.5 / COUNTERS of the rows, so no more digests than this can look frequent.
+    """
+    error = 3.5 / COUNTERS
+    if not 2 * error <= support <= 1:
+        raise ValueError(f"support must be between {2 * error:.5f} and 1")
+    most = int(1 / (support - error))
     part = rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGES)).alias("part")).agg(
         F.expr(f"approx_top_k_accumulate(digest, {COUNTERS})").alias("sketch"))
     # Grouped, since the combining function fails on a task without rows.
     whole = part.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(sketch, {COUNTERS})").alias("sketch"))
     return whole.select(
-        F.explode(F.expr(f"approx_top_k_estimate(sketch, {int(1 / support)})")).alias("x")
+        F.explode(F.expr(f"approx_top_k_estimate(sketch, {most})")).alias("x")
     ).select(F.col("x.item").alias("digest"))
 
 
