@@ -32,7 +32,7 @@ from sluicework.llm.common import written
 SIZE = 1024
 END_ID = 2
 #: Pieces of one length that one task numbers.
-NUMBERED_TOGETHER = 50_000
+NUMBERED_TOGETHER = 1_000
 #: Characters of text that are worked on at a time.
 CHUNK_CHARS = 1_000_000
 #: Characters that make a word, or a run of white space, very long.
@@ -217,10 +217,12 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]
     return {n: np.asarray(rows, "int64") for n, rows in found.items()}
 
 
-def numbered(rows: DataFrame, largest: int) -> DataFrame:
-    """The pieces with their number among those of their length, from 0; one length is dealt to many tasks."""
-    parts = max(1, -(-largest // NUMBERED_TOGETHER))
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
+def numbered(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """The pieces with their number among those of their length, from 0; a frequent length is dealt to many tasks."""
+    parts = rows.sparkSession.createDataFrame(
+        [(n, -(-c // NUMBERED_TOGETHER)) for n, c in counts.items()], "length bigint, _parts int")
+    rows = rows.join(F.broadcast(parts), "length").withColumn(
+        "_part", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_parts")).cast("int"))
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("length", "_part").count().select(
         "length", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
@@ -246,7 +248,7 @@ def best_fit_packing(docs: DataFrame, vocabulary: str, ranks: str, size: int = S
                 offset[mine] = row[:, 2]
             yield batch.drop(columns="_number").assign(sequence_id=sequence, offset=offset)
 
-    rows = numbered(cut, max(counts.values(), default=0)).select(*cut.columns, "_number")
+    rows = numbered(cut, counts).select(*cut.columns, "_number")
     kind = cut.schema["doc_id"].dataType.simpleString()
     # pandas has no null for whole numbers: ids go through as text
     return rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
