@@ -27,8 +27,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Lets the shuffle files of a query go when it has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: its shuffle files go when it is done, and batches for Python are small.
+WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+}
 
 
 @contextmanager
@@ -38,15 +42,17 @@ def tables(spark):
     The shuffle files behind a table go when it is written, the tables at the end.
     """
     paths = []
-    before = spark.conf.get(CLEANUP, "false")
+    before = {k: spark.conf.get(k) for k in WHILE_WRITING}
 
     def write(df: DataFrame) -> DataFrame:
         paths.append(fresh_path(spark, "table"))
-        spark.conf.set(CLEANUP, "true")
+        for k, v in WHILE_WRITING.items():
+            spark.conf.set(k, v)
         try:
             df.write.parquet(paths[-1])
         finally:
-            spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                spark.conf.set(k, v)
         return spark.read.schema(df.schema).parquet(paths[-1])
 
     try:
@@ -58,7 +64,7 @@ def tables(spark):
 
 def words(text: Column) -> Column:
     """The words of a text in order; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), "")
 
 
 def row_key(*columns: str) -> Column:

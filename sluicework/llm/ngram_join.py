@@ -29,7 +29,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -48,8 +47,10 @@ CHECKS, STEP = 64, 16
 TOLERANCE = 1e-9
 #: Texts of a bucket, texts of a component and their shingles that make a block.
 BUCKET_BLOCK, BLOCK, BLOCK_SHINGLES = 2_000, 1_000, 2_000_000
-#: Shingles of a text that are hashed at a time.
-HASHED_TOGETHER = 4_096
+#: Hash functions and shingles that are worked on at a time, to stay in the processor's cache.
+TILE = 66, 1_024
+#: Columns of the matrix of shared shingles that are multiplied at a time.
+COLUMNS = 4_096
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _N = BANDS * BAND_ROWS + CHECKS
@@ -59,11 +60,6 @@ _B = _DRAW.integers(0, 1 << 63, _N, dtype="uint64")
 _STIR = np.uint64(0x9E3779B97F4A7C15)
 
 
-@lru_cache(maxsize=300_000)
-def _word(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word)
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -75,7 +71,7 @@ def shingles(text: str | None) -> np.ndarray:
     words = _WORD.findall(text or "")
     if not words:
         return np.empty(0, "uint64")
-    h = np.fromiter(map(_word, words), "uint64", len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), "uint64", len(words))
     width = min(SHINGLE, len(h))
     n = len(h) - width + 1
     s = np.full(n, width, "uint64")
@@ -86,13 +82,16 @@ def shingles(text: str | None) -> np.ndarray:
 
 def minhash(s: np.ndarray) -> np.ndarray:
     """The least of each hash function over some shingles."""
-    least = np.full(_N, np.iinfo("uint32").max, "uint32")
-    for at in range(0, len(s), HASHED_TOGETHER):
-        part = s[at:at + HASHED_TOGETHER]
-        for k in range(0, _N, 8):
-            values = (_A[k:k + 8, None] * part + _B[k:k + 8, None]) >> np.uint64(32)
-            least[k:k + 8] = np.minimum(least[k:k + 8], values.min(axis=1).astype("uint32"))
-    return least
+    least = np.full(_N, np.iinfo("uint64").max, "uint64")
+    for at in range(0, len(s), TILE[1]):
+        part = s[at:at + TILE[1]]
+        values = np.empty((TILE[0], len(part)), "uint64")
+        for k in range(0, _N, TILE[0]):
+            rows = values[:_N - k]
+            np.multiply(_A[k:k + TILE[0], None], part, out=rows)
+            rows += _B[k:k + TILE[0], None]
+            np.minimum(least[k:k + TILE[0]], rows.min(axis=1), out=least[k:k + TILE[0]])
+    return (least >> np.uint64(32)).astype("uint32")
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
@@ -239,9 +238,9 @@ def linked(sets: list[np.ndarray], blocks: np.ndarray) -> np.ndarray:
     owner, at = owner[order], at[order]
     both = np.zeros((len(sets), len(sets)), "float32")  # exact up to 2^24 common shingles in a chunk
     total = np.zeros((len(sets), len(sets)), "int64")
-    for a in range(0, int(shared.sum()), HASHED_TOGETHER):
-        lo, hi = np.searchsorted(at, [a, a + HASHED_TOGETHER])
-        part = np.zeros((len(sets), HASHED_TOGETHER), "float32")
+    for a in range(0, int(shared.sum()), COLUMNS):
+        lo, hi = np.searchsorted(at, [a, a + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), "float32")
         part[owner[lo:hi], at[lo:hi] - a] = 1
         np.matmul(part, part.T, out=both)
         total += both.astype("int64")
@@ -315,5 +314,5 @@ def ngram_join(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, without those of a class that has a smaller doc_id."""
     gone = ngram_join(docs).where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("row").distinct()
-    return docs.withColumn("_row", row_key("doc_id", "text")).join(
-        gone.withColumnRenamed("row", "_row"), "_row", "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_r"), row_key("doc_id", "text").alias("row"))
+    return rows.join(gone, "row", "left_anti").select(*[F.col("_r").getField(c).alias(c) for c in docs.columns])
