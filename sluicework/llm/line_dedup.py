@@ -34,7 +34,7 @@ SIMILARITY = (4, 5)
 #: Counters for the rarity of words.
 SLOTS = 1 << 18
 #: MinHash values by which classes are compared with a first one.
-SETTLE = 3
+SETTLE = 2
 
 PLACE = ["doc", "row", "line_no"]
 
@@ -76,10 +76,10 @@ def prefix_length(n: Column) -> Column:
 def described(docs: DataFrame, levels: Column) -> DataFrame:
     """The lines' places with the key of their set of words, its size, signature, MinHash values and prefix."""
 
-    def number(word: Column) -> Column:
+    def number(word: Column, level: Column) -> Column:
         """A word's level of rarity above a hash of the word."""
         return let(F.xxhash64(word), lambda h: F.shiftleft(
-            F.ascii(F.substring(F.col("_levels"), F.pmod(h, F.lit(SLOTS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long"), 56,
+            F.ascii(F.substring(level, F.pmod(h, F.lit(SLOTS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long"), 56,
         ).bitwiseOR(F.shiftrightunsigned(h, 8)))
 
     def minhash(coded: Column, k: int) -> Column:
@@ -89,15 +89,18 @@ def described(docs: DataFrame, levels: Column) -> DataFrame:
         return F.aggregate(coded, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function(
             "shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
 
-    def told(line: Column) -> Column:
-        return let(F.array_distinct(words(line)), lambda w: let(F.sort_array(F.transform(w, number)), lambda coded: F.struct(
-            F.unhex(F.md5(F.array_join(F.array_sort(w), "\n").cast("binary"))).alias("key"), F.size(w).alias("n"),
+    def told(line: Column, level: Column) -> Column:
+        coded_ = lambda w: F.sort_array(F.transform(w, lambda x: number(x, level)))
+        return let(F.array_distinct(words(line)), lambda w: let(coded_(w), lambda coded: F.struct(
+            F.concat(F.hex(F.xxhash64(coded)), F.lit("-"), F.hex(F.xxhash64(coded, F.lit(1)))).alias("key"), F.size(w).alias("n"),
             signature(coded).alias("sig"), *[minhash(coded, k).alias(f"mh{k}") for k in range(SETTLE)],
             F.slice(coded, F.lit(1), prefix_length(F.size(w))).alias("prefix"))))
 
-    # The levels are one value for all rows; as a column they may be used inside the functions on arrays.
+    # The levels are one value for all rows; a subquery may not stand inside the functions on arrays, but a column
+    # may.  It is bound once per document, since reading it from the row copies it.
     rows = placed(docs).withColumn("_levels", levels)
-    return rows.select("doc", "row", F.posexplode(F.transform(F.split("text", "\n"), told)).alias("line_no", "t")).where(
+    described_ = let(F.col("_levels"), lambda level: F.transform(F.split("text", "\n"), lambda line: told(line, level)))
+    return rows.select("doc", "row", F.posexplode(described_).alias("line_no", "t")).where(
         F.col("t.n") > 0).select(*PLACE, "t.*")
 
 
@@ -147,11 +150,11 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """The places (row, line_no) of the lines to remove; ``row`` is ``row_key`` of doc_id and text."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text").distinct()
+    docs = docs.select("doc_id", "text")
     with tables(spark) as table:
         order = table(rarity(docs))
         lines_ = lines(docs)
-        told = described(docs, order.scalar())
+        told = table(described(docs, order.scalar()))
         sets = table(classes(told))
 
         first = {}
@@ -167,12 +170,16 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         settled = table(verified(near.distinct(), lines_))
 
         marked = sets.join(settled.withColumn("settled", F.lit(True)), PLACE, "left")
-        keyed = marked.select(*PLACE, "n", "sig", F.col("settled").isNotNull().alias("settled"),
-                              F.posexplode("prefix").alias("at", "word"))
+        keyed = marked.select(*PLACE, "n", "sig", F.col("settled").isNotNull().cast("int").alias("settled"),
+                              F.posexplode("prefix").alias("at", "word")).select(
+            *PLACE, "n", "sig", "word", (2 * F.col("at") + F.col("settled")).alias("at"))
         x, y = keyed.alias("x"), keyed.alias("y")
         n, m = F.col("x.n"), F.col("y.n")
-        close = F.least(n - F.col("x.at"), m - F.col("y.at")) >= overlap_needed(n, m)
-        met = x.join(y, (F.col("x.word") == F.col("y.word")) & ~F.col("y.settled") & earlier("x", "y") & close & possible("x", "y"))
+        at = [F.shiftright(F.col(f"{s}.at"), 1) for s in "xy"]
+        close = F.least(n - at[0], m - at[1]) >= overlap_needed(n, m)
+        # Written so that it isn't tested before the shuffle: both sides are then one and the same shuffled rows.
+        unsettled = F.pmod(F.col("y.at"), F.lit(2)) * (F.col("x.n") + 1) == 0
+        met = x.join(y, (F.col("x.word") == F.col("y.word")) & unsettled & earlier("x", "y") & close & possible("x", "y"))
         matched = table(settled.unionByName(verified(table(met.select(*pair("x", "y")).distinct()), lines_)))
 
         # Whole classes go, or all but their first lines.
