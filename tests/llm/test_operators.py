@@ -371,7 +371,8 @@ def test_pipeline(spark, sf_dir):
             ("quality_rules", quality.quality_rules(kept["quality_rules"][0]).where("kept")),
             ("toxicity", toxicity.toxicity(kept["toxicity"][0], spark.read.parquet(f"{sf_dir}/labels.parquet")).where("predicted = 0")),
             ("ngram_join", ngram_join.ngram_join(kept["ngram_join"][0]).where("doc_id = class_id"))):
-        assert ids[name][1] == {r.doc_id for r in verdicts.collect()} and len(ids[name][1]) < len(ids[name][0])
+        assert ids[name][1] == {r.doc_id for r in verdicts.collect()} and ids[name][1] <= ids[name][0]
+    assert len(ids["quality_rules"][1]) < len(ids["quality_rules"][0])  # the smallest tables needn't have what later stages reject
     assert ids["line_dedup"][0] == ids["line_dedup"][1]
     assert all(r.n_chars == len(r.text) for r in kept["line_dedup"][1].collect())
     rows = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
