@@ -20,8 +20,9 @@ a task's work, and no row stands for a pair of texts.  The exact step of a compo
 ``n * n / 2`` pairs, since that many may be links that are to be counted.
 
 A text of one to four words is a single shingle.  Null and empty texts have none, are
-linked to nothing and form no class.  Repeated rows are documents of their own.  Further
-columns pass through ``keep_one``; an empty table gives an empty result.
+linked to nothing and form no class.  Repeated rows are documents of their own.  ``keep_one``
+numbers the rows, so that of each class exactly one stays, also of repeated rows and of rows without
+a doc_id.  Further columns pass through it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -104,7 +105,7 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, row, key (of its shingle set, null without shingles), n, bands, checks."""
+    """Per document (doc_id, row, text): doc_id, row, key (of its shingle set, null without shingles), n, bands, checks."""
 
     def signed(batches):
         for batch in batches:
@@ -123,7 +124,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "row", "key", "n", "bands", "checks"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", row_key("doc_id", "text").alias("row"), "text").mapInArrow(
+    return docs.select("doc_id", "row", "text").mapInArrow(
         signed, f"doc_id {kind}, row bigint, key binary, n bigint, bands array<bigint>, checks binary")
 
 
@@ -279,26 +280,33 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     ``class_id`` is the least doc_id of the class, ``n_copies`` counts the documents with the same
     shingles, this one too, ``n_links`` all other documents that are similar enough.
     """
-    docs = docs.select("doc_id", "text")
+    return _joined(docs.select("doc_id", row_key("doc_id", "text").alias("row"), "text")).drop("keep")
+
+
+def _joined(docs: DataFrame) -> DataFrame:
+    """``ngram_join`` of documents (doc_id, row, text), with the row that stays of each class, ``keep``.
+
+    That is the least row of the least doc_id; null comes last.
+    """
     with tables(docs.sparkSession) as table:
         signed = table(signatures(docs))
         texts = table(signed.where(F.col("key").isNotNull()).groupBy("key").agg(
-            F.min("doc_id").alias("least"), F.min("row").alias("row"), F.count("*").alias("size"), F.first("n").alias("n"),
-            F.first("bands").alias("bands"), F.first("checks").alias("checks")))
+            F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("least"), F.count("*").alias("size"),
+            F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("checks").alias("checks")))
         close = table(components(candidates(texts, table), table))
         wanted = with_group(
-            texts.select("key", "row", "size", "n").join(
+            texts.select("key", "least.row", "size", "n").join(
                 close.select(F.col("node").alias("key"), F.col("label").alias("component")), "key"),
             "component", F.sum("n").alias("shingles"))
-        members = docs.withColumn("row", row_key("doc_id", "text")).select("row", "text").join(wanted, "row").dropDuplicates(["key"])
+        members = docs.select("row", "text").join(wanted, "row").dropDuplicates(["key"])
         found = table(links(members))
         counts = found.where("v IS NULL").groupBy(F.col("u").alias("key")).agg(F.sum("n").alias("n_links"))
         labels = components(found.where("v IS NOT NULL").select("u", "v"), table)
         told = table(texts.select("key", "least", "size").join(labels.select(F.col("node").alias("key"), "label"), "key", "left").join(
             counts, "key", "left").withColumn("label", F.coalesce("label", "key")))
         classes = table(with_group(
-            told, "label", F.min("least").alias("class_id"), F.sum("size").alias("class_size")).select(
-            "key", "class_id", "class_size", F.col("size").alias("n_copies"),
+            told, "label", F.min("least").alias("first"), F.sum("size").alias("class_size")).select(
+            "key", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("keep"), "class_size", F.col("size").alias("n_copies"),
             (F.coalesce("n_links", F.lit(0)) + F.col("size") - 1).alias("n_links")))
         rows, total = signed.select("doc_id", "row", "key"), signed.count()
         often = F.broadcast(classes.where(F.col("n_copies") >= 0.001 * total))  # at most 1000 rows
@@ -306,13 +314,14 @@ def ngram_join(docs: DataFrame) -> DataFrame:
         joined = rows.join(often, "key").unionByName(
             rows.where(F.col("key").isNotNull()).join(often.select("key"), "key", "left_anti").join(seldom, "key"))
         alone = rows.where(F.col("key").isNull()).select(
-            "doc_id", "row", F.col("doc_id").alias("class_id"), *[F.lit(n).cast("long").alias(c) for c, n in (
+            "doc_id", "row", F.col("doc_id").alias("class_id"), F.col("row").alias("keep"), *[F.lit(n).cast("long").alias(c) for c, n in (
                 ("class_size", 1), ("n_copies", 1), ("n_links", 0))])
         return written(joined.select(*alone.columns).unionByName(alone))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, without those of a class that has a smaller doc_id."""
-    gone = ngram_join(docs).where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("row").distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("_r"), row_key("doc_id", "text").alias("row"))
+    """The documents, with all their columns, of each class only the first row of those with the least doc_id; null comes last."""
+    # Written, so that a row keeps its number.
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("_r")))
+    gone = _joined(rows.select("_r.doc_id", "row", "_r.text")).where("row <> keep").select("row")
     return rows.join(gone, "row", "left_anti").select(*[F.col("_r").getField(c).alias(c) for c in docs.columns])

@@ -195,6 +195,26 @@ def test_keep_one(odd, none):
     assert ngram_join.keep_one(none).count() == 0
 
 
+def test_keep_one_of_each_class(spark):
+    """Repeated rows of the least doc_id, near texts under one doc_id, and classes without any doc_id: one row stays of each."""
+    def family(seed, changes):
+        base = words(200, seed)
+        return [" ".join([*base[:k], "changed", *base[k + 1:]]) if k else " ".join(base) for k in changes]
+
+    a, b, c, d = family(11, [0, 100]), family(12, [0, 90, 110]), family(13, [0, 0, 100]), family(14, [0, 100])
+    rows = [(1, a[0], "a"), (1, a[0], "a"), (1, a[0], "a"), (2, a[1], "a"), (3, a[0], "a")]
+    rows += [(5, b[0], "b"), (5, b[1], "b"), (9, b[2], "b")]
+    rows += [(None, t, "c") for t in c] + [(None, d[0], "d"), (None, d[1], "d"), (7, d[1], "d")]
+    rows += [(None, None, "none"), (None, None, "none"), (20, "", "none"), (20, "", "none"), (1, "one of its own", "own")]
+    draw = random.Random(1)
+    for _ in range(2):
+        draw.shuffle(rows)
+        kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, family string").repartition(3)).collect()
+        found = Counter(r.family for r in kept)
+        assert found == {"a": 1, "b": 1, "c": 1, "d": 1, "none": 4, "own": 1}
+        assert {r.family: r.doc_id for r in kept if r.family in "abcd"} == {"a": 1, "b": 5, "c": None, "d": 7}
+
+
 def test_pruning():
     needed = ngram_join.needed_matches()
     assert [n for n, _ in needed] == [16, 32, 48, 64] and all(m < 0.8 * n for n, m in needed)
