@@ -58,15 +58,16 @@ def parse(df: DataFrame, column: str, *pattern, kind: str = "simple") -> DataFra
 
     ``pattern`` alternates literal texts, ``ANY`` and captures ``(name, type)``;
     the whole text has to match it.  ``kind='regex'`` takes the texts as Java regular
-    expressions.  Each text counts where it is found first after the one before
-    it, which is never taken back, so that a row costs linear time; only the last text of a pattern
-    that ends with one has to be at the end.  Without a match, and where a capture does
-    not convert to its type, the new columns are null.
+    expressions, and a row matches wherever the whole pattern does; how long a row without a
+    match takes is up to the expressions.  A literal text counts where it is found first after the one before it,
+    which loses no match and needs no going back, so that a row costs linear time; only the last text of a
+    pattern that ends with one has to be at the end.  Without a match, and where a capture does not convert
+    to its type, the new columns are null.
     """
     captures = [p for p in pattern if isinstance(p, tuple)]
     if len(captures) > fv.MAX_PARSE_COLUMNS:
         warnings.warn(f"parse with {len(captures)} columns (limit is {fv.MAX_PARSE_COLUMNS} per statement)", stacklevel=2)
-    gap, pieces, group, groups = "", [], 0, {}
+    gap, text, pieces, group, groups = "", "", [], 0, {}
     for at, part in enumerate(pattern):
         if isinstance(part, tuple):
             group += 1
@@ -75,16 +76,19 @@ def parse(df: DataFrame, column: str, *pattern, kind: str = "simple") -> DataFra
         elif part == ANY:
             gap += ".*?"
         else:
-            text = quote(part)
             if kind == "regex":
                 group += _group_count(df, part)
                 text = f"(?:{part})"
-            if at == len(pattern) - 1:
-                # one match to the end, found by going through the ends of the gap once
+            else:
+                text += quote(part)
+                if any(isinstance(after, str) and after != ANY for after in pattern[at + 1:at + 2]):
+                    continue  # texts without a gap between them are one
+            if kind == "regex" or at == len(pattern) - 1:
+                # a literal text has one match to the end, found by going through the ends of the gap once
                 pieces.append(f"{gap}{text}")
             else:
                 pieces.append(f"(?>{gap}{text})")
-            gap = ""
+            gap = text = ""
     # Of several gaps in a row the last takes all.
     regex = rf"(?s)\A{''.join(pieces)}{gap}\z"
     hit = F.rlike(F.col(column), F.lit(regex))

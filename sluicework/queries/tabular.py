@@ -59,6 +59,12 @@ def t_parse_regex(spark, d):
     return op.parse(df, "url", "https?://", ("host", "string"), r"\.example\.(?:com|org|net)/", ("rest", "string"), kind="regex")
 
 
+def t_parse_regex_back(spark, d):
+    df = table(spark, d, "pages").select("page_id", "url")
+    return op.parse(df, "url", "[a-z]+", ("rest", "string"), "s?://", ("host", "string"), r"[a-z.]+", ("zone", "string"), "g/", ("path", "string"),
+                    kind="regex")
+
+
 def t_columnifexists(spark, d):
     df = table(spark, d, "events")
     return op.project(df, "event_id", kind=op.columnifexists(df, "event_type", "none"), level=op.columnifexists(df, "Level", "none"))
@@ -389,7 +395,7 @@ def t_parse_no_match(spark, d):
 
 QUERIES = {
     f.__name__: f for f in (
-        flagship, t_where, t_extend, t_project, t_project_away, t_project_rename, t_parse, t_parse_regex, t_columnifexists,
+        flagship, t_where, t_extend, t_project, t_project_away, t_project_rename, t_parse, t_parse_regex, t_parse_regex_back, t_columnifexists,
         t_let, t_materialize, t_time_column, t_time_column_rejected, t_geo_location, r_declared_schema, r_conform,
         r_conform_rejected, r_declared_stream, r_table_stream, r_select_levels, r_datatable, r_print, r_text_log,
         r_text_log_split, r_text_log_stream, r_json_log, r_json_log_stream, r_log_table_sink, r_metrics_sink,
@@ -436,6 +442,11 @@ ORACLE = {
         WITH p AS (SELECT page_id, url, regexp_extract(url, '\Ahttps?://(.*?)\.example\.(?:com|org|net)/(.*)\z', ['host', 'rest']) AS m,
                           regexp_matches(url, '\Ahttps?://.*?\.example\.(?:com|org|net)/') AS hit FROM pages)
         SELECT page_id, url, CASE WHEN hit THEN m.host END AS host, CASE WHEN hit THEN m.rest END AS rest FROM p""",
+    "t_parse_regex_back": r"""
+        WITH p AS (SELECT page_id, url, regexp_extract(url, '\A[a-z]+(.*?)s?://(.*?)[a-z.]+(.*?)g/(.*)\z', ['rest', 'host', 'zone', 'path']) AS m,
+                          regexp_matches(url, '\A[a-z]+.*?s?://.*?[a-z.]+.*?g/') AS hit FROM pages)
+        SELECT page_id, url, CASE WHEN hit THEN m.rest END AS rest, CASE WHEN hit THEN m.host END AS host,
+               CASE WHEN hit THEN m.zone END AS zone, CASE WHEN hit THEN m.path END AS path FROM p""",
     "t_columnifexists": "SELECT event_id, event_type AS kind, 'none' AS level FROM events",
     "t_let": "SELECT user_id, count(*) AS n FROM events GROUP BY user_id",
     "t_materialize": """

@@ -75,6 +75,18 @@ def test_parse(spark):
     assert [tuple(r)[1:] for r in rows] == [(7, 1.5, "ok"), (None, 2.0, "no"), (None, None, None)]
 
 
+@pytest.mark.parametrize(("text", "pattern", "kind", "expected"), [
+    ("xyz:1", ("[a-z]+", ("id", "string"), "z:", ("v", "string")), "regex", ("", "1")),
+    ("abc", ("a|ab", "c", ("v", "string")), "regex", ("",)),
+    ("k=a=b;1", (("k", "string"), "=[a-z=]+", ("v", "string"), "b;", ("w", "long")), "regex", ("k", "", 1)),
+    ("xaab1", ("x", op.ANY, "a", "b", ("v", "long")), "simple", (1,)),
+    ("xaab", ("x", ("v", "string"), "a", "b"), "simple", ("a",)),
+])
+def test_parse_loses_no_match(spark, text, pattern, kind, expected):
+    """Expressions that have to give back what they took, and texts without a gap between them."""
+    assert op.parse(spark.createDataFrame([(text,)], "m string"), "m", *pattern, kind=kind).first()[1:] == expected
+
+
 def test_parse_warns_over_ten_columns(spark):
     df = spark.createDataFrame([("x",)], "m string")
     pattern = [part for i in range(11) for part in ((f"c{i}", "string"), ",")]
