@@ -260,6 +260,28 @@ def test_sharding(spark, odd, none):
         sharding.fill(names, 1000)
 
 
+def test_write_shards(spark, tmp_path):
+    """Whole rows come back from the shard of their key; a hot key and rows equal in all columns are written by several tasks."""
+    names = [f"s{i}" for i in range(10)]
+    rows = [("hot", f"text {i} " * 9) for i in range(4000)] + [("same", "one text " * 9)] * 40_000 + [(f"k{i}", "x") for i in range(500)] + [(None, "y")] * 3
+    random.Random(3).shuffle(rows)
+    assigned = sharding.assign_shards(spark.createDataFrame(rows, "k string, text string").repartition(8), "k", names, 1009)
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "1k")
+    try:
+        sharding.write_shards(assigned, str(tmp_path / "shards"))
+    finally:
+        spark.conf.set(size, before)
+    found = spark.read.parquet(str(tmp_path / "shards")).select("*", F.input_file_name().alias("file")).collect()
+    assert Counter((r.k, r.text) for r in found) == Counter(rows)
+    table = sharding.fill(names, 1009)
+    for r in found:
+        slot = int(hashlib.md5((r.k or "").encode()).hexdigest()[:15], 16) % 1009
+        assert (r.slot, r.shard) == (slot, names[table[slot]])
+    assert all(len({r.file for r in found if r.k == k}) > 1 for k in ("hot", "same"))
+
+
 def test_warc(spark, tmp_path):
     """Round trip of payloads over many chunks, with repetitions, line feeds, odd characters and nulls."""
     long = "".join(random.Random(4).choices("ab\r\n é漢\U00010348", k=30_000))
