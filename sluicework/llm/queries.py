@@ -11,12 +11,15 @@ from sluicework.llm import warc
 from sluicework.llm.common import table, written
 from sluicework.llm.exact_dedup import exact_dedup
 from sluicework.llm.language import language_id
+from sluicework.llm.lexical_search import lexical_search
 from sluicework.llm.line_dedup import dedup_lines
 from sluicework.llm.ngram_join import ngram_join
 from sluicework.llm.packing import best_fit_packing
 from sluicework.llm.pieces import decode, encode
+from sluicework.llm.prefix_trie import prefix_trie
 from sluicework.llm.quality import quality_rules
 from sluicework.llm.sharding import SHARDS, assign_shards
+from sluicework.llm.substring_dedup import substring_dedup
 from sluicework.llm.toxicity import toxicity
 from sluicework.session import fresh_path, remove
 
@@ -96,9 +99,26 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join(table(spark, folder, "documents", "doc_id", "text")).drop("row")
 
 
+def op11_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of all documents when passages that occur elsewhere are removed."""
+    left = substring_dedup(table(spark, folder, "documents", "doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    return lexical_search(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark", "item_id", "text"))
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The nodes of the trie of all rebuilt conversations."""
+    return prefix_trie(table(spark, folder, "conversations", "conv_id", "turn", "role", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_exact_dedup, op3_sentencepiece, op4_line_dedup, op5_sharding, op6_warc, op7_toxicity, op8_language_id,
-    op9_best_fit_packing, op10_ngram_join)}
+    op9_best_fit_packing, op10_ngram_join,
+    op11_substring_dedup, op12_lexical_search, op13_prefix_trie)}
 
 ORACLE = {
     "op1_quality_rules": r"""
@@ -226,4 +246,81 @@ WITH RECURSIVE w AS (
 SELECT doc_id, coalesce(k.k, doc_id) AS class_id, coalesce(g.size, 1)::BIGINT AS class_size,
        coalesce(c.size, 1)::BIGINT AS n_copies, (coalesce(n.n, 0) + coalesce(c.size, 1) - 1)::BIGINT AS n_links
 FROM s LEFT JOIN c ON c.s = s.s LEFT JOIN k ON k.c = c.c LEFT JOIN g ON g.k = k.k LEFT JOIN n ON n.c = c.c""",
+    "op11_substring_dedup": r"""
+WITH d AS (
+    SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents
+), w AS (
+    SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d
+), w2 AS (
+    SELECT *, w || ' ' || lead(w) OVER o AS x2 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), w4 AS (
+    SELECT *, md5(x2 || ' ' || lead(x2, 2) OVER o) AS x4 FROM w2 WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), w8 AS (
+    SELECT *, md5(x4 || lead(x4, 4) OVER o) AS x8 FROM w4 WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), w35 AS (
+    SELECT doc_id, w, i, md5(x8 || lead(x8, 8) OVER o || lead(x8, 16) OVER o || lead(x8, 24) OVER o || lead(x2, 32) OVER o || ' ' || lead(w, 34) OVER o) AS x
+    FROM w8 WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), s AS (
+    SELECT doc_id, w, i, n IS NOT NULL AS again
+    FROM w35 LEFT JOIN (SELECT x, count(*) AS n FROM w35 WHERE x IS NOT NULL GROUP BY x HAVING n > 1) USING (x)
+), g AS (
+    SELECT doc_id, w, i, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM s
+), k AS (
+    SELECT doc_id, count_if(gone) AS n, string_agg(w, ' ' ORDER BY i) FILTER (NOT gone) AS t FROM g GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""",
+    "op12_lexical_search": r"""
+WITH t AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+    FROM documents
+), c AS (
+    SELECT count(*) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM t WHERE len(ts) > 0
+), p AS (
+    SELECT doc_id, t, n, count(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS t FROM t) GROUP BY ALL
+), f AS (
+    SELECT t, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY t, n_docs
+), q AS (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+    FROM benchmark
+), s AS (
+    SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+    FROM q JOIN p USING (t) JOIN f USING (t), c GROUP BY item_id, doc_id
+)
+SELECT item_id, row_number() OVER o::INT AS rank, doc_id, score FROM s WHERE score > 0
+WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY rank <= 10""",
+    "op13_prefix_trie": """
+WITH t AS (
+    SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (
+        PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+    FROM conversations WHERE conv_id IS NOT NULL
+), h AS (
+    SELECT c, count(*) AS own, xor(list_reduce(
+        list_concat([4294967295::BIGINT], list_transform(string_split(c::VARCHAR, ''), lambda y: ascii(y)::BIGINT)),
+        lambda a, y: list_reduce([xor(a, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, _: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)
+    ), 4294967295) % 6 AS h
+    FROM t GROUP BY c
+), k AS (
+    SELECT h.c, h.h, h.c - h.c % 100 AS head, least(h.h, coalesce(b.own, 0)) AS taken FROM h LEFT JOIN h b ON b.c = h.c - h.c % 100
+), u AS (
+    SELECT k.c, t.i AS d, t.r, t.x FROM k JOIN t ON t.c = head AND t.i <= taken
+    UNION ALL
+    SELECT k.c, taken + t.i - k.h, t.r, t.x FROM k JOIN t ON t.c = k.c AND t.i > k.h
+), l AS (
+    SELECT k.c, coalesce(list({'r': u.r, 'x': u.x} ORDER BY u.d) FILTER (u.d IS NOT NULL), []) AS l FROM k LEFT JOIN u ON u.c = k.c GROUP BY k.c
+), p AS (
+    SELECT c, d, l[1:d] AS node, d = len(l) AS ends FROM (SELECT c, l, unnest(range(len(l) + 1)) AS d FROM l)
+), n AS (
+    SELECT node, d, min(c) AS c, count(*) AS n, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '') AS e FROM p GROUP BY node, d
+), m AS (
+    SELECT n.*, coalesce(z.z, 0) AS z, CASE WHEN d = 0 THEN 0 ELSE (n - 1) * length(node[d].x) END AS saved
+    FROM n LEFT JOIN (SELECT node[1:d - 1] AS node, d - 1 AS d, count(*) AS z FROM n WHERE d > 0 GROUP BY ALL) z USING (node, d)
+), s AS (
+    SELECT p.node, p.d, count_if(m.z = 0)::BIGINT AS n_leaves, sum(m.saved)::BIGINT AS saved_tokens
+    FROM m JOIN p ON p.c = m.c AND p.d <= m.d GROUP BY p.node, p.d
+)
+SELECT m.c AS conv_id, m.d AS depth, y.c AS parent_conv_id, m.n AS n_convs, m.z AS n_children, n_leaves, saved_tokens, sha256(m.e) AS ends_sha256
+FROM m JOIN s USING (node, d) LEFT JOIN n y ON y.node = m.node[1:m.d - 1] AND y.d = m.d - 1""",
 }
