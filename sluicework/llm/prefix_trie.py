@@ -172,7 +172,7 @@ def _finished(rows: DataFrame) -> DataFrame:
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         number = {key: k for k, key in enumerate(zip(part["a"], part["b"], strict=True))}
-        parent = [number.get(key, -1) for key in zip(part["pa"], part["pb"], strict=True)]
+        parent = [-1, *[number[key] for key in zip(part["pa"][1:], part["pb"][1:], strict=True)]]  # the first is the top
         sums = gains(list(range(len(part))), parent, list(zip(part["leaf"], part["saved"], strict=True)))
         return pd.DataFrame({"a": part["a"], "b": part["b"], **{c: [s[k] for s in sums] for k, c in enumerate(SUMS)}})
 
