@@ -7,3 +7,4 @@ from sluicework.sources.sinks import LogTables, MetricsTable, log_table_sink, me
 from sluicework.sources.streams import (  # noqa: F401
     datatable, declared_stream, print_, select_levels, table_stream,
 )
+from sluicework.sources.tail import TextLogTail, text_log_tail  # noqa: F401

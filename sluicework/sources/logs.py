@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,9 +12,9 @@ ISO_8601 = r"[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}"
 
 CORRUPT = "_corrupt_record"
 
-#: Bytes of a piece of lines before the first start in a split, and rows handed on together.
-PIECE_BYTES, ROWS = 1 << 20, 5_000
-CLOSED, BEFORE, OPEN, SPLIT = range(4)
+#: Lines before the first start in a split that are put together.
+LINES = 1_024
+SPLIT = ["path", "block"]
 
 
 def _starts(line: Column, record_start: str) -> Column:
@@ -27,68 +26,32 @@ def _line(value: Column) -> Column:
     return F.regexp_replace(value, r"\r\z", "")
 
 
-def _pieces(lines: DataFrame) -> DataFrame:
-    """What each split of a file holds, in one pass over its lines:
-    whole records (CLOSED), lines that continue an earlier split in pieces of bounded size (BEFORE), the
-    record that is open at its end (OPEN), and the split itself (SPLIT; ``at`` is 1 if a record starts in it)."""
-
-    def cut(batches):
-        out: list[tuple] = []
-        split, held, size, at, started = None, [], 0, 0, False
-
-        def end():
-            if split is None:
-                return
-            if held:
-                out.append((*split, OPEN if started else BEFORE, at, "\n".join(held)))
-            out.append((*split, SPLIT, int(started), None))
-
-        def ready():
-            columns = [pa.array(c, t) for c, t in zip(
-                zip(*out, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string()), strict=True)]
-            out.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["path", "block", "kind", "at", "text"])
-
-        for batch in batches:
-            for path, block, start, line in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (path, block) != split:
-                    end()
-                    split, held, size, at, started = (path, block), [], 0, 0, False
-                if start:
-                    if held:
-                        out.append((*split, CLOSED if started else BEFORE, at, "\n".join(held)))
-                    held, size, started = [], 0, True
-                held.append(line)
-                size += len(line) + 1
-                if not started and size >= PIECE_BYTES:
-                    out.append((*split, BEFORE, at, "\n".join(held)))
-                    held, size, at = [], 0, at + 1
-                if len(out) >= ROWS:
-                    yield ready()
-        end()
-        if out:
-            yield ready()
-
-    return lines.mapInArrow(cut, "path string, block bigint, kind int, at bigint, text string")
-
-
-def _across_splits(pieces: DataFrame) -> DataFrame:
-    """Records from the pieces; only what is open at the ends of splits is shuffled."""
-    of = lambda kind: pieces.filter(F.col("kind") == kind)
+def _records(lines: DataFrame) -> DataFrame:
+    """Records ``RawData, path`` of lines (path, block, id, value, start); ``id`` orders the lines of a split.
+
+    The number of a record is a two-level running sum: of the starts in the splits of its file before,
+    and of those in its own split.  The lines are shuffled once, by split, so that a task's share is bounded
+    by the size of a split.  Records inside a split are put together there; only what is open at a split's ends
+    meets in a second shuffle.
+    """
+    splits = lines.groupBy(*SPLIT).agg(F.sum(F.col("start").cast("bigint")).alias("n"))
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    owners = of(SPLIT).select("path", "block", F.last(F.when(F.col("at") == 1, F.col("block")), ignorenulls=True).over(
-        earlier).alias("owner"))
-    continued = of(BEFORE).join(owners, ["path", "block"])
-    part = F.struct("block", "at", "text")
-    begun = of(OPEN).select("path", F.col("block").alias("owner"), F.struct(
-        "block", F.lit(-1).cast("bigint").alias("at"), "text").alias("part"))
-    more = continued.filter("owner is not null").select("path", "owner", part.alias("part"))
-    whole = begun.unionByName(more).groupBy("path", "owner").agg(
-        F.array_join(F.array_sort(F.collect_list("part"))["text"], "\n").alias("RawData"))
+    splits = splits.select(*SPLIT, "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+
+    inside = Window.partitionBy(*SPLIT).orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = lines.withColumn("at", F.sum(F.col("start").cast("bigint")).over(inside)).withColumn(
+        "n", F.sum(F.col("start").cast("bigint")).over(Window.partitionBy(*SPLIT)))
+    part = F.when(F.col("at") == 0, F.floor(F.col("id") / LINES))
+    pieces = numbered.groupBy(*SPLIT, "at", "n", part.alias("part")).agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("id", "value")))["value"], "\n").alias("text"), F.min("id").alias("first"))
+
+    closed = pieces.filter("at > 0 and at < n").select(F.col("text").alias("RawData"), "path")
+    ends = pieces.filter("at = 0 or at = n").drop("n").join(splits.drop("n"), SPLIT).withColumn("record", F.col("before") + F.col("at"))
+    whole = ends.filter("record > 0").groupBy("path", "record").agg(F.array_join(
+        F.array_sort(F.collect_list(F.struct("block", "first", "text")))["text"], "\n").alias("RawData")).select("RawData", "path")
     # No record owns the lines before the first start of a file: each is its own.
-    headless = continued.filter("owner is null").select(F.explode(F.split("text", "\n")).alias("RawData"), "path")
-    return of(CLOSED).select(F.col("text").alias("RawData"), "path").unionByName(
-        whole.select("RawData", "path")).unionByName(headless)
+    headless = ends.filter("record = 0").select(F.explode(F.split("text", "\n")).alias("RawData"), "path")
+    return closed.unionByName(whole).unionByName(headless)
 
 
 def _whole_files(files: DataFrame, record_start: str) -> DataFrame:
@@ -119,8 +82,9 @@ def text_log(spark: SparkSession, patterns: list[str] | str, record_start: str =
         records = functools.reduce(DataFrame.unionByName, found)
     else:
         lines = spark.read.text(paths, lineSep="\n").select(
-            path, F.col("_metadata.file_block_start").cast("bigint").alias("block"), _line(F.col("value")).alias("value"))
-        records = _across_splits(_pieces(lines.select("path", "block", _starts(F.col("value"), record_start).alias("start"), "value")))
+            path, F.col("_metadata.file_block_start").cast("bigint").alias("block"),
+            F.monotonically_increasing_id().alias("id"), _line(F.col("value")).alias("value"))
+        records = _records(lines.withColumn("start", _starts(F.col("value"), record_start)))
     return records.select("RawData", F.col("path").alias("FilePath"))
 
 
