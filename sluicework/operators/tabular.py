@@ -21,6 +21,9 @@ CONVERT = {
 
 ANY = "*"
 
+#: A column of this name goes with a record through ``project``, as what a fleet's flows tag records with.
+TAG = "_tag"
+
 
 def where(df: DataFrame, condition: Column) -> DataFrame:
     return df.filter(condition)
@@ -34,8 +37,8 @@ def extend(df: DataFrame, **exprs) -> DataFrame:
 
 
 def project(df: DataFrame, *names: str, **exprs) -> DataFrame:
-    """Exactly these columns: named ones as they are, then computed ones."""
-    return df.select(*names, *[col(value).alias(name) for name, value in exprs.items()])
+    """Exactly these columns: named ones as they are, then computed ones.  A record's tag stays with it."""
+    return df.select(*[c for c in df.columns if c == TAG], *names, *[col(value).alias(name) for name, value in exprs.items()])
 
 
 def project_away(df: DataFrame, *names: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluicework.plans.audit_rule import parsed_rules
-from sluicework.sources.sinks import LogTables
+from sluicework.sources.sinks import Ledger, LogTables
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -71,8 +71,15 @@ def steps(rule: dict, transforms: dict[int, Transform], sinks: dict[str, LogTabl
 
 
 def run_flows(rule: dict, streams: dict[str, DataFrame], transforms: dict[int, Transform],
-              sinks: dict[str, LogTables], run: str, rule_id: str) -> None:
+              sinks: dict[str, LogTables], run: str, rule_id: str, ledger: Ledger | None = None) -> None:
     """Run all flows on batch DataFrames.  Running a rule again under the same ``run`` name
-    replaces what its earlier run wrote; rules with other ids keep their rows."""
+    replaces what its earlier run wrote; rules with other ids keep their rows.
+
+    With a ledger, readers that name it see all destinations of the new run or those of the
+    earlier one; a run that stops on the way is never seen.
+    """
+    name = run if ledger is None else ledger.attempt(run)
     for step in list(steps(rule, transforms, sinks)):
-        step.write(streams[step.stream], rule_id, run)
+        step.write(streams[step.stream], rule_id, name)
+    if ledger is not None:
+        ledger.commit(next(iter(streams.values())).sparkSession, rule_id, run, name)

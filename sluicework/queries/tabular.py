@@ -1,11 +1,14 @@
 """Registered queries on table operators, sources, sinks and flows, with the same in SQL."""
 
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 import sluicework.functions as k
 from sluicework import operators as op
 from sluicework import sources as so
-from sluicework.plans.routing import run_flows
+from sluicework.plans.fleet_flows import fleet_rows, run_fleet
+from sluicework.plans.routing import flow_pairs, run_flows, steps
 from sluicework.queries.tables import plain, table
 from sluicework.session import fresh_path
 from sluicework.streaming import stream_flows
@@ -211,6 +214,29 @@ def r_text_log_stream(spark, d):
     return spark.read.parquet(out)
 
 
+def _grown(lines, path, share):
+    """Log files, a partition's lines in each, of which this share of the bytes has been written so far."""
+    def write(rows):
+        data = "".join(r.value + "\n" for r in rows).encode()
+        system, place = fs.FileSystem.from_uri(path)
+        system.create_dir(place)
+        with system.open_output_stream(f"{place}/{TaskContext.get().partitionId()}.log") as file:
+            file.write(data[:int(len(data) * share)])
+
+    lines.foreachPartition(write)
+
+
+def r_text_log_tail(spark, d):
+    """Files that grow between the triggers of a stream, and are closed at last."""
+    lines = _log_lines(spark, d).repartition(8, "value").sortWithinPartitions("value")
+    path, out, ckpt = (fresh_path(spark, name) for name in ("growing", "records", "ckpt"))
+    for share, idle in ((0.4, 3600), (1.0, 3600), (1.0, 0)):
+        _grown(lines, path, share)
+        _run(_records(so.text_log_tail(spark, path, idle_seconds=idle)).writeStream.format("parquet").option("checkpointLocation", ckpt)
+             .trigger(availableNow=True).start(out))
+    return spark.read.parquet(out)
+
+
 JSON_COLUMNS = [{"name": "event_id", "type": "long"}, {"name": "TimeGenerated", "type": "datetime"},
                 {"name": "event_type", "type": "string"}, {"name": "value", "type": "real"}]
 
@@ -278,10 +304,10 @@ def _flow_sinks(spark):
             "meter": so.MetricsTable(fresh_path(spark, "meter"))}
 
 
-def _flow_results(spark, sinks):
+def _flow_results(spark, sinks, ledger=None):
     tables = {
-        "near errors": sinks["near"].read(spark, "Custom-Errors_CL"), "far errors": sinks["far"].read(spark, "Custom-Errors_CL"),
-        "near all": sinks["near"].read(spark, "Custom-All_CL"), "metrics": sinks["meter"].read(spark, "Custom-Views"),
+        "near errors": sinks["near"].read(spark, "Custom-Errors_CL", ledger), "far errors": sinks["far"].read(spark, "Custom-Errors_CL", ledger),
+        "near all": sinks["near"].read(spark, "Custom-All_CL", ledger), "metrics": sinks["meter"].read(spark, "Custom-Views", ledger),
     }
     out = None
     for name, df in tables.items():
@@ -313,6 +339,45 @@ def r_run_flows_stream(spark, d):
     return _flow_results(spark, sinks)
 
 
+def r_flows_committed(spark, d):
+    """Runs of a ledger: one that is repeated, and one that stopped after its first destination."""
+    events, sinks = table(spark, d, "events"), _flow_sinks(spark)
+    ledger = so.Ledger(fresh_path(spark, "ledger"))
+    views = {"Custom-Errors": _input(events, "error").limit(0), "Custom-Views": _input(events, "view")}
+    streams = {**views, "Custom-Errors": _input(events, "error")}
+    for streams_ in (views, streams):  # the second attempt replaces the first
+        run_flows(FLOW_RULE, streams_, FLOW_TRANSFORMS, sinks, run="first", rule_id="rule", ledger=ledger)
+    stopped = list(steps(FLOW_RULE, FLOW_TRANSFORMS, sinks))[0]
+    stopped.write(streams[stopped.stream], "rule", ledger.attempt("second"))
+    return _flow_results(spark, sinks, ledger)
+
+
+FLEET_TEXT = "source | where value > 100 | project event_id, value"
+
+
+def _fleet_of_rules(spark, d):
+    """A rule per supplier that takes one kind of events, all of them to one place and the large ones to two."""
+    kinds = F.array(*[F.lit(x) for x in ("error", "view", "click", "signup", "purchase")])
+    stream = F.concat(F.lit("Custom-"), F.get(kinds, (c("s_suppkey") % 5).cast("int")))
+    flow = lambda text, out, *to: F.struct(
+        F.array(stream).alias("streams"), F.array(*map(F.lit, to)).alias("destinations"), F.lit(text).alias("transformKql"), F.lit(out).alias("outputStream"))
+    flows = F.array(flow("source", "Custom-All_CL", "near"), flow(FLEET_TEXT, "Custom-Large_CL", "near", "far"))
+    return table(spark, d, "supplier").select(
+        c("s_suppkey").alias("doc_id"), F.to_json(F.struct(F.struct(flows.alias("dataFlows")).alias("properties"))).alias("body"))
+
+
+def r_fleet_flows(spark, d):
+    """What all rules of a fleet have written: one job for all rules, flows and destinations."""
+    events = table(spark, d, "events").select("event_id", "value", F.concat(F.lit("Custom-"), c("event_type")).alias("stream"))
+    folder, ledger = fresh_path(spark, "fleet"), so.Ledger(fresh_path(spark, "ledger"))
+    large = {FLEET_TEXT: lambda df: op.project(op.where(df, c("value") > 100), "event_id", "value")}
+    pairs = flow_pairs(_fleet_of_rules(spark, d))
+    run_fleet(events.limit(0), pairs, large, folder, ledger, run="one")
+    run_fleet(events, pairs, large, folder, ledger, run="one")
+    return fleet_rows(spark, folder, ledger).groupBy("destination", "table", "rule", "flow").agg(
+        F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.min("value").alias("least"), F.max("value").alias("most"))
+
+
 def _one_flow(*destinations, output="Custom-All_CL"):
     return {"properties": {"dataFlows": [
         {"streams": ["Custom-In"], "destinations": list(destinations), "outputStream": output, "transformKql": "source"}]}}
@@ -400,7 +465,8 @@ QUERIES = {
         r_conform_rejected, r_declared_stream, r_table_stream, r_select_levels, r_datatable, r_print, r_text_log,
         r_text_log_split, r_text_log_stream, r_json_log, r_json_log_stream, r_log_table_sink, r_metrics_sink,
         r_run_flows, r_run_flows_stream, r_flows_two_rules, r_flows_same_destination_twice, r_metrics_two_schemas,
-        r_log_streams_text, r_log_streams_two_entries, r_log_streams_json, r_text_log_no_start, t_parse_no_match)
+        r_log_streams_text, r_log_streams_two_entries, r_log_streams_json, r_text_log_no_start, t_parse_no_match,
+        r_text_log_tail, r_flows_committed, r_fleet_flows)
 }
 
 _RECORDS = """
@@ -473,11 +539,18 @@ ORACLE = {
         SELECT event_id, CASE event_type WHEN 'error' THEN 'bad' ELSE 'fine' END AS label FROM events
         WHERE event_type IN ('error', 'view', 'click')""",
     "r_print": "SELECT event_id, 100 AS least FROM events WHERE event_type = 'error' AND value >= 100",
-    "r_text_log": _RECORDS, "r_text_log_split": _RECORDS, "r_text_log_stream": _RECORDS,
+    "r_text_log": _RECORDS, "r_text_log_split": _RECORDS, "r_text_log_stream": _RECORDS, "r_text_log_tail": _RECORDS,
     "r_json_log": _JSON, "r_json_log_stream": _JSON,
     "r_log_table_sink": "SELECT event_id, event_type, value FROM events",
     "r_metrics_sink": "SELECT event_id, value FROM events",
-    "r_run_flows": _FLOWS, "r_run_flows_stream": _FLOWS,
+    "r_run_flows": _FLOWS, "r_run_flows_stream": _FLOWS, "r_flows_committed": _FLOWS,
+    "r_fleet_flows": """
+        WITH f AS (
+            SELECT s_suppkey AS rule, ['error', 'view', 'click', 'signup', 'purchase'][s_suppkey % 5 + 1] AS kind, f.* FROM supplier,
+                (VALUES (1, 'near', 'All_CL', -1e300), (2, 'near', 'Large_CL', 100), (2, 'far', 'Large_CL', 100)) f(flow, destination, "table", least_value)
+        )
+        SELECT destination, "table", rule, flow, count(*) AS n, sum(event_id)::BIGINT AS ids, min(value) AS least, max(value) AS most
+        FROM f JOIN events ON event_type = kind AND value > least_value GROUP BY ALL""",
     "r_flows_two_rules": "SELECT event_id, value FROM events WHERE event_type IN ('error', 'view')",
     "r_flows_same_destination_twice": "SELECT event_id, value FROM events WHERE event_type = 'error'",
     "r_metrics_two_schemas": """
