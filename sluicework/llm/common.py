@@ -39,9 +39,10 @@ WHILE_WRITING = {
 def tables(spark):
     """Gives a function that writes rows to a table in the shared folder and reads them back.
 
-    The shuffle files behind a table go when it is written, the tables at the end.
+    The shuffle files behind a table go when it is written, the tables at the end, or when the function's ``drop`` is
+    called for what it gave.
     """
-    paths = []
+    paths, given = [], {}
     before = {k: spark.conf.get(k) for k in WHILE_WRITING}
 
     def write(df: DataFrame) -> DataFrame:
@@ -53,8 +54,15 @@ def tables(spark):
         finally:
             for k, v in before.items():
                 spark.conf.set(k, v)
-        return spark.read.schema(df.schema).parquet(paths[-1])
+        back = spark.read.schema(df.schema).parquet(paths[-1])
+        given[id(back)] = back, paths[-1]  # the frame is held, so that its id stays its own
+        return back
 
+    def drop(*frames: DataFrame) -> None:
+        for df in frames:
+            remove(spark, given.pop(id(df))[1])
+
+    write.drop = drop
     try:
         yield write
     finally:

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluicework.llm.common import SPACE, let, row_key, tables, with_group, words, written
+from sluicework.llm.common import SPACE, let, row_key, tables, with_group, written
 
 #: Similarity from which a line is a repetition, as a fraction.
 SIMILARITY = (4, 5)
@@ -35,6 +35,8 @@ SIMILARITY = (4, 5)
 SLOTS = 1 << 18
 #: MinHash values by which classes are compared with a first one.
 SETTLE = 2
+#: What stirs the words' hashes for each of them: random numbers.
+STIRS = (0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
 
 PLACE = ["doc", "row", "line_no"]
 
@@ -45,20 +47,25 @@ def placed(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), row_key("doc_id", "text").alias("row"), "text")
 
 
+def words_of(text: Column) -> Column:
+    """The words of a text, and empty ones; a split at a single character is far cheaper than one at a pattern."""
+    return F.split(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", " " * 5), " ")
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """The lines with a word: their place (doc, row, line_no), the line."""
     return placed(docs).select("doc", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(f"[^{SPACE}]"))
 
 
 def rarity(docs: DataFrame) -> DataFrame:
-    """One row with a byte for each slot: how often its words occur, in quarters of a power of two."""
+    """One row with a number for each slot: how often its words occur, in quarters of a power of two."""
     slot = F.pmod(F.xxhash64("word"), F.lit(SLOTS)).cast("int")
-    counts = docs.select(F.explode(words(F.col("text"))).alias("word")).groupBy(slot.alias("slot")).count()
+    counts = docs.select(F.explode(words_of(F.col("text"))).alias("word")).where("word <> ''").groupBy(slot.alias("slot")).count()
     every = docs.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"), F.lit(0).cast("long").alias("count"))
-    level = F.char(F.least(F.floor(4 * F.log2(F.sum("count") + 1)), F.lit(120)) + 1)
+    level = F.least(F.floor(4 * F.log2(F.sum("count") + 1)), F.lit(120)).cast("tinyint")
     whole = counts.unionByName(every).groupBy("slot").agg(level.alias("level")).agg(
         F.array_sort(F.collect_list(F.struct("slot", "level"))).alias("levels"))
-    return whole.select(F.array_join(F.transform("levels", lambda x: x.level), "").cast("binary").alias("levels"))
+    return whole.select(F.transform("levels", lambda x: x.level).alias("levels"))
 
 
 def overlap_needed(a: Column, b: Column) -> Column:
@@ -76,25 +83,24 @@ def prefix_length(n: Column) -> Column:
 def described(docs: DataFrame, levels: Column) -> DataFrame:
     """The lines' places with the key of their set of words, its size, signature, MinHash values and prefix."""
 
-    def number(word: Column, level: Column) -> Column:
-        """A word's level of rarity above a hash of the word."""
-        return let(F.xxhash64(word), lambda h: F.shiftleft(
-            F.ascii(F.substring(level, F.pmod(h, F.lit(SLOTS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long"), 56,
-        ).bitwiseOR(F.shiftrightunsigned(h, 8)))
+    def numbers(line: Column, level: Column) -> Column:
+        """The different words' levels of rarity above hashes of the words, rarest first."""
+        hashes = F.array_distinct(F.transform(F.array_remove(words_of(line), ""), lambda w: F.xxhash64(w)))
+        return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(
+            F.get(level, F.pmod(h, F.lit(SLOTS)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
     def minhash(coded: Column, k: int) -> Column:
-        return F.array_min(F.transform(coded, lambda x: F.xxhash64(x, F.lit(k))))
+        return F.array_min(F.transform(coded, lambda x: F.shiftleft(x, 8).bitwiseXOR(F.lit(STIRS[k]))))
 
     def signature(coded: Column) -> Column:
         return F.aggregate(coded, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function(
-            "shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
+            "shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
 
     def told(line: Column, level: Column) -> Column:
-        coded_ = lambda w: F.sort_array(F.transform(w, lambda x: number(x, level)))
-        return let(F.array_distinct(words(line)), lambda w: let(coded_(w), lambda coded: F.struct(
-            F.concat(F.hex(F.xxhash64(coded)), F.lit("-"), F.hex(F.xxhash64(coded, F.lit(1)))).alias("key"), F.size(w).alias("n"),
+        return let(numbers(line, level), lambda coded: F.struct(
+            F.struct(F.xxhash64(coded).alias("a"), F.xxhash64(F.lit(1), coded).alias("b")).alias("key"), F.size(coded).alias("n"),
             signature(coded).alias("sig"), *[minhash(coded, k).alias(f"mh{k}") for k in range(SETTLE)],
-            F.slice(coded, F.lit(1), prefix_length(F.size(w))).alias("prefix"))))
+            F.slice(coded, F.lit(1), prefix_length(F.size(coded))).alias("prefix")))
 
     # The levels are one value for all rows; a subquery may not stand inside the functions on arrays, but a column
     # may.  It is bound once per document, since reading it from the row copies it.
@@ -141,7 +147,7 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     wanted = pairs.select(*PAIR, F.explode(sides).alias("_s")).select(*PAIR, "_s.*")
     both = wanted.join(rows, PLACE).groupBy(*PAIR).agg(
         F.max(F.when(F.col("first"), F.col("line"))).alias("x"), F.max(F.when(~F.col("first"), F.col("line"))).alias("y"))
-    a, b = (F.array_distinct(words(F.col(c))) for c in "xy")
+    a, b = (F.array_distinct(F.array_remove(words_of(F.col(c)), "")) for c in "xy")
     similar = let(F.struct(a.alias("a"), b.alias("b")), lambda s: let(
         F.size(F.array_intersect(s.a, s.b)), lambda o: (num + den) * o >= num * (F.size(s.a) + F.size(s.b))))
     return both.where(similar).select(*[F.col(f"y_{c}").alias(c) for c in PLACE]).distinct()
@@ -156,6 +162,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         lines_ = lines(docs)
         told = table(described(docs, order.scalar()))
         sets = table(classes(told))
+        members = table(told.select("key", *PLACE))
+        table.drop(told, order)  # of no use any more, and as large as the input
 
         first = {}
         for k in range(SETTLE):
@@ -169,29 +177,27 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
             near = near.unionByName(first[k])
         settled = table(verified(near.distinct(), lines_))
 
-        marked = sets.join(settled.withColumn("settled", F.lit(True)), PLACE, "left")
-        keyed = marked.select(*PLACE, "n", "sig", F.col("settled").isNotNull().cast("int").alias("settled"),
-                              F.posexplode("prefix").alias("at", "word")).select(
-            *PLACE, "n", "sig", "word", (2 * F.col("at") + F.col("settled")).alias("at"))
-        x, y = keyed.alias("x"), keyed.alias("y")
+        keyed = sets.select(*PLACE, "n", "sig", F.posexplode("prefix").alias("at", "word"))
+        later = sets.join(settled, PLACE, "left_anti").select(*PLACE, "n", "sig", F.posexplode("prefix").alias("at", "word"))
+        x, y = keyed.alias("x"), later.alias("y")
         n, m = F.col("x.n"), F.col("y.n")
-        at = [F.shiftright(F.col(f"{s}.at"), 1) for s in "xy"]
-        close = F.least(n - at[0], m - at[1]) >= overlap_needed(n, m)
-        # Written so that it isn't tested before the shuffle: both sides are then one and the same shuffled rows.
-        unsettled = F.pmod(F.col("y.at"), F.lit(2)) * (F.col("x.n") + 1) == 0
-        met = x.join(y, (F.col("x.word") == F.col("y.word")) & unsettled & earlier("x", "y") & close & possible("x", "y"))
-        matched = table(settled.unionByName(verified(table(met.select(*pair("x", "y")).distinct()), lines_)))
+        close = F.least(n - F.col("x.at"), m - F.col("y.at")) >= overlap_needed(n, m)
+        met = x.join(y, (F.col("x.word") == F.col("y.word")) & earlier("x", "y") & close & possible("x", "y"))
+        met = table(met.select(*pair("x", "y")).distinct())
+        kept = table(sets.select("key", *PLACE, "members"))
+        table.drop(sets)
+        matched = table(settled.unionByName(verified(met, lines_)))
+        table.drop(met)
 
         # Whole classes go, or all but their first lines.
-        gone = sets.join(matched.withColumn("matched", F.lit(True)), PLACE, "left").where(
+        gone = kept.join(matched.withColumn("matched", F.lit(True)), PLACE, "left").where(
             F.col("matched").isNotNull() | (F.col("members") > 1)).select(
             "key", F.struct(*PLACE).alias("first"), F.coalesce("matched", F.lit(False)).alias("matched"), "members")
-        keys = told.select("key", *PLACE)
-        total = keys.count()
+        total = members.count()
         hot = table(gone.where(F.col("members") >= 0.001 * total).drop("members"))  # at most 1000 rows
         cold = gone.where(F.col("members") < 0.001 * total).drop("members")
-        named = keys.join(F.broadcast(hot), "key").unionByName(
-            keys.join(F.broadcast(hot.select("key")), "key", "left_anti").join(cold, "key"))
+        named = members.join(F.broadcast(hot), "key").unionByName(
+            members.join(F.broadcast(hot.select("key")), "key", "left_anti").join(cold, "key"))
         return written(named.where(F.col("matched") | (F.struct(*PLACE) != F.col("first"))).select("row", "line_no"))
 
 

@@ -113,7 +113,7 @@ def test_line_dedup(spark, odd, none):
     assert out.columns == [*odd.columns, "n_removed"]
     for r in out.collect():
         i = r.doc_id if r.doc_id is not None else -(1 << 63)
-        assert (r.text, r.n_removed) == (None, 0) if r.doc_id == 4 else (left[i], gone[i])
+        assert (r.text, r.n_removed) == ((None, 0) if r.doc_id == 4 else (left[i], gone[i]))
     assert out.count() == odd.count() and line_dedup.dedup_lines(none).count() == 0
 
 
