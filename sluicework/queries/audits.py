@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from sluicework import fixed_values as fv
 from sluicework.plans import (
-    audit_queries, audit_rules, flow_pairs, judge_queries, judge_rules, totals_of_marks, verdict, verdict_of_marks,
+    audit_queries, audit_rules, codes_of_days, codes_of_range, flow_pairs, judge_distinct, judge_queries, judge_rules,
+    totals_of_marks, verdict, verdict_of_marks,
 )
+from sluicework.plans.findings import to_rows
 from sluicework.queries.fleet import QUERY_TEMPLATES, RULE_TEMPLATES, fleet_sql, query_fleet, rule_fleet
 from sluicework.queries.tables import table
 from sluicework.session import fresh_path, spread
-from sluicework.streaming import audit_stream
+from sluicework.streaming import audit_stream, total_stream, totals
 
 
 def _texts(spark, d):
@@ -80,17 +82,60 @@ def u_flow_pairs(spark, d):
     return flow_pairs(rule_fleet(spark, d).withColumn("body", F.concat("body", pad)))
 
 
-def _too_big(spark, d):
-    return table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("doc_id"), F.concat(
-        F.col("n_name"), F.repeat(F.lit("x"), fv.MAX_BODY_BYTES)).alias("body"))
+BIG_EVERY = 2_000
+
+
+def _some_too_big(fleet):
+    """A fleet of which one document in two thousand is longer than allowed."""
+    pad = F.when(F.col("doc_id") % BIG_EVERY == 0, F.repeat(F.lit("x"), fv.MAX_BODY_BYTES)).otherwise("")
+    return fleet.withColumn("body", F.concat("body", pad))
 
 
 def u_query_too_big(spark, d):
-    return audit_queries(_too_big(spark, d))
+    return audit_queries(_some_too_big(query_fleet(spark, d)))
 
 
 def u_rule_too_big(spark, d):
-    return audit_rules(_too_big(spark, d))
+    return audit_rules(_some_too_big(rule_fleet(spark, d)))
+
+
+REPEATED = "source | where Kind in ('a') | sort by t | extend x = my_fn(1)"
+
+
+def u_query_repeated(spark, d):
+    """A fleet of which a third has one and the same body, judged once per different body."""
+    body = F.when(F.col("doc_id") % 3 == 0, REPEATED).otherwise(F.col("body"))
+    return to_rows(judge_distinct(query_fleet(spark, d).withColumn("body", body), judge_queries))
+
+
+def u_query_totals_stream(spark, d):
+    """Totals of a fleet whose every second document arrives again, as the next one's text and newer, or older and too late."""
+    arrived, folder, ckpt = (fresh_path(spark, name) for name in ("versions", "changes", "ckpt"))
+    fleet = query_fleet(spark, d)
+    later = fleet.select((F.col("doc_id") - 1).alias("doc_id"), "body").where("doc_id >= 0 and doc_id % 2 = 0")
+    late = F.when(F.col("doc_id") % 4 == 0, 2).otherwise(0)
+    for part in (fleet.withColumn("at", F.lit(1)), later.withColumn("at", late).select("doc_id", "body", "at")):
+        part.write.mode("append").parquet(arrived)
+        stream = spark.readStream.schema(part.schema).parquet(arrived)
+        total_stream(stream, judge_queries, folder, ckpt).awaitTermination()
+    return totals(spark, folder)
+
+
+#: Relative error that an estimate of documents may have here: three standard errors.
+ERROR = 0.05
+
+
+def u_codes_of_days(spark, d):
+    """Totals of a range of days from what was kept per day, and whether the documents are estimated well enough."""
+    fleet = query_fleet(spark, d)
+    days = table(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.to_date("ts").alias("day"))
+    found = audit_queries(fleet).join(days, "doc_id").withColumn("doc_id", F.col("doc_id") % 5000)
+    kept = fresh_path(spark, "days")
+    codes_of_days(found).write.partitionBy("day").parquet(kept)
+    first, last = "2024-01-03", "2024-01-20"
+    exact = found.where(F.col("day").between(first, last)).groupBy("code", "severity").agg(F.count_distinct("doc_id").alias("exact"))
+    return codes_of_range(spark.read.parquet(kept), first, last).join(exact, ["code", "severity"]).select(
+        "code", "severity", "findings", (F.abs(F.col("documents") - F.col("exact")) <= ERROR * F.col("exact") + 1).alias("close"))
 
 
 def _streamed(spark, docs, audit):
@@ -114,7 +159,8 @@ QUERIES = {
     f.__name__: f for f in (
         u_query_fleet, u_query_documents, u_query_chats, u_query_verdict, u_query_codes, u_query_stream,
         u_rule_fleet, u_rule_props, u_rule_documents, u_rule_verdict, u_rule_verdict_in_row, u_rule_codes,
-        u_rule_stream, u_flow_pairs, u_query_too_big, u_rule_too_big)
+        u_rule_stream, u_flow_pairs, u_query_too_big, u_rule_too_big, u_query_repeated, u_query_totals_stream,
+        u_codes_of_days)
 }
 
 
@@ -375,10 +421,22 @@ _PAIRS = """
     WHERE s.kind_of = 'VARCHAR' AND t.kind_of = 'VARCHAR'"""
 _PROPS = "SELECT event_id AS doc_id, props AS body FROM events"
 
-_TOO_BIG = """
-    SELECT n_nationkey::BIGINT AS doc_id, 0 AS seq, '{}' AS code, 'error' AS severity,
-           'Input exceeds maximum size (5MB)' AS message, '{}' AS suggestion
-    FROM nation"""
+_SOME_TOO_BIG = """
+    SELECT * FROM ({}) WHERE doc_id % {} <> 0
+    UNION ALL SELECT event_id, 0, '{}', 'error', 'Input exceeds maximum size (5MB)', '{}' FROM events WHERE event_id % {} = 0"""
+
+
+def _too_big_sql(audit, code, hint):
+    return _SOME_TOO_BIG.format(audit, BIG_EVERY, code, hint, BIG_EVERY)
+
+
+_REPEATED = f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {_q(REPEATED)} ELSE body END AS body FROM ({fleet_sql(QUERY_TEMPLATES)})"
+_LAST = f"""
+    SELECT a.doc_id, coalesce(b.body, a.body) AS body FROM ({fleet_sql(QUERY_TEMPLATES)}) a
+    LEFT JOIN ({fleet_sql(QUERY_TEMPLATES)}) b ON b.doc_id = a.doc_id + 1 AND a.doc_id % 4 = 0"""
+_DAYS = """
+    SELECT code, severity, count(*) AS findings, true AS close FROM q_findings JOIN events ON event_id = key
+    WHERE ts::DATE BETWEEN DATE '2024-01-03' AND DATE '2024-01-20' GROUP BY code, severity"""
 
 ORACLE = {
     "u_query_fleet": query_audit_sql(fleet_sql(QUERY_TEMPLATES), _FINDINGS),
@@ -394,7 +452,10 @@ ORACLE = {
     "u_rule_verdict_in_row": rule_audit_sql(fleet_sql(RULE_TEMPLATES), _VERDICT.format("r_findings")),
     "u_rule_codes": rule_audit_sql(fleet_sql(RULE_TEMPLATES), _CODES.format("r_findings")),
     "u_rule_stream": rule_audit_sql(fleet_sql(RULE_TEMPLATES), _RULE_FINDINGS),
-    "u_query_too_big": _TOO_BIG.format("KQL000", "Reduce the query size"),
-    "u_rule_too_big": _TOO_BIG.format("DCR000", "Reduce the JSON size"),
+    "u_query_too_big": _too_big_sql(query_audit_sql(fleet_sql(QUERY_TEMPLATES), _FINDINGS), "KQL000", "Reduce the query size"),
+    "u_rule_too_big": _too_big_sql(rule_audit_sql(fleet_sql(RULE_TEMPLATES), _RULE_FINDINGS), "DCR000", "Reduce the JSON size"),
+    "u_query_repeated": query_audit_sql(_REPEATED, _FINDINGS),
+    "u_query_totals_stream": query_audit_sql(_LAST, _CODES.format("q_findings")),
+    "u_codes_of_days": query_audit_sql(fleet_sql(QUERY_TEMPLATES), _DAYS),
     "u_flow_pairs": rule_audit_sql(fleet_sql(RULE_TEMPLATES), _PAIRS),
 }
