@@ -250,6 +250,9 @@ def _judgement() -> Steps:
          .when(c("doc").isNull(), F.array(mark("DCR003")))
          .when(has_error(c("found")), c("found"))
          .otherwise(F.concat("found", F.array(mark("DCR000"))))),
+        ("long_names", rd.long_names(c("text"))),
+        ("marks", F.when(c("long_names").isNull(), c("marks")).otherwise(F.transform("marks", lambda m: F.struct(
+            m["head"].alias("head"), rd.with_long_names(m["args"], c("long_names")).alias("args"))))),
     ]
 
 

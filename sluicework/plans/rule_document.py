@@ -70,9 +70,53 @@ def _too_deep(text: Column) -> Column:
     return may & (F.aggregate(signs, start, step)["most"] > limit)
 
 
+#: The parser takes names up to 50,000 characters; longer ones keep these many at either end, around a digest.
+NAME_LIMIT, NAME_ENDS = 50_000, 64
+
+
+def _long_names(text: Column) -> Column:
+    """The quoted names of object members that are too long for the parser."""
+    every = F.regexp_extract_all(text, F.lit(r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"\s*+:?+'), F.lit(0))
+    names = F.filter(every, lambda x: (F.length(x) > NAME_LIMIT) & F.endswith(x, F.lit(":")))
+    return F.array_distinct(F.transform(names, lambda x: F.regexp_replace(x, r"\s*+:\z", "")))
+
+
+def _short_name(quoted: Column) -> Column:
+    """A short name, without quotes and escapes, that stands for a quoted one."""
+    ends = f"{{0,{NAME_ENDS}}}"
+    return F.concat(F.regexp_extract(quoted, rf'\A"([^"\\]{ends})', 1), F.lit("~"), F.sha2(quoted, 256), F.regexp_extract(quoted, rf'([^"\\]{ends})"\z', 1))
+
+
+def shortened(text: Column) -> Column:
+    """The text with short names in place of those that are too long, wherever it has them as a string."""
+    short = F.aggregate(_long_names(text), text, lambda t, name: F.replace(t, name, F.concat(F.lit('"'), _short_name(name), F.lit('"'))))
+    return F.when(F.length(text) > NAME_LIMIT, short).otherwise(text)
+
+
+def long_names(text: Column) -> Column:
+    """The names that ``shortened`` replaces; null if there are none."""
+    return F.when(F.length(text) > NAME_LIMIT, bind(_long_names(text), lambda names: F.when(F.size(names) > 0, names)))
+
+
+def with_long_names(values: Column, names: Column) -> Column:
+    """Strings that were taken from ``shortened(text)``, with the names that the text has."""
+    def restored(value: Column, name: Column) -> Column:
+        return F.replace(value, _short_name(name), F.get(F.from_json(F.concat(F.lit("["), name, F.lit("]")), "array<string>"), F.lit(0)))
+
+    return F.transform(values, lambda v: F.aggregate(names, v, restored))
+
+
 def strict_json(text: Column) -> Column:
     """Variant of a text that is exactly one JSON value, else null.
 
+    Names that are too long for the parser are shortened; ``with_long_names`` brings them back.
+    """
+    return bind(shortened(text), _strict_json)
+
+
+def _strict_json(text: Column) -> Column:
+    """The same for a text without names that are too long.
+
     The parser stops after the first value, so the text is put into an array in
     front of a mark: text left over after the value hides or displaces the mark.
     The mark is the text's own digest, which the text cannot contain.

@@ -139,6 +139,27 @@ def test_embedded_transforms_have_no_size_limit(spark):
     assert codes(spark, audit_rules, [body]) == [["DCR000"]]
 
 
+@pytest.mark.parametrize("name", ["k" * 60_000, "é\\\"" * 30_000 + "'x", "\\\\" + "k, " * 20_000 + "\\u00e9\\\\"])
+def test_names_longer_than_the_parser_takes(spark, name):
+    """Documents with long names get the findings, in the same words, that they get with short ones."""
+    spoken = json.loads(f'"{name}"')
+
+    def texts(name):
+        used = seeds.rule([f"Custom-{name}"], declared={f"Custom-{name}": seeds.LOG, f"Bad{name}": {"columns": [{"name": name, "type": name}]}},
+                          output=f"Custom-{name}_CL")
+        gone = seeds.rule([f"Custom-gone{name}"], [f"to{name}"], declared={f"Custom-{name}": seeds.LOG})
+        plain = seeds.rule()
+        plain[name] = {name: 1}
+        return [json.dumps(d, ensure_ascii=False) for d in (used, gone, plain, {name: 1})] + ['{"' + "k" * 60_000 + '": }', '{"' + "k" * 60_000]
+
+    def found(name):
+        rows = audit_rules(docs(spark, texts(name))).collect()
+        return sorted((r.doc_id, r.seq, r.code, r.message) for r in rows)
+
+    want = [(i, k, c, m.replace("short", spoken)) for i, k, c, m in found("short")]
+    assert found(spoken) == want and {c for i, _, c, _ in want if i == 2} == {"DCR000"} and want[-1][2] == want[-2][2] == "DCR002"
+
+
 def test_many_unknown_names(spark):
     """A document near the size limit whose names are all unknown, some of them repeated."""
     streams, targets = [f"Custom-{i}" for i in range(150_000)], [f"d{i}" for i in range(200_000)]
