@@ -124,12 +124,10 @@ def earlier(x: str, y: str) -> Column:
     return (a[0] < b[0]) | (a[0] == b[0]) & ((a[1] < b[1]) | (a[1] == b[1]) & (a[2] < b[2]))
 
 
-def possible(x: str, y: str) -> Column:
+def possible(n: Column, m: Column, sig_x: Column, sig_y: Column) -> Column:
     """Whether sizes and signatures allow two sets to be similar."""
     num, den = SIMILARITY
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    return (num * n <= den * m) & (num * m <= den * n) & (
-        F.bit_count(F.col(f"{x}.sig").bitwiseXOR(F.col(f"{y}.sig"))) <= n + m - 2 * overlap_needed(n, m))
+    return (num * n <= den * m) & (num * m <= den * n) & (F.bit_count(sig_x.bitwiseXOR(sig_y)) <= n + m - 2 * overlap_needed(n, m))
 
 
 def pair(x: str, y: str) -> list[Column]:
@@ -161,7 +159,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         order = table(rarity(docs))
         lines_ = lines(docs)
         told = table(described(docs, order.scalar()))
-        sets = table(classes(told))
+        ordered = classes(told).repartitionByRange(*PLACE).sortWithinPartitions(*PLACE)
+        sets = table(ordered.withColumn("id", F.monotonically_increasing_id()))  # in the order of the places
         members = table(told.select("key", *PLACE))
         table.drop(told, order)  # of no use any more, and as large as the input
 
@@ -171,19 +170,25 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
             groups = with_group(sets.select(f"mh{k}", *PLACE, "n", "sig"), f"mh{k}", least, least=2)
             first[k] = groups.select(
                 F.struct(*PLACE, "n", "sig").alias("y"), F.col("first").alias("x")
-            ).where(earlier("x", "y") & possible("x", "y")).select(*pair("x", "y"))
+            ).where(earlier("x", "y") & possible(*[F.col(c) for c in ("x.n", "y.n", "x.sig", "y.sig")])).select(*pair("x", "y"))
         near = first[0]
         for k in range(1, SETTLE):
             near = near.unionByName(first[k])
         settled = table(verified(near.distinct(), lines_))
 
-        keyed = sets.select(*PLACE, "n", "sig", F.posexplode("prefix").alias("at", "word"))
-        later = sets.join(settled, PLACE, "left_anti").select(*PLACE, "n", "sig", F.posexplode("prefix").alias("at", "word"))
+        # Narrow rows, since there are several per line: size and position are one number.
+        row = ["id", "sig", "word", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("n_at")]
+        keyed = sets.select("id", "n", "sig", F.posexplode("prefix").alias("at", "word")).select(*row)
+        later = sets.join(settled, PLACE, "left_anti").select("id", "n", "sig", F.posexplode("prefix").alias("at", "word")).select(*row)
         x, y = keyed.alias("x"), later.alias("y")
-        n, m = F.col("x.n"), F.col("y.n")
-        close = F.least(n - F.col("x.at"), m - F.col("y.at")) >= overlap_needed(n, m)
-        met = x.join(y, (F.col("x.word") == F.col("y.word")) & earlier("x", "y") & close & possible("x", "y"))
-        met = table(met.select(*pair("x", "y")).distinct())
+        (n, m), (i, j) = ([f(F.col(f"{s}.n_at")).cast("int") for s in "xy"] for f in (lambda c: F.shiftright(c, 32), lambda c: c.bitwiseAND(F.lit((1 << 32) - 1))))
+        close = F.least(n - i, m - j) >= overlap_needed(n, m)
+        met = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.id") < F.col("y.id")) & close & possible(
+            n, m, F.col("x.sig"), F.col("y.sig"))).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
+        met = table(met.distinct())
+        for s in "xy":
+            met = met.join(sets.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in PLACE]), s)
+        met = table(met.select(*PAIR))
         kept = table(sets.select("key", *PLACE, "members"))
         table.drop(sets)
         matched = table(settled.unionByName(verified(met, lines_)))
