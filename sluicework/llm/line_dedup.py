@@ -12,8 +12,9 @@ stays itself or not, so that the result doesn't depend on how the work is split.
    similar to it is settled, which is nearly all of a large group of near copies.
 4. The prefix join: a class has a row for each of its rarest words, as many as any
    similar class must share one of.  Classes that aren't settled meet the earlier ones on
-   equal words; length, position and a 64-bit signature of the set rule most pairs out, and the rest
-   is verified on the lines' words.  No pair is lost.
+   equal words; length, position and a 64-bit signature of the set rule most pairs out.  Of the rest
+   each class is verified, on the lines' words, with the likeliest earlier one first, and with the others
+   if that one isn't similar.  No pair is lost.
 5. All lines of a class go but the first, and that one too if its class was matched.
 
 Lines without a word stay and are never compared.  Null text has no lines and stays null.
@@ -183,16 +184,24 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         x, y = keyed.alias("x"), later.alias("y")
         (n, m), (i, j) = ([f(F.col(f"{s}.n_at")).cast("int") for s in "xy"] for f in (lambda c: F.shiftright(c, 32), lambda c: c.bitwiseAND(F.lit((1 << 32) - 1))))
         close = F.least(n - i, m - j) >= overlap_needed(n, m)
+        differ = F.bit_count(F.col("x.sig").bitwiseXOR(F.col("y.sig"))).alias("differ")
         met = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.id") < F.col("y.id")) & close & possible(
-            n, m, F.col("x.sig"), F.col("y.sig"))).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
+            n, m, F.col("x.sig"), F.col("y.sig"))).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"), differ)
         met = table(met.distinct())
-        for s in "xy":
-            met = met.join(sets.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in PLACE]), s)
-        met = table(met.select(*PAIR))
+
+        def placed_pairs(pairs: DataFrame) -> DataFrame:
+            for s in "xy":
+                pairs = pairs.join(sets.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in PLACE]), s)
+            return table(pairs.select(*PAIR))
+
+        # A class goes if any earlier one is similar: the likeliest is verified first, the others only for what is left.
+        likeliest = table(met.groupBy("y").agg(F.min_by("x", F.struct("differ", "x")).alias("likeliest")))
+        found = table(verified(placed_pairs(likeliest.select(F.col("likeliest").alias("x"), "y")), lines_))
+        open_ = likeliest.join(sets.join(found, PLACE).select(F.col("id").alias("y")), "y", "left_anti")
+        rest = placed_pairs(met.join(open_, "y").where("x <> likeliest").select("x", "y"))
         kept = table(sets.select("key", *PLACE, "members"))
-        table.drop(sets)
-        matched = table(settled.unionByName(verified(met, lines_)))
-        table.drop(met)
+        table.drop(sets, met)
+        matched = table(settled.unionByName(found).unionByName(verified(rest, lines_)))
 
         # Whole classes go, or all but their first lines.
         gone = kept.join(matched.withColumn("matched", F.lit(True)), PLACE, "left").where(
