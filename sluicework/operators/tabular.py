@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import warnings
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicework import fixed_values as fv
@@ -112,6 +113,24 @@ def let(name: str, df: DataFrame) -> DataFrame:
     return df
 
 
+def let_function(spark: SparkSession, name: str, parameters: dict[str, str], returns: str | dict[str, str], body: str) -> None:
+    """Bind a function to a name, for SQL in the same session.
+
+    ``parameters`` are names and types.  ``returns`` is a type, and ``body`` an SQL expression of the parameters, or
+    ``returns`` are columns and their types, and ``body`` a query that gives them: a table function.  Spark puts the body into the
+    plan of the query that calls it, so that no rows leave the JVM and filters reach the tables.
+    """
+    wrong = [n for n in (name, *parameters, *(returns if isinstance(returns, dict) else ())) if not re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", n)]
+    if wrong:
+        raise ValueError(f"no name for a function, parameter or column: {', '.join(map(repr, wrong))}")
+
+    def listed(names: dict[str, str]) -> str:  # types are checked, so that they can't be anything else
+        return ", ".join(f"`{n}` {spark.createDataFrame([], f'x {t}').schema['x'].dataType.simpleString()}" for n, t in names.items())
+
+    kind = f"TABLE ({listed(returns)})" if isinstance(returns, dict) else listed({"x": returns}).removeprefix("`x` ")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({listed(parameters)}) RETURNS {kind} RETURN {body}")
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Evaluate a bound table once.  The rows are written to the shared folder, so
     a lost executor does not evaluate it again; a stream is returned as it is."""

@@ -1,5 +1,7 @@
 """Registered queries on table operators, sources, sinks and flows, with the same in SQL."""
 
+import warnings
+
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import functions as F
@@ -109,6 +111,51 @@ def t_geo_location(spark, d):
     return op.geo_location(events, "address", ranges).select("event_id", "address", "place")
 
 
+def t_geo_location_nested(spark, d):
+    """Ranges within ranges, of which the narrowest counts, one hot address and records without one."""
+    customers = table(spark, d, "customer")
+    ranges = customers.select((c("c_custkey") * 4).alias("lo"), (c("c_custkey") * 4 + 2).alias("hi"), c("c_custkey").alias("place")).unionByName(
+        customers.select((c("c_custkey") * 40).alias("lo"), (c("c_custkey") * 40 + 39).alias("hi"), (-c("c_custkey")).alias("place")))
+    address = F.when(c("event_id") % 3 == 0, 42).when(c("event_id") % 3 == 1, c("user_id"))
+    return op.geo_location(table(spark, d, "events").select("event_id", address.alias("address")), "address", ranges).select(
+        "event_id", "address", "place")
+
+
+def t_ip_location(spark, d):
+    """Text addresses of both versions in networks of several lengths."""
+    key = c("c_custkey")
+    customers = table(spark, d, "customer").filter(key % 3 == 0)
+    networks = customers.select(F.concat_ws(".", F.lit("10"), (key % 200).cast("string"), F.floor(key / 200).cast("string"), F.lit("0/24")).alias("network"),
+                                key.alias("place")).unionByName(
+        table(spark, d, "supplier").filter("s_suppkey < 200").select(
+            F.concat(F.lit("10."), c("s_suppkey").cast("string"), F.lit(".0.0/16")).alias("network"), (-c("s_suppkey")).alias("place"))).unionByName(
+        customers.select(F.concat(F.lit("2001:DB8:"), F.hex(key), F.lit("::/48")).alias("network"), (key + 10**6).alias("place")))
+    user = c("user_id")
+    address = F.when(c("event_id") % 7 == 0, "10.1.2").when(c("event_id") % 5 == 0, F.concat(F.lit("2001:db8:"), F.hex(user), F.lit(":0::1"))).when(
+        c("event_id") % 5 == 1, F.concat(F.lit("::ffff:10."), (user % 220).cast("string"), F.lit(".0.9"))).otherwise(
+        F.concat_ws(".", F.lit("10"), (user % 220).cast("string"), (c("event_id") % 8).cast("string"), F.lit("7")))
+    return op.ip_location(table(spark, d, "events").select("event_id", address.alias("address")), "address", networks).select("event_id", "place")
+
+
+def t_let_function(spark, d):
+    """A scalar and a table function that SQL text calls."""
+    op.let("events_of_let", table(spark, d, "events").select("event_id", "event_type", "value"))
+    op.let_function(spark, "level_of", {"x": "double", "most": "int"}, "string", "CASE WHEN x > most THEN 'high' WHEN x > most / 2 THEN 'middle' ELSE 'low' END")
+    op.let_function(spark, "events_over", {"least": "double"}, {"id": "bigint", "kind": "string", "v": "double"},
+                    "SELECT event_id, event_type, value FROM events_of_let WHERE value > least")
+    return spark.sql("SELECT id, kind, level_of(v, 150) AS level FROM events_over(40.0D)")
+
+
+def t_parse_limit(spark, d):
+    """A pattern with more captures than the language allows works, and warns."""
+    wanted = [x for i in range(11) for x in ((f"c{i}", "string"), " ")]
+    df = table(spark, d, "events").select("event_id", F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: i + c("event_id"))).alias("line"))
+    with warnings.catch_warnings(record=True) as found:
+        warnings.simplefilter("always")
+        out = op.parse(df, "line", *wanted, ("rest", "string"))
+    return out.select("event_id", "c0", "c10", "rest", F.lit(len(found)).alias("warnings"))
+
+
 # Sources and sinks -----------------------------------------------------------
 
 def _pushed(spark, d):
@@ -136,6 +183,14 @@ def r_conform_rejected(spark, d):
     return rejected.select("event_id", "Number")
 
 
+def r_conform_once(spark, d):
+    """Good rows and rejected ones with their causes, from one pass."""
+    good, rejected = so.conform_once(_pushed(spark, d), so.declared_schema(EVENT_COLUMNS), fresh_path(spark, "conformed"))
+    bad = rejected.select("event_id", F.explode("_causes").alias("e")).select("event_id", "e.*")
+    return good.groupBy().agg(F.count("*").alias("event_id")).select(
+        "event_id", *[F.lit(None).cast("string").alias(n) for n in ("column", "cause", "value")]).unionByName(bad)
+
+
 def r_declared_stream(spark, d):
     schema = so.declared_schema([{"name": "o_orderkey", "type": "long"}, {"name": "o_orderdate", "type": "DateTime"},
                                  {"name": "o_totalprice", "type": "double"}, {"name": "Comment", "type": "dynamic"}])
@@ -149,6 +204,19 @@ def r_table_stream(spark, d):
     return so.table_stream(spark, "Microsoft-Table-SupplierLog").select("s_suppkey", "s_name")
 
 
+def r_table_stream_stream(spark, d):
+    """An existing table that grows between two triggers of the stream that reads it."""
+    folder, name = _sink_name(spark, "SupplierLog")
+    out, ckpt = fresh_path(spark, "suppliers"), fresh_path(spark, "ckpt")
+    rows = table(spark, d, "supplier").select("s_suppkey", "s_name")
+    spark.createDataFrame([], rows.schema).write.format("parquet").option("path", folder).saveAsTable(name)
+    for part in (rows.filter("s_suppkey % 2 = 0"), rows.filter("s_suppkey % 2 = 1")):
+        part.write.mode("append").saveAsTable(name)
+        _run(so.table_stream(spark, f"Microsoft-Table-{name}", streaming=True).writeStream.format("parquet").option("checkpointLocation", ckpt)
+             .trigger(availableNow=True).start(out))
+    return spark.read.parquet(out)
+
+
 def r_select_levels(spark, d):
     df = op.project_rename(table(spark, d, "events"), Facility="event_type")
     df = op.extend(df, SeverityLevel=k.case(c("value") > 100, "Error", c("value") > 50, "Warning", "info"))
@@ -466,7 +534,8 @@ QUERIES = {
         r_text_log_split, r_text_log_stream, r_json_log, r_json_log_stream, r_log_table_sink, r_metrics_sink,
         r_run_flows, r_run_flows_stream, r_flows_two_rules, r_flows_same_destination_twice, r_metrics_two_schemas,
         r_log_streams_text, r_log_streams_two_entries, r_log_streams_json, r_text_log_no_start, t_parse_no_match,
-        r_text_log_tail, r_flows_committed, r_fleet_flows)
+        r_text_log_tail, r_flows_committed, r_fleet_flows, t_geo_location_nested, t_ip_location, t_let_function, t_parse_limit,
+        r_conform_once, r_table_stream_stream)
 }
 
 _RECORDS = """
@@ -522,6 +591,29 @@ ORACLE = {
     "t_geo_location": """
         SELECT event_id, user_id AS address, c_nationkey AS place FROM events
         LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON user_id BETWEEN c_custkey * 2 AND c_custkey * 2 + 1""",
+    "t_geo_location_nested": """
+        WITH e AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 42 WHEN 1 THEN user_id END AS address FROM events),
+             r AS (SELECT c_custkey * 4 AS lo, c_custkey * 4 + 2 AS hi, c_custkey AS place FROM customer
+                   UNION ALL SELECT c_custkey * 40, c_custkey * 40 + 39, -c_custkey FROM customer),
+             a AS (SELECT DISTINCT address FROM e),
+             f AS (SELECT address, arg_min(place, hi - lo) AS place FROM a JOIN r ON address BETWEEN lo AND hi GROUP BY address)
+        SELECT event_id, address, place FROM e LEFT JOIN f USING (address)""",
+    "t_ip_location": """
+        WITH e AS (SELECT event_id, user_id, event_id % 7 AS bad, event_id % 5 AS kind, CASE event_id % 5 WHEN 1 THEN 0 ELSE event_id % 8 END AS third FROM events),
+             n AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 = 0)
+        SELECT event_id, CASE WHEN bad = 0 THEN NULL WHEN kind = 0 THEN six.k + 1000000 ELSE coalesce(four.k, -s_suppkey) END AS place FROM e
+        LEFT JOIN n six ON kind = 0 AND six.k = user_id
+        LEFT JOIN n four ON four.k % 200 = user_id % 220 AND four.k // 200 = third
+        LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey < 200) ON s_suppkey = user_id % 220""",
+    "t_let_function": """
+        SELECT event_id AS id, event_type AS kind, CASE WHEN value > 150 THEN 'high' WHEN value > 75 THEN 'middle' ELSE 'low' END AS level
+        FROM events WHERE value > 40""",
+    "t_parse_limit": """
+        SELECT event_id, event_id::VARCHAR AS c0, (event_id + 10)::VARCHAR AS c10, (event_id + 11)::VARCHAR AS rest, 1 AS warnings FROM events""",
+    "r_conform_once": """
+        SELECT count(*) AS event_id, NULL AS "column", NULL AS cause, NULL AS value FROM events WHERE user_id % 10 <> 3
+        UNION ALL SELECT event_id, 'Number', 'not a int', 'many' FROM events WHERE user_id % 10 = 3""",
+    "r_table_stream_stream": "SELECT s_suppkey, s_name FROM supplier",
     "r_declared_schema": """
         SELECT event_type AS "Kind", count(*) AS n, "column", "type" FROM events,
                (VALUES ('TimeGenerated', 'timestamp'), ('Kind', 'string'), ('Value', 'double'), ('Number', 'int')) v("column", "type")

@@ -66,3 +66,33 @@ def conform(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
             bad = bad | (F.col(name).isNotNull() & value.isNull())
     good = df.filter(~bad).select(*[value.alias(name) for name, value in values.items()])
     return good, df.filter(bad)
+
+
+def conform_tagged(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Every row once: the declared columns, ``_causes`` and ``_record``.
+
+    ``_causes`` lists, as (column, cause, value), the values that will not cast; it is empty for rows that conform.
+    ``_record`` is the row as it came, for rows that don't; their declared columns are null.
+    """
+    values = {f.name: (_converted(df, f), f.metadata.get("declared", f.dataType.simpleString())) for f in schema.fields}
+    causes = F.array_compact(F.array(*[
+        F.when(F.col(name).isNotNull() & value.isNull(), F.struct(
+            F.lit(name).alias("column"), F.lit(f"not a {kind}").alias("cause"), F.col(name).cast("string").alias("value")))
+        for name, (value, kind) in values.items() if name in df.columns] or [F.lit(None).cast("struct<column:string,cause:string,value:string>")]))
+    good = F.size("_causes") == 0
+    tagged = df.withColumn("_causes", causes).withColumn("_record", F.when(~good, F.struct(*[F.col(c) for c in df.columns])))
+    return tagged.select(*[F.when(good, value).alias(name) for name, (value, _) in values.items()], "_causes", "_record")
+
+
+def conform_once(df: DataFrame, schema: T.StructType, folder: str) -> tuple[DataFrame, DataFrame]:
+    """What ``conform`` gives, with causes, from one pass over the source.
+
+    Both kinds of rows are written by one job to ``folder``, by status, and read back: the good rows, and the
+    rejected ones as they came with ``_causes``.
+    """
+    tagged = conform_tagged(df, schema)
+    status = F.when(F.size("_causes") == 0, "good").otherwise("rejected")
+    tagged.withColumn("_status", status).write.partitionBy("_status").mode("overwrite").parquet(folder)
+    rows = df.sparkSession.read.schema(T.StructType([*tagged.schema.fields, T.StructField("_status", T.StringType())])).parquet(folder)
+    good = rows.filter(F.col("_status") == "good").select(*schema.names)
+    return good, rows.filter(F.col("_status") == "rejected").select("_record.*", "_causes")
