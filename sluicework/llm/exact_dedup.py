@@ -7,9 +7,9 @@ none of which holds more than a fraction ``support`` of the rows, are grouped an
 by an ordinary shuffle of narrow rows.
 
 Null text counts as empty, and empty texts are equal to each other.  Of equal texts the
-longest row stays, then the smallest ``doc_id``; a null ``doc_id`` comes last.  Rows that
-also agree in length and ``doc_id`` are one document: each of them is kept.  An empty
-table gives an empty result.  Further columns of the input are not read.
+longest row stays, then the smallest ``doc_id``; a null ``doc_id`` comes last.  Of rows that
+also agree in length and ``doc_id`` the first by place in the input stays, so that one row of each group is kept.
+Texts of any length are read whole.  An empty table gives an empty result.  Further columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -28,12 +28,13 @@ MERGES = 256
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Per document its digest without white space, and its length in code points."""
+    """Per document its digest without white space, its length in code points, and a number for the row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         "doc_id",
         F.sha2(F.regexp_replace(text, f"[{SPACE}]+", ""), 256).alias("digest"),
         F.length(text).cast("long").alias("n_chars"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
@@ -57,9 +58,9 @@ def frequent(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
 
 def winners(rows: DataFrame) -> DataFrame:
     """Per digest the row that stays and the number of rows."""
-    first = F.min(F.struct((-F.col("n_chars")).alias("shorter"), F.col("doc_id").isNull().alias("unknown"), "doc_id"))
+    first = F.min(F.struct((-F.col("n_chars")).alias("shorter"), F.col("doc_id").isNull().alias("unknown"), "doc_id", "row"))
     return rows.groupBy("digest").agg(first.alias("first"), F.count("*").alias("group_size")).select(
-        "digest", "group_size", F.col("first.doc_id").alias("keep_id"), (-F.col("first.shorter")).alias("keep_chars"))
+        "digest", "group_size", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"))
 
 
 def exact_dedup(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
@@ -75,5 +76,5 @@ def exact_dedup(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     both = settled.unionByName(rest.join(winners(rest), "digest"))
     return both.select(
         "doc_id", "keep_id", "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))).alias("kept"),
+        (F.col("row") == F.col("keep_row")).alias("kept"),
         F.col("digest").alias("text_sha256"))

@@ -19,6 +19,7 @@ each; further columns are not read.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -32,7 +33,9 @@ from sluicework.llm.toxicity import held_out
 PROFILE = 400
 UNKNOWN = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
+# Python's \w takes signs for numbers, such as ½ and ②, that are no letters.
+_SIGNS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{_SIGNS}]+")
 _MARK = ord("_")
 
 

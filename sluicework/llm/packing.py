@@ -121,7 +121,16 @@ def pieces(docs: DataFrame, vocabulary: str, ranks: str, size: int = SIZE, end_i
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths and how many sequences have each; work and result don't depend on the counts."""
+    """Patterns of lengths and how many sequences have each; the work doesn't depend on the counts.
+
+    Exact fills can use up small pieces that gaps would need later on, so that best fit alone is tried too,
+    and the plan with fewer sequences holds.
+    """
+    return min(exact_fit(counts, size), best_fit(counts, size), key=lambda made: sum(times for _, times in made))
+
+
+def exact_fit(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
+    """Combinations that fill a sequence exactly, as often as pieces last, then best fit."""
     left = {n: c for n, c in counts.items() if c}
     made: list[tuple[tuple[int, ...], int]] = []
 
@@ -218,22 +227,22 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]
 
 
 def numbered(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
-    """The pieces with their number among those of their length, from 0; a frequent length is dealt to many tasks."""
+    """The pieces with their number among those of their length, from 0; a frequent length is dealt to many tasks, by row."""
     parts = rows.sparkSession.createDataFrame(
         [(n, -(-c // NUMBERED_TOGETHER)) for n, c in counts.items()], "length bigint, _parts int")
     rows = rows.join(F.broadcast(parts), "length").withColumn(
-        "_part", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_parts")).cast("int"))
+        "_part", F.pmod(F.xxhash64("_row"), F.col("_parts")).cast("int"))
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("length", "_part").count().select(
         "length", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("length", "_part").orderBy("doc_id", "piece")
+    own = Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "_row")
     return rows.withColumn("_own", F.row_number().over(own) - 1).join(offsets, ["length", "_part"]).withColumn(
         "_number", F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
 
 
 def best_fit_packing(docs: DataFrame, vocabulary: str, ranks: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = written(pieces(docs, vocabulary, ranks, size, end_id))
+    cut = written(pieces(docs, vocabulary, ranks, size, end_id).withColumn("_row", F.monotonically_increasing_id()))
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``size`` rows
     found = cut.sparkSession.sparkContext.broadcast(places(plan(counts, size)))
 
@@ -248,7 +257,7 @@ def best_fit_packing(docs: DataFrame, vocabulary: str, ranks: str, size: int = S
                 offset[mine] = row[:, 2]
             yield batch.drop(columns="_number").assign(sequence_id=sequence, offset=offset)
 
-    rows = numbered(cut, counts).select(*cut.columns, "_number")
+    rows = numbered(cut, counts).drop("_row").select(*[c for c in cut.columns if c != "_row"], "_number")
     kind = cut.schema["doc_id"].dataType.simpleString()
     # pandas has no null for whole numbers: ids go through as text
     return rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(

@@ -49,18 +49,23 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_exact_dedup(odd, none):
+def test_exact_dedup(spark, odd, none):
     docs = [(r.doc_id, r.text or "") for r in odd.collect()]
     groups = {}
     for i, t in docs:
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t), []).append((-len(t), i is None, i or 0))
-    for r in exact_dedup(odd).collect():
+    rows = exact_dedup(odd).collect()
+    assert sum(r.kept for r in rows) == len(groups) and len(rows) == len(docs)
+    for r in rows:
         text = next(t for i, t in docs if i == r.doc_id)
         norm = re.sub(r"[\x20\x09-\x0D]", "", text)
         first = min(groups[norm])
         assert (r.group_size, r.text_sha256) == (len(groups[norm]), hashlib.sha256(norm.encode()).hexdigest())
-        assert r.keep_id == (None if first[1] else first[2]) and r.kept == ((-len(text), r.doc_id is None, r.doc_id or 0) == first)
+        assert r.keep_id == (None if first[1] else first[2]) and (not r.kept or (-len(text), r.doc_id is None, r.doc_id or 0) == first)
     assert exact_dedup(none).count() == 0
+    same = spark.createDataFrame([(1, "a b"), (1, "a\tb"), (1, "a b"), (None, "c"), (None, "c")], "doc_id long, text string")
+    assert sorted((r.text_sha256, r.group_size, r.kept) for r in exact_dedup(same).collect()) == sorted(
+        (hashlib.sha256(t).hexdigest(), n, k == 0) for t, n in ((b"ab", 3), (b"c", 2)) for k in range(n))
 
 
 def test_heavy_digests(spark):
@@ -340,10 +345,10 @@ def test_language(spark, odd, none):
     draw = random.Random(8)
     vocabulary_ = {"en": ["the", "and", "thing", "with"], "de": ["der", "und", "schon", "nicht"], "fr": ["les", "est", "pour", "dans"]}
     rows = [(i, " ".join(draw.choices(vocabulary_[lang], k=30)), lang) for i in range(300) for lang in [draw.choice([*vocabulary_])]]
-    rows += [(1000, None, "en"), (1001, "12 34 !", "en"), (1002, "der und schon", None)]
+    rows += [(1000, None, "en"), (1001, "12 34 !", "en"), (1002, "der und schon", None), (1003, "½ ② Ⅷ ²", "en")]
     found = {r.doc_id: r for r in language.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert all(found[i].lang_pred == lang for i, _, lang in rows[:300]) and found[1002].lang_pred == "de"
-    assert [found[i][2:] for i in (1000, 1001)] == [("und", 0.0)] * 2
+    assert [found[i][2:] for i in (1000, 1001, 1003)] == [("und", 0.0)] * 3
     assert found[7].held_out == (zlib.crc32(b"7") % 4 == 2)
     assert language.language_id(odd).count() == odd.count() and language.language_id(none).count() == 0
     counted = dict(zip(*language.grams({"ab": 2, "b": 1}), strict=True))
@@ -393,6 +398,7 @@ def test_packing_plan():
             for n in pattern:
                 used[n] += times
         assert used == counts
+        assert sum(times for _, times in made) <= sum(times for _, times in packing.best_fit(counts, 64))
     assert packing.plan({40: 3, 24: 2, 12: 2}, 64) == [((40, 24), 2), ((40, 12, 12), 1)]
     assert packing.plan({30: 1, 20: 1, 10: 1, 4: 1}, 64) == [((30, 20, 10, 4), 1)]
 
