@@ -14,7 +14,7 @@ stays itself or not, so that the result doesn't depend on how the work is split.
    similar class must share one of.  Classes that aren't settled meet the earlier ones on
    equal words; length, position and a 64-bit signature of the set rule most pairs out.  Of the rest
    each class is verified, on the lines' words, with the likeliest earlier one first, and with the others
-   if that one isn't similar.  No pair is lost.
+   that 15-bit hashes of all words don't rule out if that one isn't similar.  No pair is lost.
 5. All lines of a class go but the first, and that one too if its class was matched.
 
 Lines without a word stay and are never compared.  Null text has no lines and stays null.
@@ -100,7 +100,7 @@ def described(docs: DataFrame, levels: Column) -> DataFrame:
     def told(line: Column, level: Column) -> Column:
         return let(numbers(line, level), lambda coded: F.struct(
             F.struct(F.xxhash64(coded).alias("a"), F.xxhash64(F.lit(1), coded).alias("b")).alias("key"), F.size(coded).alias("n"),
-            signature(coded).alias("sig"), *[minhash(coded, k).alias(f"mh{k}") for k in range(SETTLE)],
+            signature(coded).alias("sig"), F.transform(coded, lambda x: x.bitwiseAND(F.lit(0x7FFF)).cast("smallint")).alias("short"), *[minhash(coded, k).alias(f"mh{k}") for k in range(SETTLE)],
             F.slice(coded, F.lit(1), prefix_length(F.size(coded))).alias("prefix")))
 
     # The levels are one value for all rows; a subquery may not stand inside the functions on arrays, but a column
@@ -113,7 +113,7 @@ def described(docs: DataFrame, levels: Column) -> DataFrame:
 
 def classes(lines_: DataFrame) -> DataFrame:
     """One row per set of words: its first line's place, number of lines, and what describes it."""
-    same = ["n", "sig", *[f"mh{k}" for k in range(SETTLE)], "prefix"]
+    same = ["n", "sig", "short", *[f"mh{k}" for k in range(SETTLE)], "prefix"]
     return lines_.groupBy("key").agg(
         F.min(F.struct(*PLACE)).alias("_place"), F.count("*").alias("members"), *[F.first(c).alias(c) for c in same],
     ).select("key", "_place.*", "members", *same)
@@ -131,6 +131,12 @@ def possible(n: Column, m: Column, sig_x: Column, sig_y: Column) -> Column:
     return (num * n <= den * m) & (num * m <= den * n) & (F.bit_count(sig_x.bitwiseXOR(sig_y)) <= n + m - 2 * overlap_needed(n, m))
 
 
+def likely() -> Column:
+    """Whether the 15-bit hashes of two sets' words allow them to be similar; words that share a hash count in favour."""
+    shared = F.size(F.array_intersect("x_short", "y_short"))
+    return shared + F.col("x_n") - F.size(F.array_distinct("x_short")) >= overlap_needed(F.col("x_n"), F.col("y_n"))
+
+
 def pair(x: str, y: str) -> list[Column]:
     """The places of an earlier and a later line."""
     return [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in (x, y) for c in PLACE]
@@ -198,7 +204,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         likeliest = table(met.groupBy("y").agg(F.min_by("x", F.struct("differ", "x")).alias("likeliest")))
         found = table(verified(placed_pairs(likeliest.select(F.col("likeliest").alias("x"), "y")), lines_))
         open_ = likeliest.join(sets.join(found, PLACE).select(F.col("id").alias("y")), "y", "left_anti")
-        rest = placed_pairs(met.join(open_, "y").where("x <> likeliest").select("x", "y"))
+        rest = met.join(open_, "y").where("x <> likeliest").select("x", "y")
+        for s in "xy":
+            rest = rest.join(sets.select(*[F.col(c).alias(s if c == "id" else f"{s}_{c}") for c in ("id", "n", "short")]), s)
+        rest = placed_pairs(rest.where(likely()).select("x", "y"))
         kept = table(sets.select("key", *PLACE, "members"))
         table.drop(sets, met)
         matched = table(settled.unionByName(found).unionByName(verified(rest, lines_)))
