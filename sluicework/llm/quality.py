@@ -139,11 +139,13 @@ def quality_rules(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> Data
 def keep_good(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
     """The documents that pass, with all their columns.
 
-    Texts are measured a second time rather than shuffled to be joined with their verdicts.
+    Measured once: the documents that pass by themselves are written with their measures' verdicts, of the others only
+    what their hosts are judged by.
     """
-    rejected = rejected_hosts(host_rates(_judged(docs)), max_host_rate)
     columns = docs.columns
-    rows = docs.select(F.struct(*columns).alias("_row"), "doc_id", "text", F.col("source").alias("_source"))
-    passed = measures(rows).where(~failures()["base"]).select("_row", "doc_id", "_source")
-    return mark_rejected(passed, "_source", rejected, "_rejected").where(~F.col("_rejected")).select(
+    rows = docs.select(F.struct(*columns).alias("_row"), "doc_id", "text", F.col("source").alias("host"))
+    judged = measures(rows).withColumns(failures()).select("doc_id", "host", *RULES, F.when(~F.col("base"), F.col("_row")).alias("_row"))
+    judged = written(judged)
+    passed = judged.where(~F.col("base")).select("_row", "doc_id", "host")
+    return mark_rejected(passed, "host", rejected_hosts(host_rates(judged), max_host_rate), "_rejected").where(~F.col("_rejected")).select(
         *[F.col("_row").getField(c).alias(c) for c in columns])

@@ -82,10 +82,11 @@ class Model:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` labelled documents, of those that may be learned from."""
+    """At most ``most`` labelled documents, of those that may be learned from; of rows with one doc_id the least text."""
     picked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(3, 1)).groupBy("doc_id").agg(
         (F.max("toxic") > 0).alias("toxic")).orderBy(F.xxhash64("doc_id")).limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:

@@ -51,11 +51,13 @@ def records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     # At most 1 / HOT payloads can be so frequent: a bounded broadcast.
     hot = repeated.where(F.col("n") >= HOT * total).drop("n")
     cold = repeated.where(F.col("n") < HOT * total).drop("n")
-    settled = rows.join(F.broadcast(hot), "payload_digest")
-    others = rows.join(F.broadcast(hot.select("payload_digest")), "payload_digest", "left_anti").join(
+    small = rows.where(F.col("payload_bytes") < min_revisit).withColumn("first", F.lit(None).cast("long"))  # all null html, too: never joined
+    large = rows.where(F.col("payload_bytes") >= min_revisit)
+    settled = large.join(F.broadcast(hot), "payload_digest")
+    others = large.join(F.broadcast(hot.select("payload_digest")), "payload_digest", "left_anti").join(
         cold, "payload_digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return settled.unionByName(others).select(
+    return settled.unionByName(others).unionByName(small).select(
         "page_id", "url", "html", "payload_bytes", "payload_digest",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("first")).alias("refers_to"))
