@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicework.llm import line_dedup, ngram_join, packing, quality, toxicity
-from sluicework.llm.common import table
+from sluicework.llm.common import table, written
 from sluicework.llm.queries import vocabulary
-from sluicework.session import fresh_path
+from sluicework.session import fresh_path, remove
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,12 +60,16 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = fresh_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            remove(spark, before)  # its rows have been read for the last time
+        docs, before = spark.read.parquet(path), path
+    result = written(STAGES[-1][1](spark, docs, sf_dir))
+    remove(spark, before)
+    return result
 
 
 QUERIES = {"pipeline": run}
