@@ -33,7 +33,7 @@ from sluicework.llm.packing import chunks
 MARK = "▁"
 #: States of the forward pass: the empty prefix, and one that ends with a character the model doesn't have.
 START, UNKNOWN = -1, -2
-#: Words and pairs of pieces that a Python worker remembers.
+#: Words, in either of two generations, and pairs of pieces that a Python worker remembers.
 REMEMBERED_WORDS = 300_000
 REMEMBERED_PAIRS = 500_000
 
@@ -55,8 +55,11 @@ class Model:
         self.bytes = [t.replace(MARK, " ").encode() if normal[i] else b"" for i, t in enumerate(self.texts)]
         for b, i in enumerate(self.byte_ids):
             self.bytes[i] = bytes([b])
+        self.sizes = [len(t) for t in self.texts]
+        self.raw = [i.to_bytes(4, "little") for i in range(n)]
         self.apart: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[int | str]:
         """The segmentation by merges: best score first, then leftmost. Unknown characters stay."""
@@ -96,7 +99,7 @@ class Model:
 
     def segment(self, words: list[str]) -> list[bytes]:
         """The ids, as bytes, of sorted distinct marked words."""
-        ids_of, known = self.ids.get, self.apart
+        ids_of, known, sizes, raw = self.ids.get, self.apart, self.sizes, self.raw
         out, before, states = [], "", [START]  # states[d]: last piece of the prefix of d characters
         for word in words:
             if word.startswith(MARK * 2):
@@ -123,9 +126,14 @@ class Model:
             before, at, ids = word, len(word), []
             while at:
                 piece = states[at]
-                ids.append(word[at - 1] if piece == UNKNOWN else piece)
-                at -= 1 if piece == UNKNOWN else len(self.texts[piece])
-            out.append(self.packed(ids[::-1]))
+                if piece == UNKNOWN:
+                    ids.append(self.packed([word[at - 1]]))
+                    at -= 1
+                else:
+                    ids.append(raw[piece])
+                    at -= sizes[piece]
+            ids.reverse()
+            out.append(b"".join(ids))
         return out
 
     def packed(self, ids: list[int | str]) -> bytes:
@@ -136,16 +144,17 @@ class Model:
                 flat += [self.byte_ids[b] for b in i.encode("utf-8", "surrogatepass")]
             else:
                 flat.append(i)
-        return np.asarray(flat, "<u4").tobytes()
+        return b"".join([self.raw[i] for i in flat])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
         split = [_marked(t) for t in texts]
-        new = {w for words in split for w in words if w not in self.words}
-        if len(self.words) + len(new) > REMEMBERED_WORDS:
-            self.words = {}
-            new = {w for words in split for w in words}
-        ordered = sorted(new)
+        if len(self.words) > REMEMBERED_WORDS:  # words that come again soon stay known
+            self.words, self.older = {}, self.words
+        new = {w for words in split for w in words}.difference(self.words)
+        old = {w: x for w in new if (x := self.older.get(w)) is not None}
+        self.words.update(old)
+        ordered = sorted(new.difference(old))
         self.words.update(zip(ordered, self.segment(ordered), strict=True))
         ids = self.words.__getitem__
         return [b"".join(map(ids, words)) for words in split]
