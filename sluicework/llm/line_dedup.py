@@ -100,7 +100,7 @@ def described(docs: DataFrame, levels: Column) -> DataFrame:
     def told(line: Column, level: Column) -> Column:
         return let(numbers(line, level), lambda coded: F.struct(
             F.struct(F.xxhash64(coded).alias("a"), F.xxhash64(F.lit(1), coded).alias("b")).alias("key"), F.size(coded).alias("n"),
-            signature(coded).alias("sig"), F.transform(coded, lambda x: x.bitwiseAND(F.lit(0x7FFF)).cast("smallint")).alias("short"), *[minhash(coded, k).alias(f"mh{k}") for k in range(SETTLE)],
+            signature(coded).alias("sig"), *[minhash(coded, k).alias(f"mh{k}") for k in range(SETTLE)],
             F.slice(coded, F.lit(1), prefix_length(F.size(coded))).alias("prefix")))
 
     # The levels are one value for all rows; a subquery may not stand inside the functions on arrays, but a column
@@ -113,7 +113,7 @@ def described(docs: DataFrame, levels: Column) -> DataFrame:
 
 def classes(lines_: DataFrame) -> DataFrame:
     """One row per set of words: its first line's place, number of lines, and what describes it."""
-    same = ["n", "sig", "short", *[f"mh{k}" for k in range(SETTLE)], "prefix"]
+    same = ["n", "sig", *[f"mh{k}" for k in range(SETTLE)], "prefix"]
     return lines_.groupBy("key").agg(
         F.min(F.struct(*PLACE)).alias("_place"), F.count("*").alias("members"), *[F.first(c).alias(c) for c in same],
     ).select("key", "_place.*", "members", *same)
@@ -166,10 +166,12 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         order = table(rarity(docs))
         lines_ = lines(docs)
         told = table(described(docs, order.scalar()))
-        ordered = classes(told).repartitionByRange(*PLACE).sortWithinPartitions(*PLACE)
-        sets = table(ordered.withColumn("id", F.monotonically_increasing_id()))  # in the order of the places
+        unordered = table(classes(told))
         members = table(told.select("key", *PLACE))
-        table.drop(told, order)  # of no use any more, and as large as the input
+        table.drop(told, order)  # tables go as soon as they can, since each may be as large as the input
+        ordered = unordered.repartitionByRange(*PLACE).sortWithinPartitions(*PLACE)
+        sets = table(ordered.withColumn("id", F.monotonically_increasing_id()))  # in the order of the places
+        table.drop(unordered)
 
         first = {}
         for k in range(SETTLE):
@@ -204,12 +206,17 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         likeliest = table(met.groupBy("y").agg(F.min_by("x", F.struct("differ", "x")).alias("likeliest")))
         found = table(verified(placed_pairs(likeliest.select(F.col("likeliest").alias("x"), "y")), lines_))
         open_ = likeliest.join(sets.join(found, PLACE).select(F.col("id").alias("y")), "y", "left_anti")
-        rest = met.join(open_, "y").where("x <> likeliest").select("x", "y")
+        rest = table(met.join(open_, "y").where("x <> likeliest").select("x", "y"))
+        table.drop(met)
+        either = rest.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+        short = F.transform(F.array_distinct(F.array_remove(words_of(F.col("line")), "")), lambda w: F.xxhash64(w).bitwiseAND(F.lit(0x7FFF)).cast("smallint"))
+        told = table(sets.join(either, "id").select("id", "n", *PLACE).join(lines_, PLACE).select("id", "n", short.alias("short")))
         for s in "xy":
-            rest = rest.join(sets.select(*[F.col(c).alias(s if c == "id" else f"{s}_{c}") for c in ("id", "n", "short")]), s)
-        rest = placed_pairs(rest.where(likely()).select("x", "y"))
+            rest = rest.join(told.select(*[F.col(c).alias(s if c == "id" else f"{s}_{c}") for c in ("id", "n", "short")]), s)
+        rest = placed_pairs(rest.where(likely()).select("x", "y").distinct())
+        table.drop(told)
         kept = table(sets.select("key", *PLACE, "members"))
-        table.drop(sets, met)
+        table.drop(sets)
         matched = table(settled.unionByName(found).unionByName(verified(rest, lines_)))
 
         # Whole classes go, or all but their first lines.
