@@ -94,7 +94,8 @@ def described(docs: DataFrame, levels: Column) -> DataFrame:
         return F.array_min(F.transform(coded, lambda x: F.shiftleft(x, 8).bitwiseXOR(F.lit(STIRS[k]))))
 
     def signature(coded: Column) -> Column:
-        return F.aggregate(coded, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function(
+        # Each word turns a bit over: what two sets share cancels out, so that signatures differ in at most as many bits as sets in words.
+        return F.aggregate(coded, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function(
             "shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
 
     def told(line: Column, level: Column) -> Column:
