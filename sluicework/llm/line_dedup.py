@@ -209,7 +209,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         open_ = likeliest.join(sets.join(found, PLACE).select(F.col("id").alias("y")), "y", "left_anti")
         rest = table(met.join(open_, "y").where("x <> likeliest").select("x", "y"))
         table.drop(met)
-        either = rest.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+        either = rest.select(F.col("x").alias("id")).distinct().unionByName(rest.select(F.col("y").alias("id")).distinct()).distinct()
         short = F.transform(F.array_distinct(F.array_remove(words_of(F.col("line")), "")), lambda w: F.xxhash64(w).bitwiseAND(F.lit(0x7FFF)).cast("smallint"))
         told = table(sets.join(either, "id").select("id", "n", *PLACE).join(lines_, PLACE).select("id", "n", short.alias("short")))
         for s in "xy":
