@@ -19,7 +19,6 @@ each; further columns are not read.
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 
 import numpy as np
@@ -33,12 +32,21 @@ from sluicework.llm.toxicity import held_out
 PROFILE = 400
 UNKNOWN = "und"
 
-# Python's \w takes signs for numbers, such as ½ and ②, that are no letters.
-_SIGNS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{_SIGNS}]+")
+_WORD = re.compile(r"[^\W\d_]+")
 _MARK = ord("_")
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text in small letters."""
+    text = text.lower()
+    words = _WORD.findall(text)
+    letters = "".join(words)
+    if not words or letters.isalpha():
+        return words
+    # Python's \w takes signs for numbers, such as ½ and ②, that are no letters; a pattern without them is tried range by range.
+    return _WORD.findall(text.translate({ord(c): " " for c in set(letters) if not c.isalpha()}))
+
+
 def grams(words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of some words and their counts.  An n-gram is the number that its code points make, of 21 bits each.
 
@@ -59,7 +67,7 @@ def grams(words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
 
 def profile(text: str | None, length: int = PROFILE) -> np.ndarray:
     """A text's most frequent n-grams, most frequent first."""
-    words = Counter(_WORD.findall((text or "").lower()))
+    words = Counter(words_of(text or ""))
     if not words:
         return np.empty(0, "int64")
     found, counts = grams(words)
@@ -74,7 +82,7 @@ def learn(docs: DataFrame, length: int = PROFILE) -> dict[str, np.ndarray]:
             for lang, texts in batch.groupby("lang")["text"]:
                 words: Counter = Counter()
                 for t in texts:
-                    words.update(_WORD.findall(t.lower()))
+                    words.update(words_of(t))
                 if words:
                     found, counts = grams(words)
                     yield pd.DataFrame({"lang": lang, "gram": found, "n": counts})
