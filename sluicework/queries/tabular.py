@@ -442,8 +442,9 @@ def r_fleet_flows(spark, d):
     pairs = flow_pairs(_fleet_of_rules(spark, d))
     run_fleet(events.limit(0), pairs, large, folder, ledger, run="one")
     run_fleet(events, pairs, large, folder, ledger, run="one")
-    return fleet_rows(spark, folder, ledger).groupBy("destination", "table", "rule", "flow").agg(
-        F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.min("value").alias("least"), F.max("value").alias("most"))
+    totals = [F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.min("value").alias("least"), F.max("value").alias("most")]
+    return fleet_rows(spark, folder, ledger, totals).groupBy("destination", "table", "rule", "flow").agg(
+        F.sum("n").alias("n"), F.sum("ids").alias("ids"), F.min("least").alias("least"), F.max("most").alias("most"))
 
 
 def _one_flow(*destinations, output="Custom-All_CL"):

@@ -108,6 +108,23 @@ def test_fleet(spark, tmp_path):
     assert fleet_rows(spark, str(tmp_path / "out"), ledger).count() == 0
 
 
+def test_shares_are_written_once(spark, tmp_path):
+    """However many flows take the same records; each flow gets them, alone or as totals."""
+    records = spark.createDataFrame([(1, "Custom-0"), (1, "Custom-0"), (None, "Custom-0"), (7, "Custom-1"), (9, None)], "id long, stream string")
+    rules = fleet(spark, 300).unionByName(fleet(spark, 2))  # two rules are there twice
+    ledger, out = so.Ledger(str(tmp_path / "ledger")), str(tmp_path / "out")
+    for run, some in (("a", records), ("a", records), ("b", records.limit(0))):
+        run_fleet(some, flow_pairs(rules), {"half": half}, out, ledger, run)
+    assert spark.read.parquet(f"{out}/rows").where("_run like 'a%'").count() == 2 * (4 + 4)
+    keys = ["run", "destination", "table", "rule", "flow", "stream"]
+    totals = [F.count("*").alias("n"), F.sum("id").alias("ids"), F.max("half").alias("most")]
+    whole = fleet_rows(spark, out, ledger)
+    found = fleet_rows(spark, out, ledger, totals)
+    assert found.columns == [*keys, "n", "ids", "most"]
+    assert sorted(found.collect(), key=str) == sorted(whole.groupBy(*keys).agg(*totals).collect(), key=str)
+    assert whole.groupBy("destination").count().orderBy("destination").collect() == [("far", 300 * 4), ("near", 100 * 4)]
+
+
 def test_fleet_checks(spark, tmp_path):
     records, ledger = spark.createDataFrame([(1, "Custom-0")], "id long, stream string"), so.Ledger(str(tmp_path / "ledger"))
     pairs, out = flow_pairs(fleet(spark, 1)), str(tmp_path / "out")
