@@ -1,5 +1,6 @@
 """Repeated bodies, versions of documents, and totals of days."""
 
+import importlib
 import random
 
 import pytest
@@ -12,6 +13,9 @@ from sluicework.plans import (
 from sluicework.plans.findings import to_rows
 from sluicework.streaming import total_stream, totals
 
+# The package gives its function ``totals`` under the module's name.
+stream_totals = importlib.import_module("sluicework.streaming.totals")
+
 TEXTS = ["source", None, "", "T | sort by a", "source | extend x = my_fn(1) | sort by b", "source | where a == 'b'"]
 
 
@@ -62,3 +66,22 @@ def test_codes_of_a_range_of_days(spark):
         assert rows.keys() == want.keys() and all(
             rows[c][0] == n and abs(rows[c][1] - docs) <= 0.05 * docs for c, (n, docs) in want.items())
     assert codes_of_range(days, "2025-01-01", "2025-01-02").count() == 0
+
+
+def test_state_is_kept_by_buckets(spark, tmp_path, monkeypatch):
+    """A bucket's documents are one row of the state, whatever their ids are; totals follow each of them."""
+    monkeypatch.setattr(stream_totals, "BUCKETS", 3)
+    last = {}
+    for batch in range(3):
+        rows = [(None if k == 0 else f"d{k}", batch if k % 2 else -batch, TEXTS[3 + (k + batch) % 3]) for k in range(40)]
+        rows += [(doc, at - 9, "T | sort by late") for doc, at, _ in rows[:10]]
+        for doc, at, text in rows:
+            if doc not in last or at > last[doc][0]:
+                last[doc] = (at, text)
+        spark.createDataFrame(rows, "doc_id string, at int, body string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("doc_id string, at int, body string").parquet(str(tmp_path / "in"))
+        query = total_stream(stream, judge_queries, str(tmp_path / "out"), str(tmp_path / "ckpt"))
+        query.awaitTermination()
+        assert sum(op["numRowsTotal"] for op in query.lastProgress["stateOperators"]) <= 3
+        fleet = spark.createDataFrame([(d or "", t) for d, (_, t) in last.items()], "doc_id string, body string")
+        assert sorted(totals(spark, str(tmp_path / "out")).collect()) == sorted(findings_by_code(audit_queries(fleet)).collect())
