@@ -34,8 +34,10 @@ MARK = "▁"
 #: States of the forward pass: the empty prefix, and one that ends with a character the model doesn't have.
 START, UNKNOWN = -1, -2
 #: Words, in either of two generations, and pairs of pieces that a Python worker remembers.
-REMEMBERED_WORDS = 300_000
-REMEMBERED_PAIRS = 500_000
+REMEMBERED_WORDS = 60_000
+REMEMBERED_PAIRS = 300_000
+#: Rows of a batch that are worked on at a time.
+ROWS = 500
 
 
 class Model:
@@ -187,6 +189,13 @@ def model(path: str) -> Model:
     return Model(path)
 
 
+def _slices(batches):
+    """Batches of fewer rows, so that a worker's memory doesn't go by the cluster's size of batches."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """The rows with ``ids`` (array of int) and ``ids_crc32`` (of the ids as unsigned little-endian 32-bit numbers)."""
 
@@ -194,7 +203,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def coded(batches):
         m = model(path)
-        for batch in batches:
+        for batch in _slices(batches):
             texts, at = batch.column("text").to_pylist(), 0
             for part in chunks(texts):
                 out = m.encode(part)
@@ -218,7 +227,7 @@ def decode(rows: DataFrame, path: str, to: str = "decoded") -> DataFrame:
 
     def spelt(batches):
         m = model(path)
-        for batch in batches:
+        for batch in _slices(batches):
             column = batch.column("ids")
             flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
             texts = [None if not ok else m.decode(flat[a:b].tolist())

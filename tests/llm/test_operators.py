@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,6 +250,17 @@ def test_pieces(spark, odd, none):
     assert pieces.decode(pieces.encode(none, path), path).count() == 0
 
 
+def test_pieces_in_little_memory():
+    """What a worker remembers and works on at a time doesn't grow with the distinct words or the batch."""
+    model = pieces.Model(vocabulary("piece_bpe_32k.model"))
+    for at in range(0, 250_000, 10_000):
+        model.encode([" ".join(f"q{i}" for i in range(at, at + 10_000))])
+        assert len(model.words) + len(model.older) <= 150_000
+    batch = pa.RecordBatch.from_pydict({"text": [None, *map(str, range(1200))]})
+    parts = [*pieces._slices([batch, batch.slice(0, 0)])]
+    assert max(p.num_rows for p in parts) <= 500 and pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+
+
 def test_sharding(spark, odd, none):
     names = [f"s{i}" for i in range(10)]
     table = sharding.fill(names, 1009)
