@@ -7,14 +7,16 @@ stays itself or not, so that the result doesn't depend on how the work is split.
 
 1. Words are counted over all documents, in a table of ``SLOTS`` hash slots; a word is as
    rare as its slot.  Any order would give the same result, this one gives it soonest.
-2. Lines with the same set form a class, which its first line stands for.
+2. Documents are numbered in the order of ``doc_id`` and text, so that a number names a line and its place.
+   Lines with the same set form a class, which its first line stands for.
 3. Classes that share a MinHash value are compared with the first of them.  What is
    similar to it is settled, which is nearly all of a large group of near copies.
 4. The prefix join: a class has a row for each of its rarest words, as many as any
    similar class must share one of.  Classes that aren't settled meet the earlier ones on
-   equal words; length, position and a 64-bit signature of the set rule most pairs out.  Of the rest
-   each class is verified, on the lines' words, with the likeliest earlier one first, and with the others
-   that 15-bit hashes of all words don't rule out if that one isn't similar.  No pair is lost.
+   equal words; length, position and signatures of the sets rule most pairs out.  A signature has 64 bits, and
+   256 for sets of ``LONG`` words, since in 64 bits large sets would look alike.  Of the rest each class is
+   verified, on the lines' words, with the likeliest earlier one first, and with the others if that one isn't
+   similar.  No pair is lost.
 5. All lines of a class go but the first, and that one too if its class was matched.
 
 Lines without a word stay and are never compared.  Null text has no lines and stays null.
@@ -32,14 +34,16 @@ from sluicework.llm.common import SPACE, let, row_key, tables, with_group, writt
 
 #: Similarity from which a line is a repetition, as a fraction.
 SIMILARITY = (4, 5)
-#: Counters for the rarity of words.
+#: Counters for the rarity of words, a power of two.
 SLOTS = 1 << 18
-#: MinHash values by which classes are compared with a first one.
-SETTLE = 2
-#: What stirs the words' hashes for each of them: random numbers.
-STIRS = (0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
+#: Bits of a word's hash in its code.
+HASH = (1 << 56) - 1
+#: Words from which a set's signature has 256 bits.
+LONG = 64
+#: Bits of a line's number for its place in the text, and of a document's number for its place in a partition.
+LINE_BITS, DOC_BITS = 24, 25
 
-PLACE = ["doc", "row", "line_no"]
+SIGNATURE = ["sig", "sig1", "sig2", "sig3"]
 
 
 def placed(docs: DataFrame) -> DataFrame:
@@ -48,20 +52,31 @@ def placed(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), row_key("doc_id", "text").alias("row"), "text")
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text, and empty ones; a split at a single character is far cheaper than one at a pattern."""
-    return F.split(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", " " * 5), " ")
+def numbered(docs: DataFrame) -> DataFrame:
+    """One row per different document: its row, its number (ord) in the order of doc and row, whether it occurs again."""
+    ordered = placed(docs).groupBy("doc", "row").agg((F.count("*") > 1).alias("again")).repartitionByRange("doc", "row").sortWithinPartitions("doc", "row")
+    n = F.monotonically_increasing_id()  # the partition above 33 bits
+    part, at = F.shiftright(n, 33), n.bitwiseAND(F.lit((1 << 33) - 1))
+    fits = (at < 1 << DOC_BITS) & (part < 1 << (63 - DOC_BITS - LINE_BITS))
+    return ordered.select("doc", "row", "again", F.when(fits, F.shiftleft(part, DOC_BITS).bitwiseOR(at)).otherwise(
+        F.raise_error(F.lit("more documents than line_dedup can number; use more partitions")).cast("long")).alias("ord"))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """The lines with a word: their place (doc, row, line_no), the line."""
-    return placed(docs).select("doc", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(f"[^{SPACE}]"))
+def plain(text: Column) -> Column:
+    """The text with spaces for other white space between words; a split at a single character is far cheaper than one at a pattern."""
+    return F.when(text.rlike("[\t\x0b\x0c\r]"), F.translate(text, "\t\x0b\x0c\r", " " * 4)).otherwise(text)
+
+
+def words_of(line: Column) -> Column:
+    """The words of a line, and empty ones."""
+    return F.split(plain(line), " ")
 
 
 def rarity(docs: DataFrame) -> DataFrame:
     """One row with a number for each slot: how often its words occur, in quarters of a power of two."""
-    slot = F.pmod(F.xxhash64("word"), F.lit(SLOTS)).cast("int")
-    counts = docs.select(F.explode(words_of(F.col("text"))).alias("word")).where("word <> ''").groupBy(slot.alias("slot")).count()
+    # Outer generators, here and below: for others Spark adds a filter that evaluates what they split once more.
+    words = docs.select(F.explode_outer(F.split(F.replace(plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
+    counts = words.where("word <> ''").groupBy(slot(F.xxhash64("word")).alias("slot")).count()
     every = docs.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"), F.lit(0).cast("long").alias("count"))
     level = F.least(F.floor(4 * F.log2(F.sum("count") + 1)), F.lit(120)).cast("tinyint")
     whole = counts.unionByName(every).groupBy("slot").agg(level.alias("level")).agg(
@@ -69,6 +84,16 @@ def rarity(docs: DataFrame) -> DataFrame:
     return whole.select(F.transform("levels", lambda x: x.level).alias("levels"))
 
 
+def slot(h: Column) -> Column:
+    """The counter of a word with this hash."""
+    return h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+
+
+def code(level: Column, h: Column) -> Column:
+    """A word's level of rarity above its hash."""
+    return F.shiftleft(F.get(level, slot(h)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+
 def overlap_needed(a: Column, b: Column) -> Column:
     """Words that sets of these sizes must share."""
     num, den = SIMILARITY
@@ -81,82 +106,97 @@ def prefix_length(n: Column) -> Column:
     return n - F.floor((num * n + den - 1) / den).cast("int") + 1
 
 
-def described(docs: DataFrame, levels: Column) -> DataFrame:
-    """The lines' places with the key of their set of words, its size, signature, MinHash values and prefix."""
-
-    def numbers(line: Column, level: Column) -> Column:
-        """The different words' levels of rarity above hashes of the words, rarest first."""
-        hashes = F.array_distinct(F.transform(F.array_remove(words_of(line), ""), lambda w: F.xxhash64(w)))
-        return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(
-            F.get(level, F.pmod(h, F.lit(SLOTS)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+def parity(hashes: Column) -> Column:
+    """64 bits, of which each hash turns one over: what two sets share cancels out, so that they differ in at most as many bits as sets in words."""
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(
+        F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
 
-    def minhash(coded: Column, k: int) -> Column:
-        return F.array_min(F.transform(coded, lambda x: F.shiftleft(x, 8).bitwiseXOR(F.lit(STIRS[k]))))
 
-    def signature(coded: Column) -> Column:
-        # Each word turns a bit over: what two sets share cancels out, so that signatures differ in at most as many bits as sets in words.
-        return F.aggregate(coded, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function(
-            "shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-
-    def told(line: Column, level: Column) -> Column:
-        return let(numbers(line, level), lambda coded: F.struct(
-            F.struct(F.xxhash64(coded).alias("a"), F.xxhash64(F.lit(1), coded).alias("b")).alias("key"), F.size(coded).alias("n"),
-            signature(coded).alias("sig"), *[minhash(coded, k).alias(f"mh{k}") for k in range(SETTLE)],
-            F.slice(coded, F.lit(1), prefix_length(F.size(coded))).alias("prefix")))
+def described(docs: DataFrame, order: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The lines' numbers with the key (a, b) of their set of words, its size, signature, MinHash values and prefix.
 
+    Lines without a word have size 0, null texts none.
+    """
     # The levels are one value for all rows; a subquery may not stand inside the functions on arrays, but a column
-    # may.  It is bound once per document, since reading it from the row copies it.
-    rows = placed(docs).withColumn("_levels", levels)
-    described_ = let(F.col("_levels"), lambda level: F.transform(F.split("text", "\n"), lambda line: told(line, level)))
-    return rows.select("doc", "row", F.posexplode(described_).alias("line_no", "t")).where(
-        F.col("t.n") > 0).select(*PLACE, "t.*")
-
-
-def classes(lines_: DataFrame) -> DataFrame:
-    """One row per set of words: its first line's place, number of lines, and what describes it."""
-    same = ["n", "sig", *[f"mh{k}" for k in range(SETTLE)], "prefix"]
-    return lines_.groupBy("key").agg(
-        F.min(F.struct(*PLACE)).alias("_place"), F.count("*").alias("members"), *[F.first(c).alias(c) for c in same],
-    ).select("key", "_place.*", "members", *same)
-
-
-def earlier(x: str, y: str) -> Column:
-    """Whether the place of ``x`` comes before that of ``y``."""
-    a, b = ([F.col(f"{s}.{c}") for c in PLACE] for s in (x, y))
-    return (a[0] < b[0]) | (a[0] == b[0]) & ((a[1] < b[1]) | (a[1] == b[1]) & (a[2] < b[2]))
-
-
-def possible(n: Column, m: Column, sig_x: Column, sig_y: Column) -> Column:
+    # may.  It is bound once per document, since reading it from the row copies it.  Only words' codes are made there,
+    # the rest is done on a row per line, in generated code.
+    rows = placed(docs).join(numbers, ["doc", "row"]).select("ord", "again", plain(F.col("text")).alias("text"), order.scalar().alias("_levels"))
+    raw = let(F.col("_levels"), lambda level: F.transform(F.split("text", "\n"), lambda line: F.transform(
+        F.split(line, " "), lambda w: code(level, F.xxhash64(w)))))
+    lines = rows.select("ord", "again", raw.alias("raw")).select("ord", "again", F.posexplode_outer("raw").alias("line_no", "raw"))
+    number = F.when(F.col("line_no") < 1 << LINE_BITS, F.shiftleft("ord", LINE_BITS).bitwiseOR(F.col("line_no").cast("long"))).otherwise(
+        F.raise_error(F.lit("a text has more lines than line_dedup can number")).cast("long"))
+    empty = order.select(code(F.col("levels"), F.xxhash64(F.lit("")))).scalar()
+    coded = lines.where("line_no is not null").select(
+        number.alias("id"), "again", F.sort_array(F.array_distinct(F.array_remove("raw", empty))).alias("coded"))
+    hashed = coded.select("*", F.sort_array(F.transform("coded", lambda x: x.bitwiseAND(F.lit(HASH)))).alias("hashes"))
+    n, quarter = F.size("coded"), (HASH + 1) // 4
+    # For large sets a signature per quarter of the hashes: marks between the quarters tell their places among the sorted ones.
+    marks = F.sort_array(F.concat("hashes", F.array(*[F.lit(k * quarter - 1) for k in (1, 2, 3)])))
+    ends = [F.array_position("marks", k * quarter - 1).cast("int") for k in (1, 2, 3)]
+    parts = [parity(F.slice("marks", a + 1, b - a - 1)) for a, b in zip([F.lit(0), *ends], [*ends, F.size("marks") + 1], strict=True)]
+    signed = hashed.select("*", F.when(n >= LONG, marks).alias("marks")).select(
+        "*", *[F.when(n >= LONG, x).alias(f"sig{k}") for k, x in enumerate(parts)])
+    return signed.select(
+        "id", "again", n.alias("n"), F.xxhash64("hashes").alias("a"), F.xxhash64(F.lit(1), "hashes").alias("b"),
+        F.get("hashes", F.lit(0)).alias("mh0"), F.get("hashes", n - 1).alias("mh1"),
+        F.when(n >= LONG, F.col("sig0").bitwiseXOR(F.col("sig1")).bitwiseXOR(F.col("sig2")).bitwiseXOR(F.col("sig3"))).otherwise(
+            parity(F.col("hashes"))).alias("sig"),
+        "sig1", "sig2", "sig3", F.slice("coded", F.lit(1), prefix_length(n)).alias("prefix"))
+
+
+def copies(told: DataFrame, table) -> DataFrame:
+    """The numbers of the lines whose set an earlier line has."""
+    lines = told.where("n > 0").select("a", "b", "id")
+    classes = table(lines.groupBy("a", "b").agg(F.min("id").alias("first"), F.count("*").alias("members")).where("members > 1"))
+    often = 0.001 * told.count()
+    hot = classes.where(F.col("members") >= often).drop("members")  # at most 1000 rows
+    cold = classes.where(F.col("members") < often).drop("members")
+    named = lines.join(F.broadcast(hot), ["a", "b"]).unionByName(
+        lines.join(F.broadcast(hot.select("a", "b")), ["a", "b"], "left_anti").join(cold, ["a", "b"]))
+    return table(named.where("id <> first").select("id"))
+
+
+def differing(x: str, y: str) -> Column:
+    """Bits in which the signatures of two sets differ, in 256 bits if both have them."""
+    whole, *parts = [F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")) for c in SIGNATURE]
+    first = whole
+    for p in parts:
+        first = first.bitwiseXOR(p)
+    return F.coalesce(F.bit_count(first) + sum([F.bit_count(p) for p in parts[1:]], F.bit_count(parts[0])), F.bit_count(whole))
+
+
+def possible(n: Column, m: Column, differ: Column) -> Column:
     """Whether sizes and signatures allow two sets to be similar."""
     num, den = SIMILARITY
-    return (num * n <= den * m) & (num * m <= den * n) & (F.bit_count(sig_x.bitwiseXOR(sig_y)) <= n + m - 2 * overlap_needed(n, m))
-
-
-def likely() -> Column:
-    """Whether the 15-bit hashes of two sets' words allow them to be similar; words that share a hash count in favour."""
-    shared = F.size(F.array_intersect("x_short", "y_short"))
-    return shared + F.col("x_n") - F.size(F.array_distinct("x_short")) >= overlap_needed(F.col("x_n"), F.col("y_n"))
-
+    return (num * n <= den * m) & (num * m <= den * n) & (differ <= n + m - 2 * overlap_needed(n, m))
 
-def pair(x: str, y: str) -> list[Column]:
-    """The places of an earlier and a later line."""
-    return [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in (x, y) for c in PLACE]
 
+def texts(docs: DataFrame, numbers: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The lines (id, line) with these numbers."""
+    per = wanted.select(F.shiftright("id", LINE_BITS).alias("ord"), F.col("id").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int").alias("no")).groupBy(
+        "ord").agg(F.collect_set("no").alias("nos")).join(numbers.select("ord", "row"), "ord")
+    found = let(F.split("text", "\n"), lambda lines: F.transform("nos", lambda i: F.struct(
+        F.shiftleft("ord", LINE_BITS).bitwiseOR(i.cast("long")).alias("id"), F.get(lines, i).alias("line"))))
+    return placed(docs).select("row", "text").join(per, "row").select(F.explode_outer(found).alias("t")).select("t.*")
 
-PAIR = [f"{s}_{c}" for s in "xy" for c in PLACE]
 
-
-def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The later places of the pairs whose lines are similar, each once."""
+def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The later numbers (id) of the pairs whose lines are similar, each once."""
     num, den = SIMILARITY
-    sides = F.array(*[F.struct(F.lit(s == "x").alias("first"), *[F.col(f"{s}_{c}").alias(c) for c in PLACE]) for s in "xy"])
-    wanted = pairs.select(*PAIR, F.explode(sides).alias("_s")).select(*PAIR, "_s.*")
-    both = wanted.join(rows, PLACE).groupBy(*PAIR).agg(
-        F.max(F.when(F.col("first"), F.col("line"))).alias("x"), F.max(F.when(~F.col("first"), F.col("line"))).alias("y"))
-    a, b = (F.array_distinct(F.array_remove(words_of(F.col(c)), "")) for c in "xy")
+    sides = F.array(*[F.struct(F.lit(s == "x").alias("first"), F.col(s).alias("id")) for s in "xy"])
+    wanted = pairs.select("x", "y", F.explode(sides).alias("_s")).select("x", "y", "_s.*")
+    both = wanted.join(lines, "id").groupBy("x", "y").agg(
+        F.max(F.when(F.col("first"), F.col("line"))).alias("line_x"), F.max(F.when(~F.col("first"), F.col("line"))).alias("line_y"))
+    a, b = (F.array_distinct(F.array_remove(words_of(F.col(f"line_{c}")), "")) for c in "xy")
     similar = let(F.struct(a.alias("a"), b.alias("b")), lambda s: let(
         F.size(F.array_intersect(s.a, s.b)), lambda o: (num + den) * o >= num * (F.size(s.a) + F.size(s.b))))
-    return both.where(similar).select(*[F.col(f"y_{c}").alias(c) for c in PLACE]).distinct()
+    return both.where(similar).select(F.col("y").alias("id")).distinct()
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    """The numbers (id) that occur in pairs, each once."""
+    return pairs.select(F.col("x").alias("id")).distinct().unionByName(pairs.select(F.col("y").alias("id")).distinct()).distinct()
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -164,72 +204,50 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     with tables(spark) as table:
+        numbers = table(numbered(docs))
         order = table(rarity(docs))
-        lines_ = lines(docs)
-        told = table(described(docs, order.scalar()))
-        unordered = table(classes(told))
-        members = table(told.select("key", *PLACE))
-        table.drop(told, order)  # tables go as soon as they can, since each may be as large as the input
-        ordered = unordered.repartitionByRange(*PLACE).sortWithinPartitions(*PLACE)
-        sets = table(ordered.withColumn("id", F.monotonically_increasing_id()))  # in the order of the places
-        table.drop(unordered)
-
-        first = {}
-        for k in range(SETTLE):
-            least = F.min(F.struct(*PLACE, "n", "sig")).alias("first")
-            groups = with_group(sets.select(f"mh{k}", *PLACE, "n", "sig"), f"mh{k}", least, least=2)
-            first[k] = groups.select(
-                F.struct(*PLACE, "n", "sig").alias("y"), F.col("first").alias("x")
-            ).where(earlier("x", "y") & possible(*[F.col(c) for c in ("x.n", "y.n", "x.sig", "y.sig")])).select(*pair("x", "y"))
-        near = first[0]
-        for k in range(1, SETTLE):
-            near = near.unionByName(first[k])
-        settled = table(verified(near.distinct(), lines_))
-
-        # Narrow rows, since there are several per line: size and position are one number.
-        row = ["id", "sig", "word", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("n_at")]
-        keyed = sets.select("id", "n", "sig", F.posexplode("prefix").alias("at", "word")).select(*row)
-        later = sets.join(settled, PLACE, "left_anti").select("id", "n", "sig", F.posexplode("prefix").alias("at", "word")).select(*row)
-        x, y = keyed.alias("x"), later.alias("y")
-        (n, m), (i, j) = ([f(F.col(f"{s}.n_at")).cast("int") for s in "xy"] for f in (lambda c: F.shiftright(c, 32), lambda c: c.bitwiseAND(F.lit((1 << 32) - 1))))
-        close = F.least(n - i, m - j) >= overlap_needed(n, m)
-        differ = F.bit_count(F.col("x.sig").bitwiseXOR(F.col("y.sig"))).alias("differ")
-        met = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.id") < F.col("y.id")) & close & possible(
-            n, m, F.col("x.sig"), F.col("y.sig"))).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"), differ)
-        met = table(met.distinct())
+        told = table(described(docs, order, numbers))
+        table.drop(order)  # tables go as soon as they can, since each may be as large as the input
+        repeated = copies(told, table)
+        some = told.where("n > 0").drop("a", "b")
+        sets = table(some.where("not again").unionByName(some.where("again").dropDuplicates(["id"])).drop("again").join(repeated, "id", "left_anti"))
+        table.drop(told)
 
-        def placed_pairs(pairs: DataFrame) -> DataFrame:
-            for s in "xy":
-                pairs = pairs.join(sets.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in PLACE]), s)
-            return table(pairs.select(*PAIR))
+        # The second MinHash value is the largest hash; a bit above the hash tells the two apart.
+        about = ["id", "n", *SIGNATURE]
+        minhash = sets.select(F.col("mh0").alias("mh"), *about).unionByName(sets.select((F.col("mh1") + (HASH + 1)).alias("mh"), *about))
+        groups = with_group(minhash, "mh", F.min("id").alias("first"), *[F.min_by(c, "id").alias(f"first_{c}") for c in about[1:]], least=2)
+        both = groups.select(F.struct(*about).alias("y"), F.struct(F.col("first").alias("id"), *[F.col(f"first_{c}").alias(c) for c in about[1:]]).alias("x"))
+        near = table(both.where((F.col("x.id") < F.col("y.id")) & possible(F.col("x.n"), F.col("y.n"), differing("x", "y"))).select(
+            F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct())
+        settled = table(verified(near, texts(docs, numbers, ends(near))))
+
+        # Narrow rows, since there are several per line: size and position are one number.  Those of settled classes have a
+        # position behind any set's end as later ones, so that both sides of the join are the same rows, shuffled once.
+        done = 1 << 30
+        flagged = sets.join(settled.withColumn("done", F.lit(done)), "id", "left")
+        words = F.arrays_zip(F.col("prefix").alias("word"), F.slice(F.concat(F.array(F.lit(-1).cast("long")), "prefix"), F.lit(1), F.size("prefix")).alias("before"))
+        rows = flagged.select("id", "n", *SIGNATURE, "done", F.posexplode_outer(words).alias("at", "t")).select("id", *SIGNATURE, "t.word", "t.before", (
+            F.shiftleft(F.col("n").cast("long"), 32) + F.coalesce("done", F.lit(0)) + F.col("at")).alias("n_at"))
+        x, y = rows.alias("x"), rows.alias("y")
+        n, m = (F.shiftright(f"{s}.n_at", 32).cast("int") for s in "xy")
+        i, j = (F.col(f"{s}.n_at").bitwiseAND(F.lit(bits)).cast("int") for s, bits in (("x", done - 1), ("y", 2 * done - 1)))
+        close = F.least(n - i, m - j) >= overlap_needed(n, m)
+        # Of shared words that follow one another on both sides only the first makes the pair.
+        anew = (i == 0) | (F.col("x.before") != F.col("y.before"))
+        met = table(x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.id") < F.col("y.id")) & close & anew & possible(n, m, differing("x", "y"))).select(
+            F.col("x.id").alias("x"), F.col("y.id").alias("y"), differing("x", "y").alias("differ")).distinct())
+        table.drop(sets)
 
         # A class goes if any earlier one is similar: the likeliest is verified first, the others only for what is left.
-        likeliest = table(met.groupBy("y").agg(F.min_by("x", F.struct("differ", "x")).alias("likeliest")))
-        found = table(verified(placed_pairs(likeliest.select(F.col("likeliest").alias("x"), "y")), lines_))
-        open_ = likeliest.join(sets.join(found, PLACE).select(F.col("id").alias("y")), "y", "left_anti")
-        rest = table(met.join(open_, "y").where("x <> likeliest").select("x", "y"))
-        table.drop(met)
-        either = rest.select(F.col("x").alias("id")).distinct().unionByName(rest.select(F.col("y").alias("id")).distinct()).distinct()
-        short = F.transform(F.array_distinct(F.array_remove(words_of(F.col("line")), "")), lambda w: F.xxhash64(w).bitwiseAND(F.lit(0x7FFF)).cast("smallint"))
-        told = table(sets.join(either, "id").select("id", "n", *PLACE).join(lines_, PLACE).select("id", "n", short.alias("short")))
-        for s in "xy":
-            rest = rest.join(told.select(*[F.col(c).alias(s if c == "id" else f"{s}_{c}") for c in ("id", "n", "short")]), s)
-        rest = placed_pairs(rest.where(likely()).select("x", "y").distinct())
-        table.drop(told)
-        kept = table(sets.select("key", *PLACE, "members"))
-        table.drop(sets)
-        matched = table(settled.unionByName(found).unionByName(verified(rest, lines_)))
-
-        # Whole classes go, or all but their first lines.
-        gone = kept.join(matched.withColumn("matched", F.lit(True)), PLACE, "left").where(
-            F.col("matched").isNotNull() | (F.col("members") > 1)).select(
-            "key", F.struct(*PLACE).alias("first"), F.coalesce("matched", F.lit(False)).alias("matched"), "members")
-        total = members.count()
-        hot = table(gone.where(F.col("members") >= 0.001 * total).drop("members"))  # at most 1000 rows
-        cold = gone.where(F.col("members") < 0.001 * total).drop("members")
-        named = members.join(F.broadcast(hot), "key").unionByName(
-            members.join(F.broadcast(hot.select("key")), "key", "left_anti").join(cold, "key"))
-        return written(named.where(F.col("matched") | (F.struct(*PLACE) != F.col("first"))).select("row", "line_no"))
+        lines = table(texts(docs, numbers, ends(met)))
+        likeliest = table(met.groupBy("y").agg(F.min_by("x", F.struct("differ", "x")).alias("x")))
+        found = table(verified(likeliest, lines))
+        open_ = likeliest.select("y", F.col("x").alias("likeliest")).join(found.select(F.col("id").alias("y")), "y", "left_anti")
+        rest = met.join(open_, "y").where("x <> likeliest").select("x", "y")
+        gone = repeated.unionByName(settled).unionByName(found).unionByName(verified(rest, lines))
+        named = gone.select(F.shiftright("id", LINE_BITS).alias("ord"), F.col("id").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int").alias("line_no"))
+        return written(named.join(numbers, "ord").select("row", "line_no"))
 
 
 def without(text: Column, gone: Column) -> Column:

@@ -6,6 +6,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -142,6 +143,54 @@ def test_near_lines(spark):
     assert {r.doc_id: r.n_removed == 1 for r in found} == expected and 40 < sum(expected.values()) < 240
 
 
+def test_near_long_lines(spark, monkeypatch):
+    """Near copies of long lines against all pairs; of unlike lines, however long, no pair is left to verify."""
+    draw, rows, made = random.Random(11), [], []
+    pool = sorted({*words(900, 12, 9000)})
+    stems = [draw.sample(pool, n) for n in (40, 58, 63, 64, 70, 150, 290) for _ in range(5)]
+    for i in range(160):
+        w = [*draw.choice(stems)]
+        for _ in range(draw.choice([0, 1, len(w) // 20, len(w) // 12, len(w) // 9, len(w) // 6])):
+            w[draw.randrange(len(w))] = draw.choice(pool)
+        rows.append((i // 2, " ".join(w[:draw.choice([len(w), len(w) - len(w) // 8])]) + "  \n\n"))
+    rows = [(i, "".join(t for j, t in rows if j == i)) for i in range(80)] + [(i, " ".join(draw.sample(pool, 290))) for i in range(80, 140)]
+    sets, gone = [], Counter()
+    for i, t in rows:
+        for w in filter(None, (frozenset(line.split()) for line in t.split("\n"))):
+            gone[i] += any(9 * len(w & o) >= 4 * (len(w) + len(o)) for o in sets)
+            sets.append(w)
+    similar = sum(9 * len(a & b) >= 4 * (len(a) + len(b)) for k, a in enumerate(sets) for b in sets[:k])
+
+    @contextmanager
+    def counted(spark):
+        with tables(spark) as table:
+            def write(df):
+                back = table(df)
+                made.extend([back.count()] if "differ" in back.columns else [])
+                return back
+
+            write.drop = table.drop
+            yield write
+
+    monkeypatch.setattr(line_dedup, "tables", counted)
+    twice = spark.createDataFrame(rows + rows[:9], "doc_id long, text string")  # equal rows are one document
+    found = line_dedup.dedup_lines(twice).collect()
+    assert len(found) == 149 and all(r.n_removed == gone[r.doc_id] for r in found) and 20 < sum(gone.values()) < 160
+    assert len(made) == 1 and made[0] <= 1.5 * similar
+
+
+def test_lines_split_once(spark):
+    """No filter that splits the texts once more stands below the rows of words and lines."""
+    docs = spark.createDataFrame([(1, "a b\nc"), (2, None)], "doc_id long, text string")
+    with tables(spark) as table:
+        order = table(line_dedup.rarity(docs))
+        told = line_dedup.described(docs, order, table(line_dedup.numbered(docs)))
+        for df in (line_dedup.rarity(docs), told):
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            assert not any("Filter" in x and "split(" in x for x in plan.split("\n"))
+        assert sorted(r.n for r in told.collect()) == [1, 2]
+
+
 def test_components(spark):
     draw = random.Random(5)
     edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1040)]
