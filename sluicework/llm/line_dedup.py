@@ -5,7 +5,7 @@ its own or another document, has a Jaccard similarity of at least 4/5 with it.
 ordered by ``doc_id``, then by their place in the text; an earlier line counts whether it
 stays itself or not, so that the result doesn't depend on how the work is split.
 
-1. Words are counted over all documents, in a table of ``SLOTS`` hash slots; a word is as
+1. Words are counted over all documents, in a table of hash slots; a word is as
    rare as its slot.  Any order would give the same result, this one gives it soonest.
 2. Documents are numbered in the order of ``doc_id`` and text, so that a number names a line and its place.
    Lines with the same set form a class, which its first line stands for.
@@ -34,10 +34,8 @@ from sluicework.llm.common import SPACE, let, row_key, tables, with_group, writt
 
 #: Similarity from which a line is a repetition, as a fraction.
 SIMILARITY = (4, 5)
-#: Counters for the rarity of words, a power of two.
-SLOTS = 1 << 18
-#: Bits of a word's hash in its code.
-HASH = (1 << 56) - 1
+#: Counters for the rarity of words are as many as numbers of this many bits, the first ones of a word's hash.
+SLOT_BITS = 18
 #: Words from which a set's signature has 256 bits.
 LONG = 64
 #: Bits of a line's number for its place in the text, and of a document's number for its place in a partition.
@@ -64,7 +62,8 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def plain(text: Column) -> Column:
     """The text with spaces for other white space between words; a split at a single character is far cheaper than one at a pattern."""
-    return F.when(text.rlike("[\t\x0b\x0c\r]"), F.translate(text, "\t\x0b\x0c\r", " " * 4)).otherwise(text)
+    others = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\x0c"))
+    return F.when(others, F.translate(text, "\t\x0b\x0c\r", " " * 4)).otherwise(text)
 
 
 def words_of(line: Column) -> Column:
@@ -73,37 +72,42 @@ def words_of(line: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> DataFrame:
-    """One row with a number for each slot: how often its words occur, in quarters of a power of two."""
+    """One row with a mask for each slot: it puts how often the slot's words occur, in quarters of a power of two, in place of a hash's first 8 bits."""
     # Outer generators, here and below: for others Spark adds a filter that evaluates what they split once more.
     words = docs.select(F.explode_outer(F.split(F.replace(plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
     counts = words.where("word <> ''").groupBy(slot(F.xxhash64("word")).alias("slot")).count()
-    every = docs.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"), F.lit(0).cast("long").alias("count"))
-    level = F.least(F.floor(4 * F.log2(F.sum("count") + 1)), F.lit(120)).cast("tinyint")
-    whole = counts.unionByName(every).groupBy("slot").agg(level.alias("level")).agg(
-        F.array_sort(F.collect_list(F.struct("slot", "level"))).alias("levels"))
-    return whole.select(F.transform("levels", lambda x: x.level).alias("levels"))
+    every = docs.sparkSession.range(1 << SLOT_BITS).select(F.col("id").cast("int").alias("slot"), F.lit(0).cast("long").alias("count"))
+    level = F.least(F.floor(4 * F.log2(F.sum("count") + 1)), F.lit(120)).cast("long")
+    whole = counts.unionByName(every).groupBy("slot").agg(level.alias("level")).select("slot", F.shiftleft(
+        F.shiftright("slot", SLOT_BITS - 8).cast("long").bitwiseXOR(F.col("level")), 56).alias("mask"))
+    return whole.agg(F.array_sort(F.collect_list(F.struct("slot", "mask"))).alias("masks")).select(F.transform("masks", lambda x: x.mask).alias("masks"))
 
 
 def slot(h: Column) -> Column:
     """The counter of a word with this hash."""
-    return h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+    return F.shiftrightunsigned(h, 64 - SLOT_BITS).cast("int")
 
 
-def code(level: Column, h: Column) -> Column:
-    """A word's level of rarity above its hash."""
-    return F.shiftleft(F.get(level, slot(h)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+def code(masks: Column, h: Column) -> Column:
+    """A word's level of rarity above the last 56 bits of its hash."""
+    return h.bitwiseXOR(F.get(masks, slot(h)))
+
+
+def whole_part(a: Column, b: int) -> Column:
+    """a / b without the rest."""
+    return F.call_function("div", a, F.lit(b)).cast("int")
 
 
 def overlap_needed(a: Column, b: Column) -> Column:
     """Words that sets of these sizes must share."""
     num, den = SIMILARITY
-    return F.floor((num * (a + b) + num + den - 1) / (num + den)).cast("int")
+    return whole_part(num * (a + b) + num + den - 1, num + den)
 
 
 def prefix_length(n: Column) -> Column:
     """Of a set's rarest words, how many hold at least one that any similar set has among its own."""
     num, den = SIMILARITY
-    return n - F.floor((num * n + den - 1) / den).cast("int") + 1
+    return n - whole_part(num * n + den - 1, den) + 1
 
 
 def parity(hashes: Column) -> Column:
@@ -117,32 +121,29 @@ def described(docs: DataFrame, order: DataFrame, numbers: DataFrame) -> DataFram
 
     Lines without a word have size 0, null texts none.
     """
-    # The levels are one value for all rows; a subquery may not stand inside the functions on arrays, but a column
-    # may.  It is bound once per document, since reading it from the row copies it.  Only words' codes are made there,
-    # the rest is done on a row per line, in generated code.
-    rows = placed(docs).join(numbers, ["doc", "row"]).select("ord", "again", plain(F.col("text")).alias("text"), order.scalar().alias("_levels"))
-    raw = let(F.col("_levels"), lambda level: F.transform(F.split("text", "\n"), lambda line: F.transform(
-        F.split(line, " "), lambda w: code(level, F.xxhash64(w)))))
-    lines = rows.select("ord", "again", raw.alias("raw")).select("ord", "again", F.posexplode_outer("raw").alias("line_no", "raw"))
+    # Functions on arrays with a function of their own cost far more per element than all others, so that words go through
+    # three small ones only: hash, mask, signature.
+    rows = placed(docs).join(numbers, ["doc", "row"]).select("ord", "again", F.posexplode_outer(F.split(plain(F.col("text")), "\n")).alias("line_no", "line"))
     number = F.when(F.col("line_no") < 1 << LINE_BITS, F.shiftleft("ord", LINE_BITS).bitwiseOR(F.col("line_no").cast("long"))).otherwise(
         F.raise_error(F.lit("a text has more lines than line_dedup can number")).cast("long"))
-    empty = order.select(code(F.col("levels"), F.xxhash64(F.lit("")))).scalar()
-    coded = lines.where("line_no is not null").select(
-        number.alias("id"), "again", F.sort_array(F.array_distinct(F.array_remove("raw", empty))).alias("coded"))
-    hashed = coded.select("*", F.sort_array(F.transform("coded", lambda x: x.bitwiseAND(F.lit(HASH)))).alias("hashes"))
-    n, quarter = F.size("coded"), (HASH + 1) // 4
+    hashed = rows.where("line_no is not null").select(
+        number.alias("id"), "again", F.array_distinct(F.array_remove(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))).alias("hashes"))
+    n = F.size("hashes")
     # For large sets a signature per quarter of the hashes: marks between the quarters tell their places among the sorted ones.
-    marks = F.sort_array(F.concat("hashes", F.array(*[F.lit(k * quarter - 1) for k in (1, 2, 3)])))
-    ends = [F.array_position("marks", k * quarter - 1).cast("int") for k in (1, 2, 3)]
+    quarters = [k << 62 for k in (-1, 0, 1)]
+    marks = F.sort_array(F.concat("hashes", F.array(*[F.lit(q).cast("long") for q in quarters])))
+    told = hashed.select("*", order.scalar().alias("_masks"), F.when(n >= LONG, marks).alias("marks")).select(
+        "id", "again", "hashes", "marks", F.sort_array(F.transform("hashes", lambda x: code(F.col("_masks"), x))).alias("coded"))
+    ends = [F.array_position("marks", F.lit(q).cast("long")).cast("int") for q in quarters]
     parts = [parity(F.slice("marks", a + 1, b - a - 1)) for a, b in zip([F.lit(0), *ends], [*ends, F.size("marks") + 1], strict=True)]
-    signed = hashed.select("*", F.when(n >= LONG, marks).alias("marks")).select(
-        "*", *[F.when(n >= LONG, x).alias(f"sig{k}") for k, x in enumerate(parts)])
+    signed = told.select(
+        "id", "again", "hashes", "coded", *[F.when(n >= LONG, x).alias(f"part{k}") for k, x in enumerate(parts)],
+        F.when(n < LONG, parity(F.col("hashes"))).alias("whole"))
     return signed.select(
-        "id", "again", n.alias("n"), F.xxhash64("hashes").alias("a"), F.xxhash64(F.lit(1), "hashes").alias("b"),
-        F.get("hashes", F.lit(0)).alias("mh0"), F.get("hashes", n - 1).alias("mh1"),
-        F.when(n >= LONG, F.col("sig0").bitwiseXOR(F.col("sig1")).bitwiseXOR(F.col("sig2")).bitwiseXOR(F.col("sig3"))).otherwise(
-            parity(F.col("hashes"))).alias("sig"),
-        "sig1", "sig2", "sig3", F.slice("coded", F.lit(1), prefix_length(n)).alias("prefix"))
+        "id", "again", n.alias("n"), F.xxhash64("coded").alias("a"), F.xxhash64(F.lit(1), "coded").alias("b"),
+        F.array_min("hashes").alias("mh0"), F.array_max("hashes").alias("mh1"),
+        F.coalesce("whole", F.col("part0").bitwiseXOR(F.col("part1")).bitwiseXOR(F.col("part2")).bitwiseXOR(F.col("part3"))).alias("sig"),
+        *[F.col(f"part{k}").alias(f"sig{k}") for k in (1, 2, 3)], F.slice("coded", F.lit(1), prefix_length(n)).alias("prefix"))
 
 
 def copies(told: DataFrame, table) -> DataFrame:
@@ -213,9 +214,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         sets = table(some.where("not again").unionByName(some.where("again").dropDuplicates(["id"])).drop("again").join(repeated, "id", "left_anti"))
         table.drop(told)
 
-        # The second MinHash value is the largest hash; a bit above the hash tells the two apart.
+        # The second MinHash value is the largest hash, turned over to tell the two apart.
         about = ["id", "n", *SIGNATURE]
-        minhash = sets.select(F.col("mh0").alias("mh"), *about).unionByName(sets.select((F.col("mh1") + (HASH + 1)).alias("mh"), *about))
+        minhash = sets.select(F.col("mh0").alias("mh"), *about).unionByName(sets.select(F.bitwise_not("mh1").alias("mh"), *about))
         groups = with_group(minhash, "mh", F.min("id").alias("first"), *[F.min_by(c, "id").alias(f"first_{c}") for c in about[1:]], least=2)
         both = groups.select(F.struct(*about).alias("y"), F.struct(F.col("first").alias("id"), *[F.col(f"first_{c}").alias(c) for c in about[1:]]).alias("x"))
         near = table(both.where((F.col("x.id") < F.col("y.id")) & possible(F.col("x.n"), F.col("y.n"), differing("x", "y"))).select(
@@ -230,12 +231,15 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         rows = flagged.select("id", "n", *SIGNATURE, "done", F.posexplode_outer(words).alias("at", "t")).select("id", *SIGNATURE, "t.word", "t.before", (
             F.shiftleft(F.col("n").cast("long"), 32) + F.coalesce("done", F.lit(0)) + F.col("at")).alias("n_at"))
         x, y = rows.alias("x"), rows.alias("y")
+        num, den = SIMILARITY
         n, m = (F.shiftright(f"{s}.n_at", 32).cast("int") for s in "xy")
         i, j = (F.col(f"{s}.n_at").bitwiseAND(F.lit(bits)).cast("int") for s, bits in (("x", done - 1), ("y", 2 * done - 1)))
         close = F.least(n - i, m - j) >= overlap_needed(n, m)
+        # Nearly all pairs end at this test, which is cheap: what similar sets differ in is at most a ninth of their words.
+        alike = (num + den) * F.bit_count(F.col("x.sig").bitwiseXOR(F.col("y.sig"))) <= (den - num) * (n + m)
         # Of shared words that follow one another on both sides only the first makes the pair.
         anew = (i == 0) | (F.col("x.before") != F.col("y.before"))
-        met = table(x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.id") < F.col("y.id")) & close & anew & possible(n, m, differing("x", "y"))).select(
+        met = table(x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.id") < F.col("y.id")) & alike & close & anew & possible(n, m, differing("x", "y"))).select(
             F.col("x.id").alias("x"), F.col("y.id").alias("y"), differing("x", "y").alias("differ")).distinct())
         table.drop(sets)
 

@@ -191,6 +191,22 @@ def test_lines_split_once(spark):
         assert sorted(r.n for r in told.collect()) == [1, 2]
 
 
+def test_words_hashed_once(spark):
+    """Each word of a line is hashed once, and the prefixes have the rarest ones."""
+    rows = [(i, f"often a{i} b{i} c{i} d{i}\n\toften  often\r") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    with tables(spark) as table:
+        order = table(line_dedup.rarity(docs))
+        told = line_dedup.described(docs, order, table(line_dedup.numbered(docs)))
+        plan = told._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall(r"xxhash64\(lambda", plan)) == 1
+        found = told.collect()
+    often = spark.range(1).select(F.xxhash64(F.lit("often"))).first()[0] & (1 << 56) - 1
+    assert Counter((r.n, len(r.prefix)) for r in found) == {(5, 2): 300, (1, 1): 300}
+    assert all((often in {c & (1 << 56) - 1 for c in r.prefix}) == (r.n == 1) for r in found)
+    assert {r.prefix[0] >> 56 for r in found if r.n == 1} == {39}  # 4 * log2(901), rounded down
+
+
 def test_components(spark):
     draw = random.Random(5)
     edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1040)]
