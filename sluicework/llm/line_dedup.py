@@ -40,6 +40,8 @@ SLOT_BITS = 18
 LONG = 64
 #: Bits of a line's number for its place in the text, and of a document's number for its place in a partition.
 LINE_BITS, DOC_BITS = 24, 25
+#: The sieve of the rows whose texts are fetched has as many bits as numbers of this many bits.
+SIEVE_BITS = 22
 
 SIGNATURE = ["sig", "sig1", "sig2", "sig3"]
 
@@ -51,12 +53,13 @@ def placed(docs: DataFrame) -> DataFrame:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """One row per different document: its row, its number (ord) in the order of doc and row, whether it occurs again."""
-    ordered = placed(docs).groupBy("doc", "row").agg((F.count("*") > 1).alias("again")).repartitionByRange("doc", "row").sortWithinPartitions("doc", "row")
+    """One row per different document: its row and text, and its number (ord) in the order of doc and row."""
+    # Texts are shuffled once: equal documents end up in one range, so that what drops the copies has its rows as it needs them.
+    ordered = placed(docs).repartitionByRange("doc", "row").groupBy("doc", "row").agg(F.first("text").alias("text")).sortWithinPartitions("doc", "row")
     n = F.monotonically_increasing_id()  # the partition above 33 bits
     part, at = F.shiftright(n, 33), n.bitwiseAND(F.lit((1 << 33) - 1))
     fits = (at < 1 << DOC_BITS) & (part < 1 << (63 - DOC_BITS - LINE_BITS))
-    return ordered.select("doc", "row", "again", F.when(fits, F.shiftleft(part, DOC_BITS).bitwiseOR(at)).otherwise(
+    return ordered.select("row", "text", F.when(fits, F.shiftleft(part, DOC_BITS).bitwiseOR(at)).otherwise(
         F.raise_error(F.lit("more documents than line_dedup can number; use more partitions")).cast("long")).alias("ord"))
 
 
@@ -119,28 +122,28 @@ def parity(hashes: Column) -> Column:
 def described(docs: DataFrame, order: DataFrame, numbers: DataFrame) -> DataFrame:
     """The lines' numbers with the key (a, b) of their set of words, its size, signature, MinHash values and prefix.
 
-    Lines without a word have size 0, null texts none.
+    ``numbers`` are the documents as ``numbered`` gives them.  Lines without a word have size 0, null texts none.
     """
     # Functions on arrays with a function of their own cost far more per element than all others, so that words go through
     # three small ones only: hash, mask, signature.
-    rows = placed(docs).join(numbers, ["doc", "row"]).select("ord", "again", F.posexplode_outer(F.split(plain(F.col("text")), "\n")).alias("line_no", "line"))
+    rows = numbers.select("ord", "row", F.posexplode_outer(F.split(plain(F.col("text")), "\n")).alias("line_no", "line"))
     number = F.when(F.col("line_no") < 1 << LINE_BITS, F.shiftleft("ord", LINE_BITS).bitwiseOR(F.col("line_no").cast("long"))).otherwise(
         F.raise_error(F.lit("a text has more lines than line_dedup can number")).cast("long"))
     hashed = rows.where("line_no is not null").select(
-        number.alias("id"), "again", F.array_distinct(F.array_remove(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))).alias("hashes"))
+        number.alias("id"), "row", F.array_distinct(F.array_remove(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))).alias("hashes"))
     n = F.size("hashes")
     # For large sets a signature per quarter of the hashes: marks between the quarters tell their places among the sorted ones.
     quarters = [k << 62 for k in (-1, 0, 1)]
     marks = F.sort_array(F.concat("hashes", F.array(*[F.lit(q).cast("long") for q in quarters])))
     told = hashed.select("*", order.scalar().alias("_masks"), F.when(n >= LONG, marks).alias("marks")).select(
-        "id", "again", "hashes", "marks", F.sort_array(F.transform("hashes", lambda x: code(F.col("_masks"), x))).alias("coded"))
+        "id", "row", "hashes", "marks", F.sort_array(F.transform("hashes", lambda x: code(F.col("_masks"), x))).alias("coded"))
     ends = [F.array_position("marks", F.lit(q).cast("long")).cast("int") for q in quarters]
     parts = [parity(F.slice("marks", a + 1, b - a - 1)) for a, b in zip([F.lit(0), *ends], [*ends, F.size("marks") + 1], strict=True)]
     signed = told.select(
-        "id", "again", "hashes", "coded", *[F.when(n >= LONG, x).alias(f"part{k}") for k, x in enumerate(parts)],
+        "id", "row", "hashes", "coded", *[F.when(n >= LONG, x).alias(f"part{k}") for k, x in enumerate(parts)],
         F.when(n < LONG, parity(F.col("hashes"))).alias("whole"))
     return signed.select(
-        "id", "again", n.alias("n"), F.xxhash64("coded").alias("a"), F.xxhash64(F.lit(1), "coded").alias("b"),
+        "id", "row", n.alias("n"), F.xxhash64("coded").alias("a"), F.xxhash64(F.lit(1), "coded").alias("b"),
         F.array_min("hashes").alias("mh0"), F.array_max("hashes").alias("mh1"),
         F.coalesce("whole", F.col("part0").bitwiseXOR(F.col("part1")).bitwiseXOR(F.col("part2")).bitwiseXOR(F.col("part3"))).alias("sig"),
         *[F.col(f"part{k}").alias(f"sig{k}") for k in (1, 2, 3)], F.slice("coded", F.lit(1), prefix_length(n)).alias("prefix"))
@@ -173,13 +176,34 @@ def possible(n: Column, m: Column, differ: Column) -> Column:
     return (num * n <= den * m) & (num * m <= den * n) & (differ <= n + m - 2 * overlap_needed(n, m))
 
 
-def texts(docs: DataFrame, numbers: DataFrame, wanted: DataFrame) -> DataFrame:
+def sieve(rows: DataFrame) -> DataFrame:
+    """One row with a table of 2^22 bits, those of these rows set: most of what isn't among them is told without a shuffle."""
+    every = rows.sparkSession.range(1 << SIEVE_BITS - 6).select("id", F.lit(0).cast("long").alias("bit"))
+    own = rows.select(cell(F.col("row")).cast("long").alias("id"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("row"))).alias("bit"))
+    whole = own.unionByName(every).groupBy("id").agg(F.bit_or("bit").alias("bits"))
+    return whole.agg(F.array_sort(F.collect_list(F.struct("id", "bits"))).alias("cells")).select(F.transform("cells", lambda x: x.bits).alias("cells"))
+
+
+def cell(row: Column) -> Column:
+    """The number of 64 bits of the sieve among which a row has its bit."""
+    return F.shiftrightunsigned(row, 70 - SIEVE_BITS).cast("int")
+
+
+def bit(row: Column) -> Column:
+    """The place of a row's bit among these 64."""
+    return row.bitwiseAND(F.lit(63)).cast("int")
+
+
+def texts(docs: DataFrame, numbers: DataFrame, wanted: DataFrame, table) -> DataFrame:
     """The lines (id, line) with these numbers."""
     per = wanted.select(F.shiftright("id", LINE_BITS).alias("ord"), F.col("id").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int").alias("no")).groupBy(
-        "ord").agg(F.collect_set("no").alias("nos")).join(numbers.select("ord", "row"), "ord")
+        "ord").agg(F.collect_set("no").alias("nos")).join(numbers, "ord")
+    per = table(per)
+    cells = table(sieve(per))
+    some = placed(docs).select("row", "text").where(F.getbit(F.get(cells.scalar(), cell(F.col("row"))), bit(F.col("row"))) == 1)
     found = let(F.split("text", "\n"), lambda lines: F.transform("nos", lambda i: F.struct(
         F.shiftleft("ord", LINE_BITS).bitwiseOR(i.cast("long")).alias("id"), F.get(lines, i).alias("line"))))
-    return placed(docs).select("row", "text").join(per, "row").select(F.explode_outer(found).alias("t")).select("t.*")
+    return some.join(per, "row").select(F.explode_outer(found).alias("t")).select("t.*")
 
 
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -205,13 +229,12 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     with tables(spark) as table:
-        numbers = table(numbered(docs))
         order = table(rarity(docs))
-        told = table(described(docs, order, numbers))
+        told = table(described(docs, order, numbered(docs)))
+        numbers = table(told.where(F.col("id").bitwiseAND(F.lit((1 << LINE_BITS) - 1)) == 0).select(F.shiftright("id", LINE_BITS).alias("ord"), "row"))
         table.drop(order)  # tables go as soon as they can, since each may be as large as the input
         repeated = copies(told, table)
-        some = told.where("n > 0").drop("a", "b")
-        sets = table(some.where("not again").unionByName(some.where("again").dropDuplicates(["id"])).drop("again").join(repeated, "id", "left_anti"))
+        sets = table(told.where("n > 0").drop("a", "b", "row").join(repeated, "id", "left_anti"))
         table.drop(told)
 
         # The second MinHash value is the largest hash, turned over to tell the two apart.
@@ -221,7 +244,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         both = groups.select(F.struct(*about).alias("y"), F.struct(F.col("first").alias("id"), *[F.col(f"first_{c}").alias(c) for c in about[1:]]).alias("x"))
         near = table(both.where((F.col("x.id") < F.col("y.id")) & possible(F.col("x.n"), F.col("y.n"), differing("x", "y"))).select(
             F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct())
-        settled = table(verified(near, texts(docs, numbers, ends(near))))
+        settled = table(verified(near, texts(docs, numbers, ends(near), table)))
 
         # Narrow rows, since there are several per line: size and position are one number.  Those of settled classes have a
         # position behind any set's end as later ones, so that both sides of the join are the same rows, shuffled once.
@@ -244,7 +267,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         table.drop(sets)
 
         # A class goes if any earlier one is similar: the likeliest is verified first, the others only for what is left.
-        lines = table(texts(docs, numbers, ends(met)))
+        lines = table(texts(docs, numbers, ends(met), table))
         likeliest = table(met.groupBy("y").agg(F.min_by("x", F.struct("differ", "x")).alias("x")))
         found = table(verified(likeliest, lines))
         open_ = likeliest.select("y", F.col("x").alias("likeliest")).join(found.select(F.col("id").alias("y")), "y", "left_anti")

@@ -207,6 +207,28 @@ def test_words_hashed_once(spark):
     assert {r.prefix[0] >> 56 for r in found if r.n == 1} == {39}  # 4 * log2(901), rounded down
 
 
+def test_texts_shuffled_seldom(spark):
+    """Documents get their numbers with their texts, in one shuffle, and of fetched lines only the texts wanted are shuffled."""
+    rows = [(i % 50, f"a{i}\nb{i}\n\nc") for i in range(300)] + [(None, "x y"), (7, None), (None, "x y"), (3, "a3\nb3\n\nc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    numbers = line_dedup.numbered(docs)
+    plan = numbers._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    of = {t: -1 if i is None else i for i, t in rows}
+    found = [r.text for r in sorted(numbers.collect(), key=lambda r: r.ord)]
+    assert len(found) == 302 and [of[t] for t in found] == sorted(of[t] for t in found)
+    with tables(spark) as table:
+        named = table(numbers.select("ord", "row"))
+        wanted = numbers.where("text like 'a%7\n%'").select((F.shiftleft("ord", line_dedup.LINE_BITS) + 1).alias("id"))
+        lines = line_dedup.texts(docs, named, wanted, table)
+        plan = lines._jdf.queryExecution().optimizedPlan().toString()
+        assert Counter(r.line for r in lines.collect()) == {f"b{i}": 1 for i in range(7, 300, 10)}
+        assert "getbit" in plan
+        cells = table(line_dedup.sieve(numbers.where("text like 'a%7\n%'")))
+        bits = F.getbit(F.get(cells.scalar(), line_dedup.cell(F.col("row"))), line_dedup.bit(F.col("row")))
+        assert numbers.where(bits == 1).count() == 30
+
+
 def test_components(spark):
     draw = random.Random(5)
     edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1040)]
